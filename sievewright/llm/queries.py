@@ -22,6 +22,21 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import find_matches
+
+    return find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import detect, fit, joined
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = {f"n_{k}": F.expr(f"CAST(size(filter(pii_base, x -> x.kind = '{k}')) AS BIGINT)") for k in ("email", "ip", "card", "phone")}
+    found = detect(docs, fit(docs))
+    return found.select("doc_id", *(c.alias(k) for k, c in counts.items()), F.sha2(F.expr(joined("pii_base")), 256).alias("base_sha256"), F.expr(joined("pii_spans")).alias("spans"), F.sha2(F.coalesce("pii_text", F.lit("")), 256).alias("redacted_sha256"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -40,6 +55,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_decontamination": op2_decontamination,
+    "op3_pii": op3_pii,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_language_id": op6_language_id,
 }
