@@ -78,6 +78,21 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.size("_turns").cast("long").alias("n_turns"), F.sha2(line, 256).alias("turns_sha256"), F.char_length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"), F.char_length("_text").cast("long").alias("formatted_chars"), "valid", "rejected_at")
 
 
+def op9_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lattice import score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 10) != 0).alias("training"))
+    return score(docs, tokenizer_path("piece_bpe_32k.model")).withColumn("held_out", ~F.col("training")).drop("training")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_folder, read_archives, write_archives
+
+    folder = archive_folder(spark)
+    write_archives(table(spark, sf_dir, "pages"), folder)
+    return read_archives(spark, folder).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -87,6 +102,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_piecewise_hash": op7_piecewise_hash,
     "op8_chat_format": op8_chat_format,
+    "op9_lattice_score": op9_lattice_score,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {}
