@@ -217,7 +217,7 @@ def score(docs: DataFrame, path: str, head_words: int = HEAD_WORDS) -> DataFrame
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "training")
     counts = common.written(word_counts(rows), "words")
     ends = rows.where("training").count()
-    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if("c > 0").alias("v")).first()
+    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     train_tokens, distinct = sums["n"] + ends, sums["v"] + (ends > 0)
     least = math.log10(train_tokens + 0.1 * (distinct + 1))
     weights = spark.sparkContext.broadcast(fit(counts, ends, path))
