@@ -12,11 +12,15 @@ no rows; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,30 +30,79 @@ from . import common
 #: Parts that the rows of one length are ranked in, so that no length is ranked by one task.
 RANK_PARTS = 64
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores are Spark's
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
-def _token_bytes(texts: list[str], path: str, known: dict[str, bytes]) -> Iterator[bytes]:
-    """Little-endian 32-bit ids of each text. No token of this vocabulary holds a blank or a line break, so a text's
-    ids are those of its words; each word is tokenised once while it is remembered."""
-    words = [t.replace("\n", " ").split(" ") for t in texts]
-    if new := list(set(chain.from_iterable(words)).difference(known)):
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(set(chain.from_iterable(words)))
-        for begin in range(0, len(new), 20_000):
-            part = new[begin : begin + 20_000]
-            for word, got in zip(part, _tokenizer(path).encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = b"".join(i.to_bytes(4, "little") for i in got.ids)
-    for own in words:
-        yield b"".join([known[w] for w in own])
+#: Ids of words this worker process has met, kept over tasks.
+_KNOWN: dict[str, bytes] = {}
+#: Latin letters and punctuation after them: the tokenizer splits between the two, and only lower-cases the letters.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|)\]}#$%&*\"]*)")
+
+
+@lru_cache(maxsize=1)
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level BPE writes for each byte: printable Latin-1 as it is, the rest from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return {b: chr(b if b in shown else next(hidden)) for b in range(256)}
+
+
+def _learn(words: list[str], path: str) -> None:
+    """Fills _KNOWN for words. Plain words go to the BPE model itself, all others through the whole tokenizer."""
+    model, letters = _tokenizer(path).model, _byte_letters()
+    others, tails = [], {"": b""}
+    for word in words:
+        plain = _PLAIN.fullmatch(word)
+        if plain is None:
+            others.append(word)
+            continue
+        stem, tail = plain[1].lower(), plain[2]
+        ids = _KNOWN.get(stem)
+        if ids is None:
+            got = model.tokenize(stem if stem.isascii() else stem.encode().decode("latin-1").translate(letters))
+            ids = struct.pack(f"<{len(got)}I", *[x.id for x in got])
+        end = tails.get(tail)
+        if end is None:
+            got = _tokenizer(path).encode(tail, add_special_tokens=False).ids
+            end = tails[tail] = struct.pack(f"<{len(got)}I", *got)
+        _KNOWN[stem] = ids
+        _KNOWN[word] = ids + end
+    for begin in range(0, len(others), 20_000):
+        some = others[begin : begin + 20_000]
+        for word, got in zip(some, _tokenizer(path).encode_batch_fast(some, add_special_tokens=False), strict=True):
+            _KNOWN[word] = struct.pack(f"<{len(got.ids)}I", *got.ids)
+
+
+def _token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ends): the ids of all texts in turn, and where each text's ids end.
+
+    No token of this vocabulary holds a blank, so a text's ids are those of its blank-separated words; each word is
+    tokenised once while this process remembers it."""
+    words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    coded = words.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    if new := [w for w in names if w not in _KNOWN]:
+        if len(_KNOWN) + len(new) > CACHE_WORDS:
+            _KNOWN.clear()
+            new = names
+        _learn(new, path)
+    own = [_KNOWN[w] for w in names]
+    sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+    flat, begins = np.frombuffer(b"".join(own), "<u4"), np.cumsum(sizes) - sizes
+    index = coded.indices.to_numpy()
+    each = sizes[index]
+    ends = np.cumsum(each)
+    ids = flat[np.repeat(begins[index] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+    counts = np.asarray(words.value_lengths())
+    return ids, np.concatenate(([0], ends))[np.cumsum(counts)]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1) -> DataFrame:
@@ -58,13 +111,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bytes] = {}
         closing = end_id.to_bytes(4, "little")
         for batch in it:
             for part in common.batches(batch):
-                doc, start, total, ids = [], [], [], []
-                for d, own in zip(part.column("doc_id").to_pylist(), _token_bytes(common.text_rows(part), tokenizer, known), strict=True):
-                    own += closing
+                doc, start, total, ids, begin = [], [], [], [], 0
+                every, ends = _token_ids(part.column("text"), tokenizer)
+                for d, end in zip(part.column("doc_id").to_pylist(), ends.tolist(), strict=True):
+                    own, begin = every[begin:end].tobytes() + closing, end
                     for at in range(0, len(own), width):
                         doc.append(d)
                         start.append(at // 4)
