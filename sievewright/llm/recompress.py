@@ -19,6 +19,7 @@ words; an empty table gives no rows; other columns are kept by remove_repeats().
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from . import common
 WINDOW = 13
 #: Rounds of pair compression.
 ROUNDS = 3
+#: Text that a task holds as arrays at once.
+BATCH_BYTES = 8 << 20
 _P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _NO = np.uint64(2**64 - 1)
 
@@ -170,18 +173,40 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def document_keys(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(key, doc_id): the distinct representative keys of each document of docs (doc_id, text)."""
+    """(key, digest, doc_id): the representative keys of each document of docs (doc_id, digest, text)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for part in common.batches(batch):
+            for part in common.batches(batch, most_bytes=BATCH_BYTES):
                 names, ends = word_names(part.column("text"))
                 starts, keys, _, _ = representatives(names, ends, window)
-                text = np.searchsorted(ends, starts, side="right")
-                fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (text[1:] != text[:-1]))) if len(keys) else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays([_signed(keys[fresh]), part.column("doc_id").take(pa.array(text[fresh]))], names=["key", "doc_id"])
+                at = _once_per_text(np.searchsorted(ends, starts, side="right"), keys)
+                text = pa.array(np.searchsorted(ends, starts[at], side="right"))
+                yield pa.RecordBatch.from_arrays([_signed(keys[at]), part.column("digest").take(text), part.column("doc_id").take(text)], names=["key", "digest", "doc_id"])
+
+    return docs.mapInArrow(run, "key long, digest long, doc_id long")
+
+
+def _once_per_text(text: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Positions, in order, of the first occurrence of each value within its text."""
+    order = np.lexsort((value, text))
+    t, v = text[order], value[order]
+    fresh = np.concatenate(([True], (t[1:] != t[:-1]) | (v[1:] != v[:-1]))) if len(t) else np.zeros(0, bool)
+    return np.sort(order[fresh])
 
-    return docs.mapInArrow(run, "key long, doc_id long")
+
+def _marked(part: pa.RecordBatch, text: np.ndarray, values: np.ndarray, column: str) -> np.ndarray:
+    """Which values are in their text's list of that column."""
+    lists = part.column(column)
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+    wanted = pc.list_flatten(lists).to_numpy(zero_copy_only=False).view(np.uint64)
+    ends = np.cumsum(sizes)
+    cut = np.searchsorted(text, np.arange(len(part) + 1))
+    out = np.zeros(len(values), bool)
+    for i in np.flatnonzero(sizes):
+        span = slice(cut[i], cut[i + 1])
+        out[span] = np.isin(values[span], wanted[ends[i] - sizes[i] : ends[i]])
+    return out
 
 
 def repeated_windows(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -189,63 +214,70 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for part in common.batches(batch):
+            for part in common.batches(batch.filter(batch.column("keys").is_valid()), most_bytes=BATCH_BYTES):
                 names, ends = word_names(part.column("text"))
                 starts, keys, h1, h2 = representatives(names, ends, window)
                 text = np.searchsorted(ends, starts, side="right")
-                chosen = np.zeros(len(starts), bool)
-                cut = np.searchsorted(text, np.arange(len(part) + 1))
-                for i, own in enumerate(part.column("keys")):
-                    span = slice(cut[i], cut[i + 1])
-                    chosen[span] = np.isin(keys[span], own.values.to_numpy().view(np.uint64))
-                at = np.flatnonzero(chosen)
+                at = np.flatnonzero(_marked(part, text, keys, "keys"))
+                at = at[_once_per_text(text[at], h1[at])]
                 yield pa.RecordBatch.from_arrays([_signed(h1[at]), pa.array((h2[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)), part.column("doc_id").take(pa.array(text[at]))], names=["h1", "h2", "doc_id"])
 
     return keyed.mapInArrow(run, "h1 long, h2 int, doc_id long")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with _gone: the hashes (h1) of the windows that also occur in a document with a smaller doc_id, or null."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keys = document_keys(rows.where("doc_id IS NOT NULL"), window)
+    """docs with _gone (hashes h1 of the windows that also occur in a document with a smaller doc_id, or null) and _copy
+    (the whole text is that of a document with a smaller doc_id, or null). doc_id is long, text a string.
+
+    Exact copies need no windows: they lose everything, and what they could remove the first copy removes as well. Both
+    joins take the documents through the same shuffle, which Spark runs once.
+    """
+    rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").where("doc_id IS NOT NULL")
+    digests = rows.select("doc_id", "digest", F.md5("text").alias("check"))
+    first = digests.groupBy("digest", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    copies = common.written(digests.join(first, ["digest", "check"]).where("doc_id > first").select("doc_id").distinct(), "copies")
+    keys = document_keys(rows, window)
     met = Window.partitionBy("key")
-    shared = keys.withColumn("lo", F.min("doc_id").over(met)).withColumn("hi", F.max("doc_id").over(met)).where("lo < hi")
-    per_doc = common.written(shared.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "keys")
-    windows = repeated_windows(rows.join(per_doc, "doc_id"), window)
+    shared = keys.withColumn("lo", F.min("digest").over(met)).withColumn("hi", F.max("digest").over(met)).where("lo < hi")
+    per_doc = shared.groupBy("doc_id").agg(F.collect_set("key").alias("keys")).join(copies, "doc_id", "left_anti").withColumnRenamed("doc_id", "_doc_id")
+    windows = repeated_windows(docs.join(per_doc, docs["doc_id"] == F.col("_doc_id"), "left").select("doc_id", "text", "keys"), window)
     same = Window.partitionBy("h1", "h2")
     later = windows.withColumn("lo", F.min("doc_id").over(same)).where("lo < doc_id")
-    gone = common.written(later.groupBy("doc_id").agg(F.collect_set("h1").alias("_gone")), "gone")
-    return docs.join(gone.withColumnRenamed("doc_id", "_doc_id"), F.col("doc_id").cast("long") == F.col("_doc_id"), "left").drop("_doc_id")
+    gone = later.groupBy("doc_id").agg(F.collect_set("h1").alias("_gone"))
+    marks = gone.withColumn("_copy", F.lit(None).cast("boolean")).unionByName(copies.select("doc_id", F.lit(None).cast("array<bigint>").alias("_gone"), F.lit(True).alias("_copy"))).withColumnRenamed("doc_id", "_doc_id")
+    return docs.join(marks, docs["doc_id"] == F.col("_doc_id"), "left").drop("_doc_id")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs, all columns, with the words covered by such windows removed from text (kept words joined by one blank),
     plus n_words and n_removed; these two names win over columns of docs."""
-    kept = [f for f in docs.schema if f.name not in ("text", "n_words", "n_removed")]
-    names_out = [f.name for f in kept]
-    found = repeats(docs.select(*names_out, "text"), window)
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed")]
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
+    found = repeats(base, window)
+    kept = ["doc_id", *others]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for part in common.batches(batch):
-                texts, gone = part.column("text"), part.column("_gone")
+            for part in common.batches(batch, most_bytes=BATCH_BYTES):
+                hit = part.column("_gone").is_valid()
+                some = part.filter(hit)
+                names, ends = word_names(some.column("text"))
+                starts, h1, _ = window_hashes(names, ends, window)
+                at = starts[_marked(some, np.searchsorted(ends, starts, side="right"), h1, "_gone")]
+                change = np.bincount(at, minlength=len(names) + window + 1) - np.bincount(at + window, minlength=len(names) + window + 1)
+                keep, begins, nth = np.cumsum(change)[: len(names)] == 0, np.concatenate(([0], ends)), 0
                 out, total, removed = [], [], []
-                for text, hashes in zip(texts.to_pylist(), gone, strict=True):
-                    words = (text or "").encode().split()
-                    covered = np.zeros(len(words) + 1, np.int64)
-                    if hashes.is_valid:
-                        names, ends = word_names(pa.array([text]))
-                        starts, h1, _ = window_hashes(names, ends, window)
-                        hit = starts[np.isin(h1, hashes.values.to_numpy().view(np.uint64))]
-                        np.add.at(covered, hit, 1)
-                        np.add.at(covered, hit + window, -1)
-                    keep = np.cumsum(covered)[:-1] == 0
-                    if not keep.all():
-                        words = [words[i] for i in np.flatnonzero(keep)]
-                    total.append(len(keep))
-                    removed.append(len(keep) - len(words))
+                for text, windows, copy in zip(common.text_rows(part), hit.to_pylist(), part.column("_copy").to_pylist(), strict=True):
+                    words = text.encode().split()
+                    total.append(len(words))
+                    if windows:
+                        words = list(compress(words, keep[begins[nth] : begins[nth + 1]].tolist()))
+                        nth += 1
+                    elif copy and len(words) >= window:
+                        words = []
+                    removed.append(total[-1] - len(words))
                     out.append(b" ".join(words).decode())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names_out), pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=[*names_out, "text", "n_words", "n_removed"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=[*kept, "text", "n_words", "n_removed"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "text string, n_words long, n_removed long"])
-    return found.select(*names_out, "text", "_gone").mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "text"), "text string, n_words long, n_removed long"])
+    return found.select(*kept, "text", "_gone", "_copy").mapInArrow(run, schema)
