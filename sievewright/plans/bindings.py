@@ -75,11 +75,11 @@ def texts(d: Dialect) -> dict[str, str]:
             CASE s.s_nationkey % 3 WHEN 0 THEN 'San Francisco' WHEN 1 THEN 'Oakland' END AS city, 'CA' AS state, CONCAT('941', LPAD(CAST(s.s_nationkey AS STRING), 2, '0')) AS zipcode
         FROM {{lineitem}} l JOIN {{supplier}} s ON l.l_suppkey = s.s_suppkey"""
     profiles = f"""
-        SELECT c_custkey AS profile_id, c_name AS business_name, {_pick('c_custkey', _quoted(TRADE_KEYS))} AS trade, 50000.0 * (1 + c_custkey % 4) AS min_project_value,
+        SELECT c_custkey AS profile_id, c_name AS business_name, {_pick('c_custkey', _quoted(TRADE_KEYS))} AS trade, CAST(50000.0 * (1 + c_custkey % 4) AS DOUBLE) AS min_project_value,
             {_pick('c_custkey', [d.none(), d.array("'94101'", "'94105'", "'94110'"), d.none(), d.array("'94102'")])} AS territory_zips,
             {_pick('c_custkey', [d.none(), d.none(), d.array("'1'", "'france'"), d.array("'2'")])} AS territory_districts,
             {d.array("'office'", "'retail sales'")} AS preferred_uses,
-            1.0 + 0.25 * (c_custkey % 3) AS w_fit, 1.0 AS w_demand, 1.0 - 0.1 * (c_custkey % 2) AS w_timing, 1.0 AS w_value, 0.5 + 0.5 * (c_custkey % 3) AS w_evidence
+            CAST(1.0 + 0.25 * (c_custkey % 3) AS DOUBLE) AS w_fit, CAST(1.0 AS DOUBLE) AS w_demand, CAST(1.0 - 0.1 * (c_custkey % 2) AS DOUBLE) AS w_timing, CAST(1.0 AS DOUBLE) AS w_value, CAST(0.5 + 0.5 * (c_custkey % 3) AS DOUBLE) AS w_evidence
         FROM {{customer}} WHERE c_custkey < 8"""
     opportunities = f"""
         SELECT o_orderkey AS opportunity_id, o_orderkey AS candidate_id, o_custkey % 40 AS customer_id, CAST(o_orderkey AS STRING) AS permit_number, CAST(o_orderkey * 37 % 101 AS INT) AS score,

@@ -1,10 +1,4 @@
-"""The registered queries of the engine's own operators, with an independent SQL form of each."""
+"""All registered queries of the engine's own operators: importing the parts fills the registry."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import q_audit, q_changes, q_events, q_gates, q_leads, q_normalize, q_scoring, q_streams  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
