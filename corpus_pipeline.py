@@ -22,9 +22,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.classify(docs, learned).where(~F.col("lang_rejected")).select(docs.columns)
 
 
+#: Differing bits at which this stage links documents: among texts that share 0.8 of their five-word shingles, most
+#: pairs differ in no more (README has the figures).
+NEAR_BITS = 6
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near-duplicates."""
-    return simhash.one_of_each(docs)
+    return simhash.one_of_each(docs, budget=NEAR_BITS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

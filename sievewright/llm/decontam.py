@@ -35,14 +35,15 @@ def fold(text: str | None) -> str:
     return (text or "").encode().translate(_FOLD).decode()
 
 
-def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[int, str]]]:
+def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
     """Folded items as (item_id, text), dealt into blocks by a hash; a block is about block_bytes, or one item."""
     rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("trim(text) <> ''")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n = -(-total // block_bytes)
     for i in range(n):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
-        yield [(r["item_id"], fold(r["text"]).strip()) for r in own]
+        if own:
+            yield [(r["item_id"], fold(r["text"]).strip()) for r in own]
 
 
 def _matcher(items: list[tuple[int, str]], error_rate: float, exact_below: int) -> Callable[[str], list[tuple[int, int, int, int]]]:

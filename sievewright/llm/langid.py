@@ -31,7 +31,7 @@ SLICE_BYTES = 2 << 10
 #: Bytes that are compressed from one start of the dictionary.
 CHUNK_BYTES = 8 << 10
 #: The runner-up needs at least this many times more bytes, or else the text is rejected.
-MARGIN = 0.004
+MARGIN = 0.001
 UNDETERMINED = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 

@@ -1,9 +1,9 @@
 """SimHash near-duplicates by a binary-trie self-join over the distinct fingerprints.
 
 A fingerprint is a path of 64 bits. Two tries are walked together, node pair by node pair; differing bits add up, and a
-pair of nodes is dropped as soon as they exceed the budget. Spark deals the walk out: for budget k the 64 bits are cut
-into k+1 blocks, and two fingerprints within the budget agree on at least one block, so every block's values are the
-roots of separate tries over the other bits (the block is turned to the front). A root with more than ``node_limit``
+pair of nodes is dropped as soon as they exceed the budget. Spark deals the walk out: the 64 bits are cut into
+blocks, a few more than the budget, so that two fingerprints within it agree on one block (up to three bits) or two; the
+values of every such choice of blocks are the roots of separate tries over the other bits (the blocks come first). A root with more than ``node_limit``
 fingerprints is split into pairs of its children, eight bits down, by Spark joins, again under the budget, until every
 task holds a bounded pair of nodes; one fingerprint's copies never leave the fingerprint table.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -125,9 +126,45 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return label
 
 
-def _turned(begin: int) -> Column:
-    """The fingerprint with bit ``begin`` (from the top) turned to the front."""
-    return F.col("fp") if begin == 0 else F.shiftleft("fp", begin).bitwiseOR(F.shiftrightunsigned("fp", 64 - begin))
+class Layout:
+    """The order in which the bits of a fingerprint are laid out along the path of one trie: (from, to, width) from the
+    top, the first ``lead`` bits being the root's."""
+
+    def __init__(self, cuts: list[int], chosen: tuple[int, ...]):
+        parts = [(cuts[i], cuts[i + 1] - cuts[i]) for i in (*chosen, *(j for j in range(len(cuts) - 1) if j not in chosen))]
+        self.moves, to = [], 0
+        for begin, width in parts:
+            self.moves.append((begin, to, width))
+            to += width
+        self.lead = sum(width for _, width in parts[: len(chosen)])
+
+    def path(self) -> Column:
+        """The fingerprint column fp in this order."""
+        out = None
+        for begin, to, width in self.moves:
+            bits = F.shiftrightunsigned("fp", 64 - begin - width)
+            bits = bits.bitwiseAND((1 << width) - 1) if width < 64 else bits
+            bits = F.shiftleft(bits, 64 - to - width) if to + width < 64 else bits
+            out = bits if out is None else out.bitwiseOR(bits)
+        return out
+
+    def back(self, path: np.ndarray) -> np.ndarray:
+        """Signed fingerprints of unsigned paths."""
+        out = np.zeros(len(path), np.uint64)
+        for begin, to, width in self.moves:
+            out |= ((path >> np.uint64(64 - to - width)) & np.uint64((1 << width) - 1)) << np.uint64(64 - begin - width)
+        return out.view(np.int64)
+
+
+def layouts(budget: int) -> list[Layout]:
+    """Layouts such that two fingerprints within the budget agree on the lead of at least one.
+
+    Up to three bits: budget+1 blocks, of which one agrees. Beyond: budget+2 blocks, of which two agree, so that roots
+    stay narrow.
+    """
+    n, agree = (budget + 1, 1) if budget <= 3 else (budget + 2, 2)
+    cuts = [round(64 * i / n) for i in range(n + 1)]
+    return [Layout(cuts, chosen) for chosen in combinations(range(n), agree)]
 
 
 def trie_links(fps: DataFrame, budget: int = 3, node_limit: int = NODE_LIMIT, all_pairs: bool = False) -> DataFrame:
@@ -138,11 +175,13 @@ def trie_links(fps: DataFrame, budget: int = 3, node_limit: int = NODE_LIMIT, al
     """
     if not 0 <= budget < 16:
         raise ValueError("a budget of 0 to 15 bits")
-    edges = [round(64 * i / (budget + 1)) for i in range(budget + 2)]
-    blocks = F.array(*(F.struct(F.lit(i).alias("block"), _turned(lo).alias("path"), F.shiftrightunsigned(_turned(lo), 64 - (hi - lo)).alias("pa")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))))
-    rows = fps.select("fp").distinct().select(F.explode(blocks).alias("x")).select("x.block", "x.pa", F.col("x.pa").alias("pb"), F.lit(0).alias("spent"), F.lit(0).alias("side"), "x.path")
+    laid = layouts(budget)
+    blocks = F.array(*(F.struct(F.lit(i).alias("block"), x.path().alias("path")) for i, x in enumerate(laid)))
+    lead = F.create_map(*(F.lit(x) for i, own in enumerate(laid) for x in (i, own.lead)))
+    rows = fps.select("fp").distinct().select(F.explode(blocks).alias("x")).select("x.block", "x.path").withColumn("pa", F.call_function("shiftrightunsigned", F.col("path"), 64 - lead[F.col("block")]))
+    rows = rows.select("block", "pa", F.col("pa").alias("pb"), F.lit(0).alias("spent"), F.lit(0).alias("side"), "path")
     node = ["block", "pa", "pb", "spent"]
-    wide = {i: hi - lo for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))}
+    wide = {i: x.lead for i, x in enumerate(laid)}
     found, down = None, 0
     while True:
         rows = common.written(rows, "trie")
@@ -150,7 +189,7 @@ def trie_links(fps: DataFrame, budget: int = 3, node_limit: int = NODE_LIMIT, al
         heavy = common.written(heavy, "heavy")
         some, last = not heavy.isEmpty(), down + 8 > 64 - max(wide.values())
         light = rows if last or not some else rows.join(heavy, node, "left_anti")
-        got = _compared(light, wide, down, budget, all_pairs)
+        got = _compared(light, laid, down, budget, all_pairs)
         found = got if found is None else found.unionByName(got)
         if last or not some:
             break
@@ -169,19 +208,21 @@ def trie_links(fps: DataFrame, budget: int = 3, node_limit: int = NODE_LIMIT, al
     return found.distinct()
 
 
-def _compared(rows: DataFrame, wide: dict[int, int], down: int, budget: int, all_pairs: bool) -> DataFrame:
+def _compared(rows: DataFrame, laid: list[Layout], down: int, budget: int, all_pairs: bool) -> DataFrame:
     """Walks every node pair of rows; the rows of a node pair lie together in their partition's order."""
-    ends = np.cumsum([0, *wide.values()])
     node = ["block", "pa", "pb", "spent"]
 
-    def back(v: np.ndarray, turn: np.ndarray) -> np.ndarray:
-        turn = turn.astype(np.uint64)
-        return ((v >> turn) | (v << ((np.uint64(64) - turn) & np.uint64(63)))).view(np.int64)
+    def back(v: np.ndarray, block: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(v), np.int64)
+        for b in np.unique(block):
+            own = block == b
+            out[own] = laid[b].back(v[own])
+        return out
 
     def large(block: int, spent: int, path: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = np.sort(path[side == 0]), np.sort(path[side == 1])
         values, shift = np.concatenate((a, b)), len(a) if len(b) else 0
-        pairs = ((i, j + shift) for i, j in walk(a, b if len(b) else None, budget, spent, min(64, wide[block] + down)))
+        pairs = ((i, j + shift) for i, j in walk(a, b if len(b) else None, budget, spent, min(64, laid[block].lead + down)))
         if all_pairs:
             got = list(pairs)
             i, j = (np.concatenate([g[k] for g in got]) if got else np.empty(0, np.int64) for k in (0, 1))
@@ -204,12 +245,12 @@ def _compared(rows: DataFrame, wide: dict[int, int], down: int, budget: int, all
             if not len(i):
                 break
             i = i[np.bitwise_count(path[i] ^ path[i + k]) <= budget]
-            out.append((back(path[i], ends[block[i]]), back(path[i + k], ends[block[i]])))
+            out.append((back(path[i], block[i]), back(path[i + k], block[i])))
         for g in np.flatnonzero(~few & (size > 1)):
             own = slice(new[g], new[g] + size[g])
             x, y = large(int(block[new[g]]), int(spent[new[g]]), path[own], side[own])
-            turn = np.full(len(x), ends[block[new[g]]])
-            out.append((back(x, turn), back(y, turn)))
+            own_layout = laid[int(block[new[g]])]
+            out.append((own_layout.back(x), own_layout.back(y)))
         x, y = (np.concatenate([o[k] for o in out]) for k in (0, 1))
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
