@@ -16,7 +16,9 @@ def read_extract(spark: SparkSession, path: str, columns: list[str], multi_line:
     """(rows, rejected) of a JSON array of flat objects, every value read as a string; unparseable ones are rejected."""
     schema = StructType([*(StructField(c, StringType()) for c in columns), StructField("_corrupt", StringType())])
     rows = spark.read.schema(schema).option("multiLine", multi_line).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.where("_corrupt IS NULL").drop("_corrupt"), rows.where("_corrupt IS NOT NULL").select("_corrupt")
+    # Spark refuses to look at the corrupt column alone, so a data column is always read with it
+    read = F.length(F.concat_ws("", *columns)) >= 0
+    return rows.where(F.col("_corrupt").isNull() & read).drop("_corrupt"), rows.where(F.col("_corrupt").isNotNull() & read).select("_corrupt")
 
 
 def extract_counts(rows: DataFrame, rejected: DataFrame) -> DataFrame:
