@@ -12,6 +12,10 @@ from . import vocab
 from .gates import classify_use
 
 
+#: A word's edge by ASCII letters, digits and underscores alone, whatever the Java version.
+WORD_EDGE = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+
+
 def column_coverage(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
     """Per column: populated rows, their share in percent and distinct values."""
     distinct = F.approx_count_distinct if approximate else F.count_distinct
@@ -84,7 +88,7 @@ def copy_policy_audit(df: DataFrame, key: str, text: str) -> DataFrame:
         at = F.char_length(F.split(F.col(text), pattern, 2)[0])
         return df.where(F.col(text).rlike(pattern)).select(key, F.lit(name).alias("rule"), hits[0].alias("match"), F.size(hits).cast("long").alias("n_matches"), at.cast("long").alias("first_index"))
 
-    return reduce(DataFrame.unionByName, [rule("banned-language", vocab.BANNED_COPY), rule("em-dash", vocab.EM_DASH)])
+    return reduce(DataFrame.unionByName, [rule("banned-language", vocab.BANNED_COPY.replace(r"\b", WORD_EDGE)), rule("em-dash", vocab.EM_DASH)])
 
 
 def firm_footprint(contacts: DataFrame) -> DataFrame:

@@ -90,9 +90,9 @@ def _(spark, d):
 
 @query(
     "a11_copy_policy_audit",
-    with_roles("replies") + """, m AS (SELECT reply_id, copy_text, CASE conv_id % 4 WHEN 1 THEN 'agent' WHEN 2 THEN 'GPT' WHEN 3 THEN 'automatic' END AS first FROM replies)
-    SELECT reply_id, 'banned-language' AS rule, REGEXP_EXTRACT(copy_text, '(?i)\\b(agent|GPT|robot|automatic)\\b') AS match, CAST(LEN(REGEXP_EXTRACT_ALL(copy_text, '(?i)\\b(agent|GPT|robot|automatic)\\b')) AS BIGINT) AS n_matches, CAST(STRPOS(copy_text, first) - 1 AS BIGINT) AS first_index FROM m WHERE first IS NOT NULL
-    UNION ALL SELECT reply_id, 'em-dash', '—', CAST(LENGTH(copy_text) - LENGTH(REPLACE(copy_text, '—', '')) AS BIGINT), CAST(STRPOS(copy_text, '—') - 1 AS BIGINT) FROM m WHERE CONTAINS(copy_text, '—')""",
+    with_roles("replies") + f"""SELECT reply_id, 'banned-language' AS rule, REGEXP_EXTRACT(copy_text, '{vocab.BANNED_COPY}') AS match, CAST(LEN(REGEXP_EXTRACT_ALL(copy_text, '{vocab.BANNED_COPY}')) AS BIGINT) AS n_matches,
+        CAST(LENGTH(REGEXP_EXTRACT(copy_text, '(?is)^(.*?){vocab.BANNED_COPY[4:]}', 1)) AS BIGINT) AS first_index FROM replies WHERE REGEXP_MATCHES(copy_text, '{vocab.BANNED_COPY}')
+    UNION ALL SELECT reply_id, 'em-dash', '—', CAST(LENGTH(copy_text) - LENGTH(REPLACE(copy_text, '—', '')) AS BIGINT), CAST(STRPOS(copy_text, '—') - 1 AS BIGINT) FROM replies WHERE CONTAINS(copy_text, '—')""",
 )
 def _(spark, d):
     return A.copy_policy_audit(frame(spark, d, "replies"), "reply_id", "copy_text")
