@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.llm import decontam, langid, packing, pii, simhash
-from sievewright.llm.common import table, written
+from sievewright.llm.common import bounded_batches, table, written
 from sievewright.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told; the rest keep their columns."""
+    bounded_batches(spark)
     learned = langid.fit(docs.select("doc_id", "text", "lang"), F.lit(True))
     return langid.classify(docs, learned).where(~F.col("lang_rejected")).select(docs.columns)
 
@@ -29,21 +30,25 @@ NEAR_BITS = 6
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near-duplicates."""
+    bounded_batches(spark)
     return simhash.one_of_each(docs, budget=NEAR_BITS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a benchmark item occurs."""
+    bounded_batches(spark)
     return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in the texts; no document goes."""
+    bounded_batches(spark)
     return pii.redact(docs, pii.fit(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of at most 2048 tokens."""
+    bounded_batches(spark)
     return packing.pack_digests(docs, tokenizer_path("word_bpe_49k.json"))
 
 

@@ -23,6 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Long texts: hand fewer rows at a time to Python workers than Spark's default."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage is cut, columns stay prunable."""
     spark = df.sparkSession

@@ -6,8 +6,8 @@ logarithm is the sum over its words, and the forward recursion in log space runs
 scores give the first weights; one expectation step over all words of the training documents, weighted by their counts,
 then fits the weights to the corpus. Bytes without a piece of their own have a piece each, so every text has a score.
 
-Word counts come from a grouped count over the whole corpus. The ``head_words`` most frequent words are broadcast (their
-number and length are bounded); all others are looked up by a join on the word, so no table of all words is ever held
+Word counts come from a grouped count over the whole corpus. The most frequent words, at most ``head_words``, are broadcast
+(their number and length are bounded); all others are looked up by a join on the word, so no table of all words is ever held
 in one place.
 
 Defined results: null and empty texts are the end alone; repeated rows are scored once each; without training documents
@@ -227,7 +227,15 @@ def score(docs: DataFrame, path: str, head_words: int = HEAD_WORDS) -> DataFrame
         pieces.log = weights.value
         return pieces.log_words(words) / LN10
 
-    first = counts.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(head_words).toPandas()
+    # the head: all words above the lowest count that at most head_words reach, found from counts per eighth of an octave
+    octave = F.floor(F.log2("c") * 8)
+    short = counts.where((F.col("c") > 0) & (F.octet_length("word") <= HEAD_BYTES))
+    reached, lowest = 0, None
+    for r in sorted(short.groupBy(octave.alias("o")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["o"]):
+        if (reached := reached + r["n"]) > head_words:
+            break
+        lowest = r["o"]
+    first = short.where(octave >= lowest if lowest is not None else F.lit(False)).select("word", "c").toPandas()
     known_first = vocabulary(path).log
     head_score = log_words(first["word"].tolist())
     vocabulary(path).log = known_first

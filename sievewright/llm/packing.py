@@ -30,7 +30,7 @@ from . import common
 #: Parts that the rows of one length are ranked in, so that no length is ranked by one task.
 RANK_PARTS = 64
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 
 
 @lru_cache(maxsize=2)
@@ -113,7 +113,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         closing = end_id.to_bytes(4, "little")
         for batch in it:
-            for part in common.batches(batch):
+            for part in common.batches(batch, most_bytes=2 << 20):
                 doc, start, total, ids, begin = [], [], [], [], 0
                 every, ends = _token_ids(part.column("text"), tokenizer)
                 for d, end in zip(part.column("doc_id").to_pylist(), ends.tolist(), strict=True):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, table
+from .common import bounded_batches, remainder, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -106,6 +106,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
+
+
+def _bounded(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {name: _bounded(f) for name, f in QUERIES.items()}
+
 ORACLES: dict[str, str] = {}
 
 _SAID = "<|im_end|><|im_start|>assistant ok"

@@ -34,7 +34,7 @@ WINDOW = 13
 #: Rounds of pair compression.
 ROUNDS = 3
 #: Text that a task holds as arrays at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _NO = np.uint64(2**64 - 1)
 
