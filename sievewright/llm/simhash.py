@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from . import common
 from .components import connected_components
 
+#: Words of a shingle, and the share of all shingles of two texts that both have, at which the texts are near-duplicates.
+SHINGLE_WORDS, SHARE = 5, 0.8
 #: Distinct fingerprints of one trie root beyond which its children become tasks of their own.
 NODE_LIMIT = 20_000
 #: Node pairs that are held at once within a task.
@@ -34,24 +36,35 @@ FRONTIER = 200_000
 SMALL = 256
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash of the word shingles of one text."""
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()  # bytes: only A-Z and ASCII blanks count
+
+
+def _hashes(own: list[bytes], words: int, seed: int = 42) -> list[int]:
+    """64-bit hashes of the word shingles, in order; fewer words than a shingle's are one shingle."""
     from xxhash import xxh64_intdigest
 
-    own = (text or "").encode().lower().split()  # bytes: only A-Z and ASCII blanks count
+    if len(own) <= words:
+        return [xxh64_intdigest(b" ".join(own), seed)]
+    joined = b" ".join(own)
+    ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own))) + np.arange(len(own))
+    begins = np.concatenate(([0], ends[: len(own) - words] + 1)).tolist()
+    return list(map(partial(xxh64_intdigest, seed=seed), map(joined.__getitem__, map(slice, begins, ends[words - 1 :].tolist()))))
+
+
+def _fingerprint(own: list[bytes], words: int, seed: int = 42) -> int:
     if not own:
         return 0
-    if len(own) <= words:
-        hashes = [xxh64_intdigest(b" ".join(own), seed)]
-    else:
-        joined = b" ".join(own)
-        ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own))) + np.arange(len(own))
-        begins = np.concatenate(([0], ends[: len(own) - words] + 1)).tolist()
-        hashes = list(map(partial(xxh64_intdigest, seed=seed), map(joined.__getitem__, map(slice, begins, ends[words - 1 :].tolist()))))
+    hashes = _hashes(own, words, seed)
     bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash of the word shingles of one text."""
+    return _fingerprint(_words(text), words, seed)
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) for every row of docs (doc_id, text)."""
 
@@ -212,6 +225,15 @@ def _compared(rows: DataFrame, laid: list[Layout], down: int, budget: int, all_p
     """Walks every node pair of rows; the rows of a node pair lie together in their partition's order."""
     node = ["block", "pa", "pb", "spent"]
 
+    leads = [x.back(np.array([~((1 << 64 - x.lead) - 1) & (1 << 64) - 1], np.uint64))[0] for x in laid]
+
+    def anew(x: np.ndarray, y: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """The pairs that agree on the lead of no earlier block, where they were found already."""
+        new = np.ones(len(x), bool)
+        for b in range(int(block.max(initial=0))):
+            new &= (b >= block) | (((x ^ y) & leads[b]) != 0)
+        return new
+
     def back(v: np.ndarray, block: np.ndarray) -> np.ndarray:
         out = np.zeros(len(v), np.int64)
         for b in np.unique(block):
@@ -245,12 +267,16 @@ def _compared(rows: DataFrame, laid: list[Layout], down: int, budget: int, all_p
             if not len(i):
                 break
             i = i[np.bitwise_count(path[i] ^ path[i + k]) <= budget]
-            out.append((back(path[i], block[i]), back(path[i + k], block[i])))
+            x, y = back(path[i], block[i]), back(path[i + k], block[i])
+            once = anew(x, y, block[i]) if all_pairs else slice(None)
+            out.append((x[once], y[once]))
         for g in np.flatnonzero(~few & (size > 1)):
             own = slice(new[g], new[g] + size[g])
             x, y = large(int(block[new[g]]), int(spent[new[g]]), path[own], side[own])
             own_layout = laid[int(block[new[g]])]
-            out.append((own_layout.back(x), own_layout.back(y)))
+            x, y = own_layout.back(x), own_layout.back(y)
+            once = anew(x, y, np.full(len(x), block[new[g]])) if all_pairs else slice(None)
+            out.append((x[once], y[once]))
         x, y = (np.concatenate([o[k] for o in out]) for k in (0, 1))
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
@@ -282,7 +308,71 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 3) -> DataFra
     return prints.join(known.join(root, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def forms(docs: DataFrame, words: int = 3) -> DataFrame:
+    """doc_id, row, fp and form for every row of docs (doc_id, text, row): texts of one form have the same words, and so
+    the same fingerprint and shingles."""
+    from xxhash import xxh3_128_hexdigest
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            got = [(_fingerprint(own, words), xxh3_128_hexdigest(b" ".join(own))) for own in map(_words, batch.column("text").to_pylist())]
+            fp = np.array([g[0] for g in got], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(fp, pa.int64()), pa.array([g[1] for g in got], pa.string())], names=["doc_id", "row", "fp", "form"])
+
+    return docs.select("doc_id", "text", "row").mapInArrow(run, "doc_id long, row string, fp long, form string")
+
+
+def shingle_sets(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """row, the sorted hashes of the distinct shingles (a text without words has none) and a digest of them, for every
+    row of docs (text, row)."""
+    from xxhash import xxh3_128_hexdigest
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            got = [np.unique(np.array(_hashes(own, words) if own else [], np.uint64)).view(np.int64) for own in map(_words, batch.column("text").to_pylist())]
+            sets = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, got)]), pa.int32()), pa.array(np.concatenate([*got, np.empty(0, np.int64)]), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), sets, pa.array([xxh3_128_hexdigest(g.tobytes()) for g in got], pa.string())], names=["row", "shingles", "digest"])
+
+    return docs.select("text", "row").mapInArrow(run, "row string, shingles array<long>, digest string")
+
+
+def verified_links(candidates: DataFrame, sets: DataFrame) -> DataFrame:
+    """The candidates (a, b: nodes) whose shingle sets (node, n, shingles) share SHARE or more of their union."""
+    tenths = round(10 * SHARE)
+    size = {c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab"}
+    held = {c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab"}
+    able = candidates.join(size["a"], "a").join(size["b"], "b").where(10 * F.least("n_a", "n_b") >= tenths * F.greatest("n_a", "n_b"))
+    both = able.join(held["a"], "a").join(held["b"], "b").withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
+    return both.where((10 + tenths) * F.col("common") >= tenths * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def one_of_each(docs: DataFrame, words: int = 3, budget: int = 3) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest doc_id stays, all columns kept."""
-    kept = near_duplicates(docs, words, budget).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    """docs without near-duplicates: of each component the row with the smallest doc_id stays, all columns kept.
+
+    Fingerprints within the budget are candidates only: two texts are linked if they share SHARE or more of their
+    five-word shingles, counted over the sets themselves.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    row = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(" "), text))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), row.alias("row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
+    known = common.written(forms(rows, words).groupBy("fp", "form").agg(first.alias("first")), "forms")
+    prints = common.written(known.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "distinct")
+    near = common.written(trie_links(prints, budget, all_pairs=True), "near")
+    asked = near.select(F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("fp"))).unionByName(prints.where("n > 1").select("fp")).distinct()
+    wanted = common.written(known.join(asked, "fp", "left_semi").select("fp", "form", F.col("first.row").alias("row")), "wanted")
+    # A repeated row gives the same set again; the smallest form stands for all of one fingerprint and set.
+    found = shingle_sets(rows.join(wanted.select("row"), "row", "left_semi")).dropDuplicates(["row"])
+    sets = common.written(found.join(wanted, "row").select("fp", "form", "digest", F.size("shingles").alias("n"), "shingles"), "sets")
+    nodes = sets.groupBy("fp", "digest").agg(F.min("form").alias("node"))
+    node_of = common.written(sets.select("fp", "digest", "form").join(nodes, ["fp", "digest"]).select("fp", "form", "node"), "nodes")
+    held = sets.join(node_of.where("form = node").select("node"), F.col("form") == F.col("node"), "left_semi").withColumnRenamed("form", "node")
+    at = node_of.where("form = node").select("fp", "node")
+    apart = near.join(at.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(at.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
+    alike = at.select("fp", F.col("node").alias("x")).join(at.select("fp", F.col("node").alias("y")), "fp").where("x < y").select("x", "y")
+    links = verified_links(apart.unionByName(alike).toDF("a", "b"), held)
+    label = connected_components(links)
+    named = node_of.join(label, "node", "left").select("form", F.coalesce("component", "node").alias("component"))
+    groups = known.join(named, "form", "left").withColumn("component", F.coalesce("component", "form"))
+    kept = groups.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+    return docs.withColumn("_row", row).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row").dropDuplicates(["doc_id"])

@@ -232,6 +232,39 @@ def test_near_duplicates_over_odd_rows(spark):
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def jaccard(one, other):
+    def of(t):
+        w = t.lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    return len(of(one) & of(other)) / len(of(one) | of(other))
+
+
+def test_near_dedup_checks_the_texts(spark):
+    rng = random.Random(17)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    scattered, tail = list(words), [*words[:190], *(f"z{i}" for i in range(10))]
+    for i in range(5, 200, 30):
+        scattered[i] = f"y{i}"
+    texts = {1: " ".join(words), 2: " ".join(scattered), 3: " ".join(tail), 4: " ".join(words).upper(), 5: "q " * 30, 6: "q " * 90, 7: "nothing like them"}
+    prints = {d: simhash.fingerprint(t) for d, t in texts.items()}
+    assert all((prints[1] ^ prints[d]).bit_count() <= 4 for d in (2, 3)) and jaccard(texts[1], texts[2]) < 0.8 <= jaccard(texts[1], texts[3])
+    kept = simhash.one_of_each(docs_of(spark, list(texts.items())), budget=4).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2, 5, 7]
+
+
+def test_near_dedup_against_all_pairs(spark):
+    texts = table(spark)
+    fps = {d: simhash.fingerprint(t) for d, t in texts.items()}
+    lowest = {d: d for d in texts}
+    pairs = [(a, b) for a in texts for b in texts if a < b and (fps[a] ^ fps[b]).bit_count() <= 6 and jaccard(texts[a], texts[b]) >= 0.8]
+    for _ in texts:
+        for a, b in pairs:
+            lowest[a] = lowest[b] = min(lowest[a], lowest[b])
+    kept = simhash.one_of_each(common.table(spark, SF, "documents"), budget=6)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(lowest.values()))
+
+
 # --- substring dedup
 
 
