@@ -1,9 +1,9 @@
 """Document fingerprints by context-triggered piecewise hashing.
 
 A rolling hash over seven bytes decides where a piece ends: where it leaves block-1 modulo the block size. Every piece
-gives one character of the signature, so an edit changes a few characters only. A fingerprint is
+gives one character of the signature, however many there are, so an edit changes a few characters only. A fingerprint is
 ``block:signature:signature at twice the block``; the block size is the smallest for which about 64 pieces are expected,
-halved while fewer than half of them are found. Fingerprints of equal or neighbouring block sizes are compared by the
+halved while fewer than half of them are found. Repeated lines may give many more: all of them count. Fingerprints of equal or neighbouring block sizes are compared by the
 edit distance of the signatures that belong to the same block size; all others have likeness 0.
 
 Defined results: null and empty texts have the fingerprint ``3::``; equal texts have equal fingerprints, which have
@@ -47,8 +47,8 @@ def rolling(data: bytes) -> np.ndarray:
     return out + mixed
 
 
-def _signature(data: bytes, ends: np.ndarray, most: int) -> str:
-    cuts = (ends[: most - 1] + 1).tolist()
+def _signature(data: bytes, ends: np.ndarray) -> str:
+    cuts = (ends + 1).tolist()
     begin, out = 0, []
     for end in cuts:
         out.append(LETTERS[zlib.crc32(data[begin:end]) & 63])
@@ -72,7 +72,7 @@ def fingerprint(text: str | None) -> str:
             break
         block //= 2
     double = np.flatnonzero(r % np.uint32(2 * block) == 2 * block - 1)
-    return f"{block}:{_signature(data, ends, PIECES)}:{_signature(data, double, PIECES // 2)}"
+    return f"{block}:{_signature(data, ends)}:{_signature(data, double)}"
 
 
 def _score(a: str, b: str) -> float:

@@ -348,6 +348,15 @@ def test_next_comparisons(spark):
     assert piecewise.next_comparisons(docs_of(spark, [(3, "alone")])).first().near_next == 1.0
 
 
+def test_every_piece_counts():
+    one, other = (f"{'the quick brown fox jumps over the lazy dog':<50}{x} and then it rests a while.\n" * 1000 for x in ("", "yesterday"))
+    half = len(one) // 2
+    full, end, start = (piecewise.fingerprint(t) for t in (one, one[:half] + other[:half], other[:half] + one[half:]))
+    assert len(full.split(":")[1]) > 900
+    for edited in (end, start):
+        assert 0.3 < piecewise.likeness(full, edited) < 0.7
+
+
 # --- chat
 
 
