@@ -350,7 +350,8 @@ def one_of_each(docs: DataFrame, words: int = 3, budget: int = 3) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest doc_id stays, all columns kept.
 
     Fingerprints within the budget are candidates only: two texts are linked if they share SHARE or more of their
-    five-word shingles, counted over the sets themselves.
+    five-word shingles, counted over the sets themselves. Rows are told apart by doc_id and text: unlike texts under one
+    doc_id or none all stay, repeated rows count once, and a row without doc_id stays only if none of its component has one.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     row = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(" "), text))
@@ -375,4 +376,4 @@ def one_of_each(docs: DataFrame, words: int = 3, budget: int = 3) -> DataFrame:
     named = node_of.join(label, "node", "left").select("form", F.coalesce("component", "node").alias("component"))
     groups = known.join(named, "form", "left").withColumn("component", F.coalesce("component", "form"))
     kept = groups.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
-    return docs.withColumn("_row", row).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row").dropDuplicates(["doc_id"])
+    return docs.withColumn("_row", row).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")

@@ -253,6 +253,12 @@ def test_near_dedup_checks_the_texts(spark):
     assert sorted(r.doc_id for r in kept) == [1, 2, 5, 7]
 
 
+def test_near_dedup_keeps_unlike_texts_of_one_id(spark):
+    rows = [(None, "alone and without an id"), (None, "another that has none"), (None, "with an id elsewhere"), (3, "with an id elsewhere"), (9, "first under nine"), (9, "quite a different second"), (9, "first under nine")]
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each(docs_of(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted({*rows} - {(None, "with an id elsewhere")}, key=str)
+
+
 def test_near_dedup_against_all_pairs(spark):
     texts = table(spark)
     fps = {d: simhash.fingerprint(t) for d, t in texts.items()}
