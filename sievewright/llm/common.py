@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a batch that goes to a Python worker.
+BATCH_BYTES = 16 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor shares: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,8 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Long texts: hand fewer rows at a time to Python workers than Spark's default."""
+    """Long texts: hand fewer rows, and fewer bytes, at a time to Python workers than Spark's default. This holds for the
+    session, so the registered queries and the pipeline call it; the operators don't."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -55,6 +61,14 @@ def batches(batch: pa.RecordBatch, column: str = "text", most_bytes: int = 4 <<
         yield batch.slice(begin)
 
 
+def fresh(name: str, docs: DataFrame) -> str:
+    """A column name that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def remainder(column: Column | str, divisor: int) -> Column:
     """crc32 of the value as text, modulo divisor; a null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"), F.lit("")).cast("binary")) % divisor

@@ -7,24 +7,33 @@ from pyspark.sql import functions as F
 
 from . import common
 
+HUBS, SALTS = 256, 64
+
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of edges (a, b). Nodes without edges are absent.
 
     Each round replaces links by links to the smallest neighbour; the number of rounds grows with the logarithm of the
-    longest chain. Rounds are written to the shared folder, so a lost executor repeats one round at most.
+    longest chain. Rounds are written to the shared folder, so a lost executor repeats one round at most. A node with
+    more than a HUBS-th of all links, of which there are at most 2 * HUBS, has its links dealt out by a salt.
+
+    Defined results: links of a node to itself and repeated links change nothing; links with a null end are ignored; no
+    links give no rows; nodes may be of any type that has an order, and other columns are ignored.
     """
     def star(pairs: DataFrame, both: bool) -> DataFrame:
         if both:  # large star: larger neighbours move to the smallest
             sides = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
         else:  # small star: smaller neighbours, and the node itself, move
             sides = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        low = sides.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        joined = sides.join(low, "u")
+        low = sides.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+        heavy = low.where(F.col("n") > limit).select("u", F.lit(True).alias("hub"))
+        salted = sides.join(F.broadcast(heavy), "u", "left").withColumn("salt", F.when(F.col("hub"), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hub")
+        joined = salted.join(low.withColumn("salt", F.explode(F.when(F.col("n") > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))), ["u", "salt"]).select("u", "v", "m")
         moved = joined.where(F.col("v") > F.col("u")) if both else joined.where(F.col("v") != F.col("m")).unionByName(low.select("u", F.col("u").alias("v"), "m"))
         return moved.where(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
     current, before = common.written(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct(), "edges"), None
+    limit = max(1000, current.count() // HUBS)
     for _ in range(most_rounds):
         current = common.written(star(star(current, True), False), "edges")
         seen = current.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()

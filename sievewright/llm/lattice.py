@@ -32,8 +32,6 @@ from . import common
 HEAD_WORDS = 100_000
 #: Bytes of a word beyond which it is never among them.
 HEAD_BYTES = 64
-#: Longest piece, in bytes, that is looked up.
-LONGEST = 24
 #: Words whose lattices are held at once.
 CHUNK = 4096
 #: Pseudo-count of every piece.
@@ -48,7 +46,7 @@ class Pieces:
 
     def __init__(self, pieces: list[bytes], scores: list[float]):
         """The last weight is the end's. Scores are logarithms, or minus a rank where any lies under -100."""
-        keep = {p: s for p, s in zip(pieces, scores, strict=True) if 0 < len(p) <= LONGEST}
+        keep = {p: s for p, s in zip(pieces, scores, strict=True) if p}
         for b in range(256):
             keep.setdefault(bytes([b]), min(scores, default=0.0) - 1)
         self.pieces = sorted(keep)

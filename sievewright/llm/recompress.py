@@ -8,12 +8,15 @@ represented by one symbol whose context it holds (the highest round, ties by nam
 hash. Two equal windows therefore share their representative's key.
 
 Spark deals the work out in shuffles of narrow rows: representative keys of all documents (one row per document and
-key); keys met in several documents then reveal, per document, which windows may repeat; those windows are verified by a
-96-bit hash of their words, and the smallest doc_id per window decides what goes.
-
-Defined results: null and empty texts have no words; documents shorter than a window keep all; rows that repeat a doc_id
-are judged as one document's parts, i.e. they never remove each other's words; a null doc_id neither removes nor loses
-words; an empty table gives no rows; other columns are kept by remove_repeats().
+key); keys met in several documents then reveal, per document, which windows may repeat; those windows are verified by
+hashes of their words (96 bits, from two independent names of each word), and the smallest doc_id per window decides
+what goes. Keys and windows that very many documents have are found on a part of the documents first; their rows are
+dealt out by a salt, as such a key is shared anyway and such a window's smallest doc_id is aggregated before it is joined.
+
+Defined results: null and empty texts have no words; documents shorter than a window keep all; very long texts are read
+whole; rows that repeat a doc_id are judged as one document's parts, i.e. they never remove each other's words; a null
+doc_id neither removes nor loses words; an empty table gives no rows; other columns are kept by remove_repeats(),
+whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +38,9 @@ WINDOW = 13
 ROUNDS = 3
 #: Text that a task holds as arrays at once.
 BATCH_BYTES = 4 << 20
+#: One in so many documents is looked at for keys that very many have: those in over a HOT_SHARE-th of them, and in
+#: HOT_LEAST at least. This only decides which rows are salted.
+PART, HOT_SHARE, HOT_LEAST, SALTS = 64, 2000, 50, 64
 _P1, _P2, _P3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _NO = np.uint64(2**64 - 1)
 
@@ -46,39 +52,42 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_names(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(names, ends): a 64-bit name for every word of all texts in turn, and where each text's words end."""
-    from xxhash import xxh64_intdigest
+def word_names(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names, second names, ends): two independent 64-bit names for every word of all texts in turn, and where each
+    text's words end."""
+    from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
     words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    coded = pc.drop_null(words.flatten()).dictionary_encode()
-    counts = np.asarray(words.value_lengths()).astype(np.int64)
     flat = words.flatten()
-    names = [xxh64_intdigest(w) for w in coded.dictionary.to_pylist()]
+    coded = flat.dictionary_encode()
+    ends = np.cumsum(np.asarray(words.value_lengths()).astype(np.int64))
+    known = [w.encode() for w in coded.dictionary.to_pylist()]
+    at = coded.indices.to_numpy() if len(flat) else np.zeros(0, np.int64)
+    first, second = (np.array([f(w) for w in known], np.uint64)[at] for f in (xxh64_intdigest, xxh3_64_intdigest))
     blank = pc.equal(flat, "").to_numpy(zero_copy_only=False) if len(flat) else np.zeros(0, bool)
-    got = np.array(names, np.uint64)[coded.indices.to_numpy()] if len(flat) else np.zeros(0, np.uint64)
-    ends = np.cumsum(counts)
     if blank.any():  # blanks at the edges of a text leave empty pieces
         gone = np.concatenate(([0], np.cumsum(blank)))
-        got, ends = got[~blank], ends - gone[ends]
-    return got, ends
+        first, second, ends = first[~blank], second[~blank], ends - gone[ends]
+    return first, second, ends
 
 
-def window_hashes(names: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, h1, h2) of every window that lies in one text."""
-    n = len(names)
-    if n < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    starts = np.arange(n - window + 1)
+def window_starts(n: int, ends: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Where the windows begin that lie in one text, of n words in all."""
+    starts = np.arange(max(0, n - window + 1))
     text = np.searchsorted(ends, starts, side="right")
-    starts = starts[ends[text] - starts >= window]
-    out = []
-    for seed in (_P1, _P3):
-        h = np.zeros(n - window + 1, np.uint64)
-        for i in range(window):
-            h = h * seed + _mix(names[i : n - window + 1 + i] ^ seed)
-        out.append(_mix(h)[starts])
-    return starts, out[0], out[1]
+    return starts[ends[text] - starts >= window] if len(starts) else starts
+
+
+def window_hashes(names: np.ndarray, starts: np.ndarray, seed: np.uint64, window: int = WINDOW) -> np.ndarray:
+    """Hashes of the windows that begin at starts."""
+    n = len(names)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    h = np.zeros(n - window + 1, np.uint64)
+    mixed = _mix(names ^ seed)
+    for i in range(window):
+        h = h * seed + mixed[i : n - window + 1 + i]
+    return _mix(h)[starts]
 
 
 def _symbols(names: np.ndarray, ends: np.ndarray, rounds: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -118,15 +127,15 @@ def _symbols(names: np.ndarray, ends: np.ndarray, rounds: int) -> Iterator[tuple
         name, left, right, opens = name[keep], begin[keep], end[keep], opens[keep]
 
 
-def representatives(names: np.ndarray, ends: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, keys, h1, h2): every window's start, its representative's key and its hashes.
+def representatives(names: np.ndarray, ends: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, keys, h1): every window's start, its representative's key and its hash.
 
     A key covers the words of the representative's whole context, which is part of the window.
     """
-    starts, h1, h2 = window_hashes(names, ends, window)
-    n = len(names)
+    n, starts = len(names), window_starts(len(names), ends, window)
+    h1 = window_hashes(names, starts, _P1, window)
     if not len(starts):
-        return starts, h1, h1, h2
+        return starts, h1, h1
     prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(names ^ _P2) * _powers(n))))
     best, key = np.full(n, _NO), np.zeros(n, np.uint64)
     for r, name, lo, hi in _symbols(names, ends, rounds):
@@ -143,7 +152,7 @@ def representatives(names: np.ndarray, ends: np.ndarray, window: int = WINDOW, r
             better = (here < best) & (size[d : d + n] + d <= window)
             best = np.where(better, here, best)
             key = np.where(better, own[d : d + n], key)
-    return starts, np.where(best[starts] == _NO, _mix(h1 ^ _P3), key[starts]), h1, h2
+    return starts, np.where(best[starts] == _NO, _mix(h1 ^ _P3), key[starts]), h1
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -178,8 +187,8 @@ def document_keys(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for part in common.batches(batch, most_bytes=BATCH_BYTES):
-                names, ends = word_names(part.column("text"))
-                starts, keys, _, _ = representatives(names, ends, window)
+                names, _, ends = word_names(part.column("text"))
+                starts, keys, _ = representatives(names, ends, window)
                 at = _once_per_text(np.searchsorted(ends, starts, side="right"), keys)
                 text = pa.array(np.searchsorted(ends, starts[at], side="right"))
                 yield pa.RecordBatch.from_arrays([_signed(keys[at]), part.column("digest").take(text), part.column("doc_id").take(text)], names=["key", "digest", "doc_id"])
@@ -215,59 +224,76 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for part in common.batches(batch.filter(batch.column("keys").is_valid()), most_bytes=BATCH_BYTES):
-                names, ends = word_names(part.column("text"))
-                starts, keys, h1, h2 = representatives(names, ends, window)
+                names, second, ends = word_names(part.column("text"))
+                starts, keys, h1 = representatives(names, ends, window)
                 text = np.searchsorted(ends, starts, side="right")
                 at = np.flatnonzero(_marked(part, text, keys, "keys"))
                 at = at[_once_per_text(text[at], h1[at])]
+                h2 = window_hashes(second, starts, _P3, window)
                 yield pa.RecordBatch.from_arrays([_signed(h1[at]), pa.array((h2[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)), part.column("doc_id").take(pa.array(text[at]))], names=["h1", "h2", "doc_id"])
 
     return keyed.mapInArrow(run, "h1 long, h2 int, doc_id long")
 
 
+def _hot(rows: DataFrame, key: list[str], documents: int) -> DataFrame:
+    """Keys of rows (of one in PART documents) that very many of these documents have."""
+    least = max(HOT_LEAST, documents // HOT_SHARE)
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(*key)
+
+
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with _gone (hashes h1 of the windows that also occur in a document with a smaller doc_id, or null) and _copy
-    (the whole text is that of a document with a smaller doc_id, or null). doc_id is long, text a string.
+    """(doc_id, gone, copy) for the documents of docs (doc_id long, text string) that lose words: gone holds the hashes h1
+    of the windows that also occur in a document with a smaller doc_id; copy says instead that the whole text is that of
+    a document with a smaller doc_id.
 
     Exact copies need no windows: they lose everything, and what they could remove the first copy removes as well. Both
     joins take the documents through the same shuffle, which Spark runs once.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").where("doc_id IS NOT NULL")
     digests = rows.select("doc_id", "digest", F.md5("text").alias("check"))
-    first = digests.groupBy("digest", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    first = digests.groupBy("digest", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    first = common.written(first, "first")
     copies = common.written(digests.join(first, ["digest", "check"]).where("doc_id > first").select("doc_id").distinct(), "copies")
-    keys = document_keys(rows, window)
-    met = Window.partitionBy("key")
-    shared = keys.withColumn("lo", F.min("digest").over(met)).withColumn("hi", F.max("digest").over(met)).where("lo < hi")
-    per_doc = shared.groupBy("doc_id").agg(F.collect_set("key").alias("keys")).join(copies, "doc_id", "left_anti").withColumnRenamed("doc_id", "_doc_id")
-    windows = repeated_windows(docs.join(per_doc, docs["doc_id"] == F.col("_doc_id"), "left").select("doc_id", "text", "keys"), window)
-    same = Window.partitionBy("h1", "h2")
-    later = windows.withColumn("lo", F.min("doc_id").over(same)).where("lo < doc_id")
-    gone = later.groupBy("doc_id").agg(F.collect_set("h1").alias("_gone"))
-    marks = gone.withColumn("_copy", F.lit(None).cast("boolean")).unionByName(copies.select("doc_id", F.lit(None).cast("array<bigint>").alias("_gone"), F.lit(True).alias("_copy"))).withColumnRenamed("doc_id", "_doc_id")
-    return docs.join(marks, docs["doc_id"] == F.col("_doc_id"), "left").drop("_doc_id")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PART)) == 0
+    some = rows.where(part).count()
+    hot = common.written(_hot(document_keys(rows.where(part), window), ["key"], some).withColumn("hot", F.lit(True)), "hot")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "digest"), F.lit(SALTS)).cast("int")).otherwise(0)
+    keys = document_keys(rows, window).join(F.broadcast(hot), "key", "left").withColumn("salt", salt)
+    met = Window.partitionBy("key", "salt")
+    shared = keys.withColumn("lo", F.min("digest").over(met)).withColumn("hi", F.max("digest").over(met)).where("hot OR lo < hi")
+    per_doc = shared.groupBy("doc_id").agg(F.collect_set("key").alias("keys")).join(copies, "doc_id", "left_anti").withColumnRenamed("doc_id", "of")
+    windows = common.written(repeated_windows(docs.join(per_doc, docs["doc_id"] == F.col("of"), "left").select("doc_id", "text", "keys"), window), "windows")
+    often = common.written(_hot(windows.where(part), ["h1", "h2"], some), "often")
+    least = windows.join(F.broadcast(often), ["h1", "h2"]).groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
+    salted = windows.join(F.broadcast(common.written(least, "least")), ["h1", "h2"], "left").withColumn("salt", F.when(F.col("least").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0))
+    same = Window.partitionBy("h1", "h2", "salt")
+    later = salted.withColumn("lo", F.coalesce("least", F.min("doc_id").over(same))).where("lo < doc_id")
+    gone = later.groupBy("doc_id").agg(F.collect_set("h1").alias("gone")).withColumn("copy", F.lit(None).cast("boolean"))
+    return gone.unionByName(copies.select("doc_id", F.lit(None).cast("array<bigint>").alias("gone"), F.lit(True).alias("copy")))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs, all columns, with the words covered by such windows removed from text (kept words joined by one blank),
     plus n_words and n_removed; these two names win over columns of docs."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed")]
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
-    found = repeats(base, window)
+    of, lost, copied = (common.fresh(c, docs) for c in ("of", "gone", "copy"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`") for c in others))
+    marks = repeats(base.select("doc_id", "text"), window).toDF(of, lost, copied)
+    found = base.join(marks, base["doc_id"] == marks[of], "left")
     kept = ["doc_id", *others]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for part in common.batches(batch, most_bytes=BATCH_BYTES):
-                hit = part.column("_gone").is_valid()
+                hit = part.column(lost).is_valid()
                 some = part.filter(hit)
-                names, ends = word_names(some.column("text"))
-                starts, h1, _ = window_hashes(names, ends, window)
-                at = starts[_marked(some, np.searchsorted(ends, starts, side="right"), h1, "_gone")]
+                names, _, ends = word_names(some.column("text"))
+                starts = window_starts(len(names), ends, window)
+                at = starts[_marked(some, np.searchsorted(ends, starts, side="right"), window_hashes(names, starts, _P1, window), lost)]
                 change = np.bincount(at, minlength=len(names) + window + 1) - np.bincount(at + window, minlength=len(names) + window + 1)
                 keep, begins, nth = np.cumsum(change)[: len(names)] == 0, np.concatenate(([0], ends)), 0
                 out, total, removed = [], [], []
-                for text, windows, copy in zip(common.text_rows(part), hit.to_pylist(), part.column("_copy").to_pylist(), strict=True):
+                for text, windows, copy in zip(common.text_rows(part), hit.to_pylist(), part.column(copied).to_pylist(), strict=True):
                     words = text.encode().split()
                     total.append(len(words))
                     if windows:
@@ -280,4 +306,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=[*kept, "text", "n_words", "n_removed"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "text"), "text string, n_words long, n_removed long"])
-    return found.select(*kept, "text", "_gone", "_copy").mapInArrow(run, schema)
+    return found.select(base["doc_id"], *(base[f"`{c}`"] for c in others), "text", lost, copied).mapInArrow(run, schema)

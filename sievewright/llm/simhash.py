@@ -14,18 +14,21 @@ doc_id is taken; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .components import connected_components
 
+#: Differing bits of two texts' word fingerprints within which their shingles are compared.
+NEAR_BITS = 6
 #: Words of a shingle, and the share of all shingles of two texts that both have, at which the texts are near-duplicates.
 SHINGLE_WORDS, SHARE = 5, 0.8
 #: Distinct fingerprints of one trie root beyond which its children become tasks of their own.
@@ -34,6 +37,8 @@ NODE_LIMIT = 20_000
 FRONTIER = 200_000
 #: Leaf pairs under which two nodes are compared outright.
 SMALL = 256
+#: Stands for a fingerprint without a label.
+NO_LABEL = -(2**63)
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -65,6 +70,22 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     return _fingerprint(_words(text), words, seed)
 
 
+def word_fingerprint(own: list[bytes], seed: int = 42) -> int:
+    """64-bit SimHash of the words themselves, each as heavy as its count has binary digits.
+
+    One changed word moves one word here, but ``words`` shingles there: copies lie closer together.
+    """
+    if not own:
+        return 0
+    from xxhash import xxh64_intdigest
+
+    counts = Counter(own)
+    hashes = np.array([xxh64_intdigest(w, seed) for w in counts], "<u8")
+    weight = np.fromiter((c.bit_length() for c in counts.values()), np.int64, len(counts))
+    bits = weight @ np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(2 * bits > weight.sum(), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) for every row of docs (doc_id, text)."""
 
@@ -151,14 +172,11 @@ class Layout:
             to += width
         self.lead = sum(width for _, width in parts[: len(chosen)])
 
-    def path(self) -> Column:
-        """The fingerprint column fp in this order."""
-        out = None
+    def path(self, fp: np.ndarray) -> np.ndarray:
+        """Unsigned fingerprints in this order."""
+        out = np.zeros(len(fp), np.uint64)
         for begin, to, width in self.moves:
-            bits = F.shiftrightunsigned("fp", 64 - begin - width)
-            bits = bits.bitwiseAND((1 << width) - 1) if width < 64 else bits
-            bits = F.shiftleft(bits, 64 - to - width) if to + width < 64 else bits
-            out = bits if out is None else out.bitwiseOR(bits)
+            out |= ((fp >> np.uint64(64 - begin - width)) & np.uint64((1 << width) - 1)) << np.uint64(64 - to - width)
         return out
 
     def back(self, path: np.ndarray) -> np.ndarray:
@@ -183,16 +201,25 @@ def layouts(budget: int) -> list[Layout]:
 def trie_links(fps: DataFrame, budget: int = 3, node_limit: int = NODE_LIMIT, all_pairs: bool = False) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) at most ``budget`` bits apart.
 
-    all_pairs: every pair, each once. Otherwise enough of them to connect what belongs together: each task returns, for
-    each of its fingerprints, one link to the smallest that it reaches.
+    all_pairs: every pair, each once, but for those whose fingerprints have one and the same ``label`` (a long column of
+    fps, if there is one). Otherwise enough of them to connect what belongs together: each task returns, for each of its
+    fingerprints, one link to the smallest that it reaches.
     """
     if not 0 <= budget < 16:
         raise ValueError("a budget of 0 to 15 bits")
     laid = layouts(budget)
-    blocks = F.array(*(F.struct(F.lit(i).alias("block"), x.path().alias("path")) for i, x in enumerate(laid)))
-    lead = F.create_map(*(F.lit(x) for i, own in enumerate(laid) for x in (i, own.lead)))
-    rows = fps.select("fp").distinct().select(F.explode(blocks).alias("x")).select("x.block", "x.path").withColumn("pa", F.call_function("shiftrightunsigned", F.col("path"), 64 - lead[F.col("block")]))
-    rows = rows.select("block", "pa", F.col("pa").alias("pb"), F.lit(0).alias("spent"), F.lit(0).alias("side"), "path")
+
+    def lay_out(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            fp = batch.column("fp").to_numpy().view(np.uint64)
+            for i, own in enumerate(laid):
+                path = own.path(fp)
+                root = pa.array((path >> np.uint64(64 - own.lead)).view(np.int64))
+                zero = pa.array(np.zeros(len(fp), np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), i, np.int32)), root, root, zero, zero, pa.array(path.view(np.int64)), batch.column("label")], names=["block", "pa", "pb", "spent", "side", "path", "label"])
+
+    labelled = fps.select("fp", "label") if "label" in fps.columns else fps.select("fp", F.lit(None).cast("long").alias("label"))
+    rows = labelled.where("fp IS NOT NULL").dropDuplicates(["fp"]).mapInArrow(lay_out, "block int, pa long, pb long, spent int, side int, path long, label long")
     node = ["block", "pa", "pb", "spent"]
     wide = {i: x.lead for i, x in enumerate(laid)}
     found, down = None, 0
@@ -215,8 +242,8 @@ def trie_links(fps: DataFrame, budget: int = 3, node_limit: int = NODE_LIMIT, al
         apart = F.bit_count(F.col("ca").bitwiseXOR(F.col("cb")))
         pairs = x.join(y, node).where(((F.col("pa") != F.col("pb")) | (F.col("ca") <= F.col("cb"))) & (F.col("spent") + apart <= budget)).withColumn("more", apart)
         new = [F.xxhash64("pa", "ca").alias("pa"), F.xxhash64("pb", "cb").alias("pb"), (F.col("spent") + F.col("more")).alias("spent")]
-        left = split.where("side = 0").withColumnRenamed("child", "ca").join(pairs, [*node, "ca"]).select("block", *new, F.lit(0).alias("side"), "path")
-        right = split.where((F.col("side") == 1) | (F.col("pa") == F.col("pb"))).withColumnRenamed("child", "cb").join(pairs, [*node, "cb"]).where((F.col("pa") != F.col("pb")) | (F.col("ca") != F.col("cb"))).select("block", *new, F.lit(1).alias("side"), "path")
+        left = split.where("side = 0").withColumnRenamed("child", "ca").join(pairs, [*node, "ca"]).select("block", *new, F.lit(0).alias("side"), "path", "label")
+        right = split.where((F.col("side") == 1) | (F.col("pa") == F.col("pb"))).withColumnRenamed("child", "cb").join(pairs, [*node, "cb"]).where((F.col("pa") != F.col("pb")) | (F.col("ca") != F.col("cb"))).select("block", *new, F.lit(1).alias("side"), "path", "label")
         rows, down = left.unionByName(right), down + 8
     return found.distinct()
 
@@ -234,6 +261,9 @@ def _compared(rows: DataFrame, laid: list[Layout], down: int, budget: int, all_p
             new &= (b >= block) | (((x ^ y) & leads[b]) != 0)
         return new
 
+    def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (x != y) | (x == NO_LABEL)
+
     def back(v: np.ndarray, block: np.ndarray) -> np.ndarray:
         out = np.zeros(len(v), np.int64)
         for b in np.unique(block):
@@ -241,12 +271,14 @@ def _compared(rows: DataFrame, laid: list[Layout], down: int, budget: int, all_p
             out[own] = laid[b].back(v[own])
         return out
 
-    def large(block: int, spent: int, path: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = np.sort(path[side == 0]), np.sort(path[side == 1])
-        values, shift = np.concatenate((a, b)), len(a) if len(b) else 0
+    def large(block: int, spent: int, path: np.ndarray, side: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((path, side))
+        values, label, n = path[order], label[order], int((side == 0).sum())
+        a, b = values[:n], values[n:]
+        shift = n if len(b) else 0
         pairs = ((i, j + shift) for i, j in walk(a, b if len(b) else None, budget, spent, min(64, laid[block].lead + down)))
         if all_pairs:
-            got = list(pairs)
+            got = [(i[new], j[new]) for i, j in pairs if (new := apart(label[i], label[j])).any()]
             i, j = (np.concatenate([g[k] for g in got]) if got else np.empty(0, np.int64) for k in (0, 1))
         else:
             label = forest(len(values), pairs)
@@ -255,7 +287,7 @@ def _compared(rows: DataFrame, laid: list[Layout], down: int, budget: int, all_p
         return values[i], values[j]
 
     def complete(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        block, pa_, pb, spent, side, path = cols
+        block, pa_, pb, spent, side, path, label = cols
         new = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (pa_[1:] != pa_[:-1]) | (pb[1:] != pb[:-1]) | (spent[1:] != spent[:-1]))))
         size = np.diff(np.append(new, len(block)))
         group = np.repeat(np.arange(len(new)), size)
@@ -267,12 +299,13 @@ def _compared(rows: DataFrame, laid: list[Layout], down: int, budget: int, all_p
             if not len(i):
                 break
             i = i[np.bitwise_count(path[i] ^ path[i + k]) <= budget]
+            i = i[apart(label[i], label[i + k])] if all_pairs else i
             x, y = back(path[i], block[i]), back(path[i + k], block[i])
             once = anew(x, y, block[i]) if all_pairs else slice(None)
             out.append((x[once], y[once]))
         for g in np.flatnonzero(~few & (size > 1)):
             own = slice(new[g], new[g] + size[g])
-            x, y = large(int(block[new[g]]), int(spent[new[g]]), path[own], side[own])
+            x, y = large(int(block[new[g]]), int(spent[new[g]]), path[own], side[own], label[own])
             own_layout = laid[int(block[new[g]])]
             x, y = own_layout.back(x), own_layout.back(y)
             once = anew(x, y, np.full(len(x), block[new[g]])) if all_pairs else slice(None)
@@ -294,28 +327,32 @@ def _compared(rows: DataFrame, laid: list[Layout], down: int, budget: int, all_p
         if rest is not None and len(rest[0]):
             yield from complete(rest)
 
-    return rows.repartition(*node).sortWithinPartitions(*node).select(*node, "side", "path").mapInArrow(run, "a long, b long")
+    return rows.repartition(*node).sortWithinPartitions(*node).select(*node, "side", "path", F.coalesce("label", F.lit(NO_LABEL)).alias("label")).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 3) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable over links, its own included) for every row of docs."""
+    """doc_id, fp and component_id (the smallest doc_id reachable over links, its own included) for every row of docs.
+
+    A fingerprint goes by its smallest doc_id while components are found, so their smallest node is the answer.
+    """
     prints = common.written(fingerprints(docs, words), "fingerprints")
-    distinct = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("root")), "distinct")
+    name = F.struct(F.col("root").isNull().alias("unnamed"), F.coalesce("root", "fp").alias("id"))
+    distinct = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("root")).select("fp", name.alias("node")), "distinct")
     links = trie_links(distinct, budget)
-    label = connected_components(links).select(F.col("node").alias("fp"), "component")
-    known = distinct.join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    root = known.groupBy("component").agg(F.min("root").alias("component_id"))
-    return prints.join(known.join(root, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    a, b = (distinct.select(F.col("fp").alias(c), F.col("node").alias(f"n{c}")) for c in "ab")
+    label = connected_components(links.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    known = distinct.join(label, "node", "left").select("fp", F.coalesce("component", "node").alias("c"))
+    return prints.join(known, "fp").select("doc_id", "fp", F.when(~F.col("c.unnamed"), F.col("c.id")).alias("component_id"))
 
 
-def forms(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, row, fp and form for every row of docs (doc_id, text, row): texts of one form have the same words, and so
-    the same fingerprint and shingles."""
+def forms(docs: DataFrame) -> DataFrame:
+    """doc_id, row, fp (of the words) and form for every row of docs (doc_id, text, row): texts of one form have the same
+    words in the same order, and so the same fingerprint and shingles."""
     from xxhash import xxh3_128_hexdigest
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            got = [(_fingerprint(own, words), xxh3_128_hexdigest(b" ".join(own))) for own in map(_words, batch.column("text").to_pylist())]
+            got = [(word_fingerprint(own), xxh3_128_hexdigest(b" ".join(own))) for own in map(_words, batch.column("text").to_pylist())]
             fp = np.array([g[0] for g in got], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(fp, pa.int64()), pa.array([g[1] for g in got], pa.string())], names=["doc_id", "row", "fp", "form"])
 
@@ -329,9 +366,10 @@ def shingle_sets(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            got = [np.unique(np.array(_hashes(own, words) if own else [], np.uint64)).view(np.int64) for own in map(_words, batch.column("text").to_pylist())]
-            sets = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, got)]), pa.int32()), pa.array(np.concatenate([*got, np.empty(0, np.int64)]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), sets, pa.array([xxh3_128_hexdigest(g.tobytes()) for g in got], pa.string())], names=["row", "shingles", "digest"])
+            for part in common.batches(batch):
+                got = [np.unique(np.array(_hashes(own, words) if own else [], np.uint64)).view(np.int64) for own in map(_words, part.column("text").to_pylist())]
+                sets = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, got)]), pa.int32()), pa.array(np.concatenate([*got, np.empty(0, np.int64)]), pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("row"), sets, pa.array([xxh3_128_hexdigest(g.tobytes()) for g in got], pa.string())], names=["row", "shingles", "digest"])
 
     return docs.select("text", "row").mapInArrow(run, "row string, shingles array<long>, digest string")
 
@@ -346,34 +384,63 @@ def verified_links(candidates: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where((10 + tenths) * F.col("common") >= tenths * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def one_of_each(docs: DataFrame, words: int = 3, budget: int = 3) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest doc_id stays, all columns kept.
+def near_groups(rows: DataFrame, told: DataFrame, budget: int = NEAR_BITS) -> DataFrame:
+    """first (unnamed, doc_id, row) and component for every distinct form of rows (doc_id, text, row), whose forms() are
+    ``told``: the smallest row of the form, and the group that near-duplicates have in common.
 
-    Fingerprints within the budget are candidates only: two texts are linked if they share SHARE or more of their
-    five-word shingles, counted over the sets themselves. Rows are told apart by doc_id and text: unlike texts under one
-    doc_id or none all stay, repeated rows count once, and a row without doc_id stays only if none of its component has one.
+    Fingerprints of the words within ``budget`` bits make candidates; two texts are linked if they share SHARE or more of
+    their five-word shingles, counted over the sets themselves. A first pass checks one link per fingerprint, so a large
+    group of copies falls together without all its pairs; the second checks every pair that is not in one group yet.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    row = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(" "), text))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), row.alias("row"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
-    known = common.written(forms(rows, words).groupBy("fp", "form").agg(first.alias("first")), "forms")
+    known = common.written(told.groupBy("fp", "form").agg(first.alias("first")), "forms")
     prints = common.written(known.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "distinct")
-    near = common.written(trie_links(prints, budget, all_pairs=True), "near")
-    asked = near.select(F.col("a").alias("fp")).unionByName(near.select(F.col("b").alias("fp"))).unionByName(prints.where("n > 1").select("fp")).distinct()
+    tree = common.written(trie_links(prints, budget), "tree")
+    asked = common.written(tree.select(F.col("a").alias("fp")).unionByName(tree.select(F.col("b").alias("fp"))).unionByName(prints.where("n > 1").select("fp")).distinct(), "asked")
     wanted = common.written(known.join(asked, "fp", "left_semi").select("fp", "form", F.col("first.row").alias("row")), "wanted")
     # A repeated row gives the same set again; the smallest form stands for all of one fingerprint and set.
     found = shingle_sets(rows.join(wanted.select("row"), "row", "left_semi")).dropDuplicates(["row"])
     sets = common.written(found.join(wanted, "row").select("fp", "form", "digest", F.size("shingles").alias("n"), "shingles"), "sets")
     nodes = sets.groupBy("fp", "digest").agg(F.min("form").alias("node"))
     node_of = common.written(sets.select("fp", "digest", "form").join(nodes, ["fp", "digest"]).select("fp", "form", "node"), "nodes")
-    held = sets.join(node_of.where("form = node").select("node"), F.col("form") == F.col("node"), "left_semi").withColumnRenamed("form", "node")
     at = node_of.where("form = node").select("fp", "node")
-    apart = near.join(at.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(at.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
-    alike = at.select("fp", F.col("node").alias("x")).join(at.select("fp", F.col("node").alias("y")), "fp").where("x < y").select("x", "y")
-    links = verified_links(apart.unionByName(alike).toDF("a", "b"), held)
+    held = common.written(sets.join(at.select("node"), F.col("form") == F.col("node"), "left_semi").withColumnRenamed("form", "node"), "held")
+    low = common.written(at.groupBy("fp").agg(F.min("node").alias("low")), "low")
+    ends = {c: low.select(F.col("fp").alias(c), F.col("low").alias(f"n{c}")) for c in "ab"}
+    few = tree.join(ends["a"], "a").join(ends["b"], "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    few = few.unionByName(at.join(low, "fp").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")))
+    links = common.written(verified_links(few, held), "links")
     label = connected_components(links)
+    grouped = common.written(at.join(label, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("component")), "grouped")
+    whole = grouped.groupBy("fp").agg(F.min("component").alias("x"), F.max("component").alias("y")).select("fp", F.when(F.col("x") == F.col("y"), F.xxhash64("x")).alias("label"))
+    whole = common.written(whole, "whole")
+    near = trie_links(whole, budget, all_pairs=True)
+    one, other = (grouped.select(F.col("fp").alias(c), F.col("node").alias(f"n{c}"), F.col("component").alias(f"c{c}")) for c in "ab")
+    within = one.join(whole.where("label IS NULL").select(F.col("fp").alias("a")), "a", "left_semi").join(other.withColumnRenamed("b", "a"), "a").where("na < nb")
+    open_ = near.join(one, "a").join(other, "b").unionByName(within.withColumn("b", F.col("a")))
+    more = verified_links(open_.where("ca <> cb").select(F.col("na").alias("a"), F.col("nb").alias("b")), held)
+    label = connected_components(links.unionByName(more))
     named = node_of.join(label, "node", "left").select("form", F.coalesce("component", "node").alias("component"))
-    groups = known.join(named, "form", "left").withColumn("component", F.coalesce("component", "form"))
-    kept = groups.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
-    return docs.withColumn("_row", row).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    return known.join(named, "form", "left").select("first", F.coalesce("component", "form").alias("component"))
+
+
+def one_of_each(docs: DataFrame, budget: int = NEAR_BITS) -> DataFrame:
+    """docs without near-duplicates: of each group (near_groups) the row with the smallest doc_id stays, all columns kept.
+
+    Rows are told apart by doc_id and text: unlike texts under one doc_id or none all stay, rows that repeat both count
+    once, and a row without doc_id stays only if none of its group has one. Texts stay where they are: only the keys of
+    rows that go or repeat meet them, by a broadcast where Spark finds these few enough.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    row = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(" "), text))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), row.alias("row"))
+    told = common.written(forms(rows), "told")
+    groups = near_groups(rows, told, budget)
+    kept = common.written(groups.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row")), "kept")
+    times = told.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+    marks = times.join(kept.withColumn("stays", F.lit(True)), "row", "left").where("stays IS NULL OR n > 1").select("row", F.col("stays").isNotNull().alias("stays"))
+    marks = common.written(marks, "marks")
+    key, mark = common.fresh("row", docs), common.fresh("stays", docs)
+    marked = docs.withColumn(key, row).join(marks.toDF(key, mark), key, "left")
+    repeated = marked.where(F.col(mark)).dropDuplicates([key])
+    return marked.where(F.col(mark).isNull()).unionByName(repeated).select(*(F.col(f"`{c}`") for c in docs.columns))
