@@ -42,6 +42,27 @@ def vocabulary(c: Column | str) -> Column:
     return F.lower(text(c))
 
 
+#: The dashes that count as a hyphen, U+2010 to U+2015.
+DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015"
+
+
+def normal(c: Column | str) -> Column:
+    """Text for comparison: dashes as hyphens, lower case, single blanks, trimmed; null is empty."""
+    return F.trim(F.regexp_replace(F.lower(F.translate(F.coalesce(as_column(c).cast("string"), F.lit("")), DASHES, "-" * len(DASHES))), r"(?U)\s+", " "))
+
+
+def zip5(c: Column | str) -> Column:
+    """The first five digits of a zip code, or empty."""
+    digits = F.regexp_replace(normal(c), "[^0-9]", "")
+    return F.when(F.length(digits) >= 5, F.substring(digits, 1, 5)).otherwise("")
+
+
+def district_token(c: Column | str) -> Column:
+    """A district's bare number, without leading zeros, or a neighbourhood's normal name."""
+    bare = F.regexp_replace(normal(c), r"^(?:supervisor\s+)?district\s+", "")
+    return F.regexp_replace(bare, r"^0+(?=[0-9]+$)", "")
+
+
 def number(c: Column | str) -> Column:
     """A plain decimal after dropping dollar signs, commas and white space; anything else is null."""
     bare = F.regexp_replace(as_column(c), r"(?U)[$,\s]", "")

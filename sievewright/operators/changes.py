@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import instant
+from ..functions.columns import instant, normal
 
 DELTAS = ("added", "changed", "not_observed")
 
@@ -85,12 +85,17 @@ def ingest_counts(raw: DataFrame, key: str, collapsed: DataFrame, deltas: DataFr
     return a.crossJoin(b).crossJoin(c).select("fetched", "unnormalisable", "collapsed", "added", "changed", (F.col("_kept") - F.col("added") - F.col("changed")).alias("unchanged"), (F.col("added") + F.col("changed")).alias("written"))
 
 
-def site_key(address: Column, unit: Column, description: Column, record_key: Column) -> Column:
-    """Hash of site and scope; a row that lacks the address or the description is a site of its own."""
-    norm = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+", " "))
-    a, u, d = norm(address), norm(unit), norm(description)
+def site_key(address: Column, unit: Column, description: Column, record_key: Column, parts: tuple[Column, ...] = ()) -> Column:
+    """Hash of site and scope; a row that lacks the address or the description is a site of its own.
+
+    A missing address is put together from its parts. Of a description only letters and digits count.
+    """
+    whole = normal(address)
+    pieces = F.concat_ws(" ", *(F.nullif(normal(x), F.lit("")) for x in parts)) if parts else F.lit("")
+    a, u = F.when(whole != "", whole).otherwise(pieces), normal(unit)
+    d = F.trim(F.regexp_replace(normal(description), "[^a-z0-9]+", " "))
     shared = F.concat_ws("|", F.lit("site"), a, u, d)
-    return F.sha2(F.when((a == "") | (d == ""), F.concat_ws("|", F.lit("record"), record_key.cast("string"))).otherwise(shared), 256)
+    return F.sha2(F.when((a == "") | (d == ""), F.concat_ws("|", F.lit("record"), F.trim(record_key.cast("string")))).otherwise(shared), 256)
 
 
 def near_duplicate_collapse(df: DataFrame, partition: list[str], site: str, filed: Column, key: str, arrival: str, window_days: int = 45) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ..functions.columns import clamp, round2
+from ..functions.columns import round2
 from . import vocab
 
 NAMES = ("fit", "demand", "timing", "value", "evidence")
@@ -30,31 +35,38 @@ def feedback_transitions(feedback: DataFrame, opportunity: str, ts: str, verdict
     return feedback.withColumn("transition", F.when(before.isNull(), "recorded").when(before == F.col(verdict), "reaffirmed").otherwise("changed"))
 
 
-def _moved(w: Column, verdict: Column, name: str) -> Column:
-    regressed = round2(clamp(w + (1.0 - w) * REGRESS, LOW, HIGH))
-    out = F.when(verdict == "good", regressed)
-    for kind, moves in MOVES.items():
-        if name in moves:
-            out = out.when(verdict == kind, round2(clamp(w + moves[name], LOW, HIGH)))
-    return out.otherwise(w)
+def moved(weights: list[float], verdict: str | None) -> list[float]:
+    """The five weights after one verdict: good draws all back to 1, others move some; bounded, rounded half up."""
+    moves = MOVES.get(verdict, {})
+    out = []
+    for name, w in zip(NAMES, weights, strict=True):
+        new = w + (1.0 - w) * REGRESS if verdict == "good" else w + moves[name] if name in moves else None
+        out.append(w if new is None else math.floor(min(HIGH, max(LOW, new)) * 100 + 0.5) / 100)
+    return out
 
 
 def fold_weights(feedback: DataFrame, customer: str, ts: str, verdict: str, tie: str) -> DataFrame:
     """Per subscriber the weights before and after each verdict, in order of time; all begin at 1.
 
-    Steps clamp and round, so their order matters: a subscriber's verdicts are folded one after the other.
+    Steps clamp and round, so their order matters: a subscriber's verdicts lie together in order of time and are folded
+    one after the other, with five numbers of state, whatever their number.
     """
-    steps = feedback.groupBy(customer).agg(F.sort_array(F.collect_list(F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.col(verdict).alias("verdict")))).alias("v"))
-    ones = F.struct(*(F.lit(1.0).alias(n) for n in NAMES))
-    row = "array<struct<ts:timestamp,tie:bigint,verdict:string,before:struct<{0}>,after:struct<{0}>>>".format(",".join(f"{n}:double" for n in NAMES))
-    start = F.struct(ones.alias("w"), F.array().cast(row).alias("log"))
-
-    def step(s: Column, x: Column) -> Column:
-        after = F.struct(*(_moved(s["w"][n], x["verdict"], n).alias(n) for n in NAMES))
-        return F.struct(after.alias("w"), F.concat(s["log"], F.array(F.struct(x["ts"].cast("timestamp").alias("ts"), x["tie"].cast("bigint").alias("tie"), x["verdict"].alias("verdict"), s["w"].alias("before"), after.alias("after")))).alias("log"))
-
-    folded = steps.select(customer, F.explode(F.aggregate("v", start, step)["log"]).alias("x"))
-    return folded.select(customer, "x.*")
+    rows = feedback.select(F.col(customer), F.col(ts).cast("timestamp").alias("ts"), F.col(tie).cast("long").alias("tie"), F.col(verdict).alias("verdict")).repartition(customer).sortWithinPartitions(customer, "ts", "tie", "verdict")
+    sides = [f"{side}_{n}" for side in ("before", "after") for n in NAMES]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, w = None, [1.0] * len(NAMES)
+        for batch in it:
+            log = []
+            for who, said in zip(batch.column(0).to_pylist(), batch.column("verdict").to_pylist(), strict=True):
+                before = w if known == (who,) else [1.0] * len(NAMES)
+                known, w = (who,), moved(before, said)
+                log.append((*before, *w))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[i] for x in log], pa.float64()) for i in range(len(sides)))], names=[*batch.schema.names, *sides])
+
+    schema = StructType([*rows.schema.fields, *(StructField(c, DoubleType()) for c in sides)])
+    folded = rows.mapInArrow(run, schema)
+    return folded.select(customer, "ts", "tie", "verdict", *(F.struct(*(F.col(f"{side}_{n}").alias(n) for n in NAMES)).alias(side) for side in ("before", "after")))
 
 
 def unsettled_feedback(replies: DataFrame, log: DataFrame, limit: int, opportunity: str = "opportunity_id", ts: str = "reply_ts") -> DataFrame:

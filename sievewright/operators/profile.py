@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.columns import days_between, round2
 from . import vocab
@@ -76,9 +77,9 @@ def date_disagreement(df: DataFrame, key: str, dates: list[str]) -> DataFrame:
 
 
 def shortlist_profile(survivors: DataFrame, contractors: DataFrame, firms: DataFrame, keyword: Column) -> DataFrame:
-    """Of the survivors: how many name a contractor, none, a firm of the trade, and the trade's keyword."""
+    """Of each profile's survivors: how many name a contractor, none, a firm of the trade, and the trade's keyword."""
     rows = survivors.join(contractors.select("permit_number", "gc_firm"), "permit_number", "left").join(firms, "permit_number", "left")
-    return rows.agg(F.count(F.lit(1)).alias("survivors"), F.count("gc_firm").alias("with_contractor"), F.count_if(F.col("gc_firm").isNull()).alias("without_contractor"), F.count_if(F.coalesce("trade_firm_named", F.lit(False))).alias("with_trade_firm"), F.count_if(keyword).alias("with_keyword"))
+    return rows.groupBy("profile_id").agg(F.count(F.lit(1)).alias("survivors"), F.count("gc_firm").alias("with_contractor"), F.count_if(F.col("gc_firm").isNull()).alias("without_contractor"), F.count_if(F.coalesce("trade_firm_named", F.lit(False))).alias("with_trade_firm"), F.count_if(keyword).alias("with_keyword"))
 
 
 def copy_policy_audit(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -103,8 +104,7 @@ def discipline_of_record(contacts: DataFrame, prefix: str, role: str = "engineer
 
 
 def valuation_rank(survivors: DataFrame, value: str, k: int) -> DataFrame:
-    """The k largest with their rank: one more than the number of larger ones."""
-    top = survivors.orderBy(F.desc(value), "permit_number").limit(k)
-    from pyspark.sql.window import Window
-
-    return top.withColumn("valuation_rank", F.rank().over(Window.orderBy(F.desc(value))))
+    """Of each profile's survivors the k largest with their rank: one more than the number of larger ones."""
+    own = Window.partitionBy("profile_id")
+    top = survivors.withColumn("_n", F.row_number().over(own.orderBy(F.desc(value), "permit_number"))).where(F.col("_n") <= k).drop("_n")
+    return top.withColumn("valuation_rank", F.rank().over(own.orderBy(F.desc(value))))

@@ -6,6 +6,8 @@ in them. Dialect differences are the few functions of Dialect.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,16 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 NOW = "2000-06-01 12:00:00"
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or a local one on a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 @dataclass(frozen=True)
 class Dialect:
     spark: bool
@@ -34,6 +46,14 @@ def _pick(key: str, values: list[str]) -> str:
     return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
 
 
+def _per(key: str, n: int) -> str:
+    return f"CAST(FLOOR({key} / {n}.0) AS BIGINT)"
+
+
+def _zip(n: str) -> str:
+    return f"CAST(10000 + ({n}) % 90000 AS STRING)"
+
+
 def _quoted(values: list[str]) -> list[str]:
     return ["'" + v.replace("'", "''") + "'" for v in values]
 
@@ -58,10 +78,11 @@ def texts(d: Dialect) -> dict[str, str]:
             CASE c.c_mktsegment WHEN 'BUILDING' THEN 'office' WHEN 'MACHINERY' THEN 'manufacturing' WHEN 'FURNITURE' THEN 'retail sales' WHEN 'AUTOMOBILE' THEN 'auto repairs' ELSE CASE WHEN o.o_orderkey % 5 = 0 THEN NULL ELSE 'apartments' END END AS existing_use,
             CASE WHEN o.o_orderkey % 9 = 0 THEN 'apartments' WHEN o.o_orderkey % 4 = 0 THEN 'office' WHEN o.o_orderkey % 19 = 0 THEN 'vacant lot' END AS proposed_use,
             CASE o.o_orderpriority WHEN '1-URGENT' THEN 'otc alterations permit' WHEN '2-HIGH' THEN 'additions alterations or repairs' WHEN '3-MEDIUM' THEN 'demolitions' WHEN '4-NOT SPECIFIED' THEN NULL ELSE 'new construction' END AS permit_type_definition,
-            CASE WHEN o.o_orderkey % 23 = 0 THEN NULL ELSE CONCAT('941', LPAD(CAST(n.n_nationkey AS STRING), 2, '0')) END AS zipcode,
-            CASE WHEN o.o_orderkey % 23 = 0 THEN NULL ELSE CAST(n.n_regionkey AS STRING) END AS supervisor_district, CASE WHEN o.o_orderkey % 29 = 0 THEN NULL ELSE LOWER(n.n_name) END AS neighborhood,
-            CASE WHEN o.o_orderkey % 37 = 0 THEN NULL ELSE CONCAT(CAST(o.o_custkey % 50 AS STRING), ' Main St') END AS address, CASE WHEN o.o_orderkey % 2 = 0 THEN '1' END AS unit,
-            CASE WHEN o.o_orderkey % 31 = 0 THEN NULL ELSE {_pick('o.o_orderkey', _quoted(SCOPES))} END AS description,
+            CASE WHEN o.o_orderkey % 23 = 0 THEN NULL WHEN o.o_orderkey % 4 = 0 THEN CONCAT('CA ', {_zip(_per('o.o_custkey', 4))}) WHEN o.o_orderkey % 4 = 1 THEN CONCAT({_zip(_per('o.o_custkey', 4))}, '-1234') ELSE {_zip(_per('o.o_custkey', 4))} END AS zipcode,
+            CASE WHEN o.o_orderkey % 23 = 0 THEN NULL ELSE CONCAT({_pick('o.o_orderkey', ["'0'", "'District '", "'Supervisor  District '", "''", "' '"])}, CAST({_per('o.o_custkey', 16)} AS STRING), CASE WHEN o.o_orderkey % 5 = 3 THEN '.0' ELSE '' END) END AS supervisor_district,
+            CASE WHEN o.o_orderkey % 29 = 0 THEN NULL ELSE CONCAT(LOWER(n.n_name), CASE WHEN o.o_orderkey % 2 = 0 THEN ' \u2013  ' ELSE ' - ' END, CAST({_per('o.o_custkey', 64)} AS STRING)) END AS neighborhood,
+            CASE WHEN o.o_orderkey % 37 = 0 THEN NULL ELSE CONCAT(CAST({_per('o.o_custkey', 16)} % 50 AS STRING), CASE WHEN o.o_orderkey % 3 = 0 THEN '\u2013' ELSE '-' END, '9 Main St') END AS address, CASE WHEN o.o_orderkey % 2 = 0 THEN '1' END AS unit,
+            CASE WHEN o.o_orderkey % 31 = 0 THEN NULL ELSE CONCAT({_pick('o.o_orderkey', _quoted(SCOPES))}, CASE WHEN o.o_orderkey % 24 >= 12 THEN ' !' ELSE '' END) END AS description,
             CASE WHEN o.o_orderkey % 6 <> 0 THEN CAST(o.o_orderkey % 27 AS INT) END AS stories_existing, CASE WHEN o.o_orderkey % 7 = 0 THEN CAST(o.o_orderkey % 33 AS INT) END AS stories_proposed,
             CASE WHEN o.o_orderkey % 5 = 0 THEN CAST(o.o_orderkey % 41 AS INT) END AS existing_units, CAST(NULL AS INT) AS proposed_units,
             {_pick('o.o_orderkey', ["'B, A-2'", "'R-2'", 'NULL', "'M/s;M'", "'R3,B'"])} AS existing_occupancy
@@ -76,11 +97,11 @@ def texts(d: Dialect) -> dict[str, str]:
         FROM {{lineitem}} l JOIN {{supplier}} s ON l.l_suppkey = s.s_suppkey"""
     profiles = f"""
         SELECT c_custkey AS profile_id, c_name AS business_name, {_pick('c_custkey', _quoted(TRADE_KEYS))} AS trade, CAST(50000.0 * (1 + c_custkey % 4) AS DOUBLE) AS min_project_value,
-            {_pick('c_custkey', [d.none(), d.array("'94101'", "'94105'", "'94110'"), d.none(), d.array("'94102'")])} AS territory_zips,
-            {_pick('c_custkey', [d.none(), d.none(), d.array("'1'", "'france'"), d.array("'2'")])} AS territory_districts,
+            {_pick('c_custkey', [d.none(), d.array(f"CONCAT({_zip(_per('c_custkey', 4))}, '-9999')", _zip(_per('c_custkey', 4) + ' + 1')), d.none(), d.array(f"CONCAT('CA ', {_zip(_per('c_custkey', 4) + ' + 1')})")])} AS territory_zips,
+            CASE WHEN c_custkey = 0 THEN {d.none()} ELSE {_pick('c_custkey', [d.array(f"CONCAT('District ', CAST({_per('c_custkey', 16)} AS STRING))"), d.none(), d.array(f"CONCAT('00', CAST({_per('c_custkey', 16)} AS STRING))", f"CONCAT(n_name, ' \u2014 ', CAST({_per('c_custkey', 64)} AS STRING))"), d.none()])} END AS territory_districts,
             {d.array("'office'", "'retail sales'")} AS preferred_uses,
             CAST(1.0 + 0.25 * (c_custkey % 3) AS DOUBLE) AS w_fit, CAST(1.0 AS DOUBLE) AS w_demand, CAST(1.0 - 0.1 * (c_custkey % 2) AS DOUBLE) AS w_timing, CAST(1.0 AS DOUBLE) AS w_value, CAST(0.5 + 0.5 * (c_custkey % 3) AS DOUBLE) AS w_evidence
-        FROM {{customer}} WHERE c_custkey < 8"""
+        FROM {{customer}} JOIN {{nation}} ON c_nationkey = n_nationkey"""
     opportunities = f"""
         SELECT o_orderkey AS opportunity_id, o_orderkey AS candidate_id, o_custkey % 40 AS customer_id, CAST(o_orderkey AS STRING) AS permit_number, CAST(o_orderkey * 37 % 101 AS INT) AS score,
             {_pick('o_orderkey', _quoted(['delivered', 'archived', 'pending']))} AS status, CAST(o_orderdate AS TIMESTAMP) AS created_at,

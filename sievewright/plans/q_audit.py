@@ -8,7 +8,7 @@ from ..operators import enrich as J
 from ..operators import profile as A
 from ..operators import vocab
 from .bindings import NOW, frame, with_roles
-from .q_gates import _FOLD, PAIRS, _in, _pairs, _sheet
+from .q_gates import _FOLD, _in, _sheet
 from .registry import query
 
 REC, CON = with_roles("records"), with_roles("contacts")
@@ -79,13 +79,13 @@ def _(spark, d):
 
 @query(
     "a10_shortlist_profile",
-    PAIRS + ", " + with_roles("contacts")[5:] + """, surv AS (SELECT permit_number, description FROM gated WHERE profile_id = 0 AND g1 AND g2 AND g3 AND g4 AND g5), c AS (SELECT permit_number, BOOL_OR(role IN ('contractor', 'subcontractor') AND firm_name IS NOT NULL) AS gc, BOOL_OR(REGEXP_MATCHES(firm_name, '00[0-9]*7')) AS firm FROM contacts GROUP BY 1)
-    SELECT COUNT(*) AS survivors, COUNT(*) FILTER (WHERE c.gc) AS with_contractor, COUNT(*) FILTER (WHERE NOT COALESCE(c.gc, FALSE)) AS without_contractor, COUNT(*) FILTER (WHERE c.firm) AS with_trade_firm, COUNT(*) FILTER (WHERE LOWER(description) LIKE '%electric%') AS with_keyword FROM surv LEFT JOIN c ON c.permit_number = surv.permit_number""",
+    _FOLD + ", " + with_roles("contacts")[5:] + """, surv AS (SELECT profile_id, permit_number, description FROM sheet WHERE rejected_by IS NULL OR rejected_by = 'dedupe'), c AS (SELECT permit_number, BOOL_OR(role IN ('contractor', 'subcontractor') AND firm_name IS NOT NULL) AS gc, BOOL_OR(REGEXP_MATCHES(firm_name, '00[0-9]*7')) AS firm FROM contacts GROUP BY 1)
+    SELECT profile_id, COUNT(*) AS survivors, COUNT(*) FILTER (WHERE c.gc) AS with_contractor, COUNT(*) FILTER (WHERE NOT COALESCE(c.gc, FALSE)) AS without_contractor, COUNT(*) FILTER (WHERE c.firm) AS with_trade_firm, COUNT(*) FILTER (WHERE LOWER(description) LIKE '%electric%') AS with_keyword FROM surv LEFT JOIN c ON c.permit_number = surv.permit_number GROUP BY 1""",
 )
 def _(spark, d):
-    survivors = _pairs(spark, d).where("profile_id = 0").where(F.forall("outcomes", lambda o: o["passed"]))
+    survivors = _sheet(spark, d).where("rejected_by IS NULL OR rejected_by = 'dedupe'").select("profile_id", "permit_number", "description")
     contacts = frame(spark, d, "contacts")
-    return A.shortlist_profile(survivors.select("permit_number", "description"), J.general_contractor(contacts, "arrival"), J.trade_firm_named(contacts, "00[0-9]*7"), F.lower("description").contains("electric"))
+    return A.shortlist_profile(survivors, J.general_contractor(contacts, "arrival"), J.trade_firm_named(contacts, "00[0-9]*7"), F.lower("description").contains("electric"))
 
 
 @query(
@@ -108,6 +108,6 @@ def _(spark, d):
     return A.discipline_of_record(frame(spark, d, "contacts"), "e")
 
 
-@query("a14_valuation_rank", _FOLD + "SELECT permit_number, CAST(r AS INT) AS valuation_rank FROM (SELECT permit_number, RANK() OVER (ORDER BY value DESC) AS r, ROW_NUMBER() OVER (ORDER BY value DESC, permit_number) AS n FROM sheet WHERE profile_id = 0 AND rejected_by IS NULL) WHERE n <= 40")
+@query("a14_valuation_rank", _FOLD + "SELECT profile_id, permit_number, CAST(r AS INT) AS valuation_rank FROM (SELECT profile_id, permit_number, RANK() OVER (PARTITION BY profile_id ORDER BY value DESC) AS r, ROW_NUMBER() OVER (PARTITION BY profile_id ORDER BY value DESC, permit_number) AS n FROM sheet WHERE rejected_by IS NULL) WHERE n <= 40")
 def _(spark, d):
-    return A.valuation_rank(_sheet(spark, d).where("profile_id = 0 AND rejected_by IS NULL"), "value", 40).select("permit_number", "valuation_rank")
+    return A.valuation_rank(_sheet(spark, d).where("rejected_by IS NULL"), "value", 40).select("profile_id", "permit_number", "valuation_rank")

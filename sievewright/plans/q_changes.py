@@ -83,17 +83,25 @@ def _(spark, d):
     return D.ingest_counts(current, "key", collapsed, _diff(spark, d))
 
 
-@query("d9_near_duplicate_collapse")
+_SITE = "CASE WHEN address IS NULL OR {0} IS NULL THEN CONCAT('record|', permit_number) ELSE CONCAT_WS('|', 'site', REPLACE(LOWER(address), '\u2013', '-'), COALESCE(LOWER(unit), ''), TRIM(REGEXP_REPLACE(LOWER({0}), '[^a-z0-9]+', ' ', 'g'))) END".format
+
+
+@query(
+    "d9_near_duplicate_collapse",
+    with_roles("records").replace("WITH ", "WITH RECURSIVE ", 1) + f""", site AS (SELECT permit_number, arrival, {_SITE("'same scope'")} AS s, CAST(FLOOR(EPOCH_US(filed_date) / (86400000000.0 * 45)) AS BIGINT) AS b FROM records),
+    firsts AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY s ORDER BY arrival) AS k FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY s, b ORDER BY arrival) AS n FROM site) WHERE n = 1),
+    walk AS (SELECT s, 0 AS k, CAST([] AS BIGINT[]) AS taken, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT s FROM firsts)
+        UNION ALL SELECT w.s, f.k, CASE WHEN LIST_HAS_ANY(w.taken, [f.b - 1, f.b, f.b + 1]) THEN w.taken ELSE LIST_APPEND(w.taken, f.b) END, CASE WHEN LIST_HAS_ANY(w.taken, [f.b - 1, f.b, f.b + 1]) THEN w.kept ELSE LIST_APPEND(w.kept, f.arrival) END
+        FROM walk w JOIN firsts f ON f.s = w.s AND f.k = w.k + 1),
+    accepted AS (SELECT UNNEST(kept) AS arrival FROM (SELECT s, ARG_MAX(kept, k) AS kept FROM walk GROUP BY 1))
+    SELECT permit_number, a.arrival IS NULL AS near_duplicate FROM site LEFT JOIN accepted a ON a.arrival = site.arrival""",
+)
 def _(spark, d):
     rows = frame(spark, d, "records").withColumn("_site", D.site_key(F.col("address"), F.col("unit"), F.lit("same scope"), F.col("permit_number")))
     return D.near_duplicate_collapse(rows, [], "_site", F.col("filed_date"), "permit_number", "arrival").select("permit_number", "near_duplicate")
 
 
-@query(
-    "d10_site_key",
-    with_roles("records") + """SELECT permit_number, SHA256(CASE WHEN address IS NULL OR description IS NULL THEN CONCAT('record|', permit_number)
-        ELSE CONCAT_WS('|', 'site', LOWER(address), COALESCE(LOWER(unit), ''), LOWER(description)) END) AS site FROM records""",
-)
+@query("d10_site_key", with_roles("records") + f"SELECT permit_number, SHA256({_SITE('description')}) AS site FROM records")
 def _(spark, d):
     return frame(spark, d, "records").select("permit_number", D.site_key(F.col("address"), F.col("unit"), F.col("description"), F.col("permit_number")).alias("site"))
 

@@ -106,13 +106,13 @@ def _(spark, d):
 
 @query(
     "e5_account_lines",
-    _BILL + ", " + with_roles("opportunities")[5:] + f""", c AS (SELECT c_custkey AS customer_id, c_name AS business_name FROM customer WHERE c_custkey < 60)
+    _BILL + ", " + with_roles("opportunities")[5:] + f""", c AS (SELECT c_custkey AS customer_id, c_name AS business_name FROM customer)
     SELECT c.customer_id, c.business_name, COALESCE(s.state, 'none') AS state, COALESCE(delivered, 0) AS delivered, COALESCE(archived, 0) AS archived, COALESCE(pending, 0) AS pending, COALESCE(f_good, 0) AS f_good, COALESCE(f_too_small, 0) AS f_too_small, COALESCE(f_wrong_scope, 0) AS f_wrong_scope,
         CASE WHEN s.state = 'active' THEN CAST(149.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS monthly_revenue FROM c LEFT JOIN states s ON s.customer_id = c.customer_id
         LEFT JOIN (SELECT customer_id, {_COUNTS}, COUNT(*) FILTER (WHERE feedback = 'good') AS f_good, COUNT(*) FILTER (WHERE feedback = 'too_small') AS f_too_small, COUNT(*) FILTER (WHERE feedback = 'wrong_scope') AS f_wrong_scope FROM opportunities GROUP BY 1) o ON o.customer_id = c.customer_id""",
 )
 def _(spark, d):
-    customers = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey < 60").selectExpr("c_custkey AS customer_id", "c_name AS business_name")
+    customers = spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey AS customer_id", "c_name AS business_name")
     return W.account_lines(customers, _state(spark, d), frame(spark, d, "opportunities"))
 
 

@@ -7,13 +7,31 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import normalize as N
 from ..sources import extract as S
-from .bindings import NOW, frame, with_roles
+from .bindings import NOW, frame, shared_folder, with_roles
 from .registry import query
 
 RAW, REC = with_roles("raw"), with_roles("records")
 TRIM = "NULLIF(REGEXP_REPLACE({0}, '^\\s+|\\s+$', '', 'g'), '')".format
 
 
+@query("s1_read_extract", RAW + "SELECT record_id, status, location FROM raw WHERE CAST(SUBSTR(record_id, 2) AS BIGINT) % 50 <> 7")
+def _(spark, d):
+    raw, folder = frame(spark, d, "raw"), shared_folder(spark, "extract")
+    line = F.to_json(F.struct("*"))
+    broken = F.substring("record_id", 2, 20).cast("long") % 50 == 7  # lines that were cut off
+    raw.select(F.when(broken, F.substring(line, 1, 30)).otherwise(line).alias("value")).write.text(folder)
+    rows, _rejected = S.read_extract(spark, folder, raw.columns, multi_line=False)
+    return rows.select("record_id", "status", "location")
+
+
+@query("s10_append_events", with_roles("log") + "SELECT ts, agent, decision, summary, ref_opportunity, ref_segment FROM log")
+def _(spark, d):
+    log, folder = frame(spark, d, "log"), shared_folder(spark, "log")
+    for half in (0, 1):
+        S.append_events(log.where(F.col("event_id") % 2 == half), folder)
+    return spark.read.parquet(folder).select("ts", "agent", "decision", "summary", F.col("refs")["opportunity"].alias("ref_opportunity"), F.col("refs")["segment"].alias("ref_segment"))
+
+
 @query("s2_incremental_scan", "SELECT event_id, user_id, value FROM events WHERE event_id > 400 AND event_type = 'view'")
 def _(spark, d):
     return S.incremental_scan(spark.read.parquet(f"{d}/events.parquet"), "event_id", 400, F.col("event_type") == "view").select("event_id", "user_id", "value")
@@ -112,10 +130,9 @@ def _(spark, d):
     return frame(spark, d, "raw").select("record_id", F.unix_millis(N.agency_timestamp("filed_date")).alias("filed_ms"))
 
 
-@query("n5_floating_literal", RAW + "SELECT record_id, CONCAT(REPLACE(filed_date, 'Z', '')) AS wall FROM raw WHERE filed_date LIKE '%T02:30:00.000' AND SUBSTR(filed_date, 6, 2) NOT IN ('04')")
+@query("n5_floating_literal", RAW + f"SELECT record_id, STRFTIME(TIMEZONE('America/Los_Angeles', TO_TIMESTAMP(({_INSTANT}) / 1000.0)), '%Y-%m-%dT%H:%M:%S.%g') AS wall FROM raw")
 def _(spark, d):
-    rows = frame(spark, d, "raw").where("filed_date LIKE '%T02:30:00.000' AND SUBSTR(filed_date, 6, 2) NOT IN ('04')")
-    return rows.select("record_id", N.floating_literal(N.agency_timestamp("filed_date")).alias("wall"))
+    return frame(spark, d, "raw").select("record_id", N.floating_literal(N.agency_timestamp("filed_date")).alias("wall"))
 
 
 @query("n6_coordinates", RAW + "SELECT record_id, CASE WHEN location LIKE '%[-122%' THEN 37.7 END AS lat, CASE WHEN location LIKE '%[-122%' THEN -122.4 END AS lon FROM raw")

@@ -6,10 +6,11 @@ import re
 
 from pyspark.sql import functions as F
 
+from ..operators import gates as G
 from ..operators import scoring as S
 from ..operators import vocab
 from .bindings import NOW, frame, with_roles
-from .q_gates import _in
+from .q_gates import PAIRS, _in
 from .registry import query
 
 
@@ -44,10 +45,10 @@ _COM, _RES, _TERM = _in(vocab.COMMERCIAL_USES), _in(vocab.RESIDENTIAL_USES), _in
 BAND = "CASE WHEN {0} >= 20 THEN 6 WHEN {0} >= 6 THEN 4 WHEN {0} >= 2 THEN 2.5 WHEN {0} >= 1 THEN 1 WHEN {0} IS NOT NULL THEN 0 END".format
 #: Findings of a record, by its key: how many, unknown, established, sum of strengths, contractor's strength.
 FACTS = ", facts AS (SELECT permit_number, 4 + arrival % 9 AS n_findings, arrival % 5 AS n_unknown, 2 + arrival % 3 AS n_established, (4 + arrival % 9 - arrival % 5) * 2 AS strength_sum, CASE WHEN arrival % 3 <> 0 THEN arrival % 4 END AS gc_strength FROM records WHERE arrival % 10 <> 0)"
-_PAIRS = with_roles("valued", "profiles") + _SCOPE + FACTS + f""", base AS (SELECT v.*, p.*, s.t, s.n_core, s.n_adj, s.n_dom, f.n_findings, f.n_unknown, f.n_established, f.strength_sum, f.gc_strength,
+_PAIRS = PAIRS + _SCOPE + FACTS + f""", base AS (SELECT v.*, s.t, s.n_core, s.n_adj, s.n_dom, f.n_findings, f.n_unknown, f.n_established, f.strength_sum, f.gc_strength,
         (EPOCH_US(TIMESTAMP '{NOW}') - EPOCH_US(GREATEST(issued_date, filed_date))) / 86400000000.0 AS raw_days, valuation / min_project_value AS ratio,
         ['B,A', 'R', '', 'M', 'R,B'][v.arrival % 5 + 1] AS letters
-    FROM valued v CROSS JOIN profiles p JOIN scope s ON s.trade = p.trade AND s.description IS NOT DISTINCT FROM v.description LEFT JOIN facts f ON f.permit_number = v.permit_number),
+    FROM gated v JOIN scope s ON s.trade = v.trade AND s.description IS NOT DISTINCT FROM v.description LEFT JOIN facts f ON f.permit_number = v.permit_number),
   parts AS (SELECT *, t <> '' AND n_core + n_adj = 0 AS off,
         CASE WHEN existing_use IN ('office', 'retail sales') OR proposed_use IN ('office', 'retail sales') THEN 14 WHEN existing_use IN {_COM} OR proposed_use IN {_COM} THEN 10
             WHEN COALESCE(existing_use, proposed_use) IS NULL THEN 3 WHEN COALESCE(existing_use, 'apartments') IN {_RES} AND COALESCE(proposed_use, 'apartments') IN {_RES} THEN 0 ELSE 5 END AS f_use,
@@ -64,7 +65,7 @@ _PAIRS = with_roles("valued", "profiles") + _SCOPE + FACTS + f""", base AS (SELE
   weighed AS (SELECT *, {R2('b_fit + ' + R2('b_fit * (w_fit - 1)'))} AS c_fit, b_demand AS c_demand, {R2('b_timing + ' + R2('b_timing * (w_timing - 1)'))} AS c_timing, b_value AS c_value, {R2('b_evidence + ' + R2('b_evidence * (w_evidence - 1)'))} AS c_evidence FROM bound),
   scored AS (SELECT *, LEAST(100.0, GREATEST(0.0, {R2('c_fit + c_demand + c_timing + c_value + c_evidence')})) AS total,
         CONCAT_WS(',', CASE WHEN status IN {_TERM} THEN 'status.terminal' END, CASE WHEN valuation < min_project_value THEN 'valuation.below_floor' END,
-            CASE WHEN LEN(territory_zips) + LEN(territory_districts) > 0 AND COALESCE(zipcode, supervisor_district) IS NOT NULL AND NOT COALESCE(LIST_CONTAINS(territory_zips, zipcode), FALSE) AND NOT COALESCE(LIST_CONTAINS(territory_districts, supervisor_district), FALSE) THEN 'territory.mismatch' END) AS flags FROM weighed) """
+            CASE WHEN LEN(territory_zips) + LEN(territory_districts) > 0 AND COALESCE(zipcode, supervisor_district) IS NOT NULL AND NOT COALESCE(LIST_CONTAINS(LIST_TRANSFORM(territory_zips, lambda x: LOWER(x)), LOWER(TRIM(zipcode))), FALSE) AND NOT COALESCE(LIST_CONTAINS(LIST_TRANSFORM(territory_districts, lambda x: LOWER(x)), LOWER(TRIM(supervisor_district))), FALSE) THEN 'territory.mismatch' END) AS flags FROM weighed) """
 
 
 def _facts(records):
@@ -75,10 +76,15 @@ def _facts(records):
     )
 
 
-def _pairs(spark, d):
+def _bare(spark, d):
+    """Records in the territories of profiles, with their findings; no scope yet."""
     records = frame(spark, d, "valued").withColumns({c: F.lit(None).cast("timestamp") for c in ("status_date", "approved_date", "last_activity")})
     records = records.withColumn("existing_occupancy", F.regexp_replace("existing_occupancy", "/s;M", ""))
-    return records.join(_facts(records), "permit_number", "left").join(S.scopes(records), "permit_number").join(F.broadcast(frame(spark, d, "profiles")), "trade")
+    return G.pair_up(records.join(_facts(records), "permit_number", "left"), frame(spark, d, "profiles"))
+
+
+def _pairs(spark, d):
+    return S.with_scope(_bare(spark, d), S.scope_table(frame(spark, d, "records")), "trade")
 
 
 def scored(spark, d):
@@ -87,7 +93,7 @@ def scored(spark, d):
 
 def _base(spark, d, column):
     drivers = {"fit": S.fit_drivers, "demand": S.demand_drivers, "timing": lambda: S.timing_drivers(NOW), "value": S.value_drivers, "evidence": S.evidence_drivers}[column]()
-    return _pairs(spark, d).select("permit_number", "profile_id", S.clamp(S._sum(drivers), 0, vocab.CEILINGS[column]).alias("points"))
+    return _pairs(spark, d).select("permit_number", "profile_id", S.clamp(S.component_sum(drivers), 0, vocab.CEILINGS[column]).alias("points"))
 
 
 for _column, _name in (("fit", "c4_fit"), ("demand", "c5_demand"), ("timing", "c6_timing"), ("value", "c7_value"), ("evidence", "c8_evidence")):
@@ -119,10 +125,24 @@ def _(spark, d):
     return scored(spark, d).select("permit_number", "profile_id", "score", "calc_id")
 
 
-@query("c11_components", _PAIRS + "SELECT permit_number, profile_id, CAST(c_fit AS DOUBLE) AS fit, CAST(c_demand AS DOUBLE) AS demand, CAST(c_timing AS DOUBLE) AS timing, CAST(c_value AS DOUBLE) AS value, CAST(c_evidence AS DOUBLE) AS evidence, TRUE AS drivers_add_up FROM scored")
+_WARN = f"""CONCAT_WS('; ', CASE WHEN off THEN 'trade not named in scope' END, CASE WHEN COALESCE(existing_use, proposed_use) IS NULL THEN 'use not published' END,
+    CASE WHEN COALESCE(existing_use, proposed_use) IS NOT NULL AND COALESCE(existing_use, 'apartments') IN {_RES} AND COALESCE(proposed_use, 'apartments') IN {_RES} THEN 'use is residential' END, CASE WHEN t = '' THEN 'description empty' END,
+    CASE WHEN COALESCE(valuation, 0) <= 0 THEN 'valuation unknown' END, CASE WHEN gc_strength IS NULL THEN 'no general contractor finding' END, CASE WHEN raw_days < 0 THEN 'moved ahead of the clock' END, CASE WHEN status = 'complete' THEN 'status complete' END,
+    CASE WHEN valuation >= 10 * min_project_value THEN 'an order of magnitude above the floor' END, CASE WHEN n_findings IS NULL THEN 'no findings' END, CASE WHEN n_unknown * 1.0 / n_findings >= 0.5 THEN 'findings mostly unknown' END,
+    CASE WHEN LEN(territory_zips) + LEN(territory_districts) > 0 AND zipcode IS NULL AND supervisor_district IS NULL THEN 'territory unconfirmed' END)"""
+#: Every driver as (place, code, delta), from the sums' parts.
+_DRIVERS = f"""LIST_FILTER([{{'code': 'fit.off_trade', 'delta': CASE WHEN off THEN 0.0 END}}, {{'code': 'fit.use', 'delta': CASE WHEN NOT off THEN f_use END}}, {{'code': 'fit.terms', 'delta': CASE WHEN NOT off THEN f_terms END}}, {{'code': 'fit.occupancy', 'delta': CASE WHEN NOT off THEN f_occ END}},
+    {{'code': 'fit.weight', 'delta': CASE WHEN w_fit <> 1 THEN {R2('b_fit * (w_fit - 1)')} END}}, {{'code': 'demand.value', 'delta': d_band}}, {{'code': 'demand.size', 'delta': d_scale}}, {{'code': 'demand.breadth', 'delta': d_dom}}, {{'code': 'demand.contractor', 'delta': d_gc}},
+    {{'code': 'timing.age', 'delta': timing}}, {{'code': 'timing.weight', 'delta': CASE WHEN w_timing <> 1 THEN {R2('b_timing * (w_timing - 1)')} END}}, {{'code': 'value.ratio', 'delta': val}}, {{'code': 'evidence.none', 'delta': CASE WHEN n_findings IS NULL THEN 0.0 END}},
+    {{'code': 'evidence.strength', 'delta': {R2('7.0 * (strength_sum / (n_findings * 3.0))')}}}, {{'code': 'evidence.facts', 'delta': {R2('3.0 * LEAST(1.0, n_established / 6.0)')} + CASE WHEN n_findings IS NULL THEN NULL ELSE 0 END}}, {{'code': 'evidence.unknown', 'delta': CASE WHEN n_unknown * 1.0 / n_findings >= 0.5 THEN -2.0 WHEN n_unknown * 1.0 / n_findings >= 0.34 THEN -1.0 END}},
+    {{'code': 'evidence.bounds', 'delta': CASE WHEN b_evidence <> {R2('ev')} THEN b_evidence - {R2('ev')} END}}, {{'code': 'evidence.weight', 'delta': CASE WHEN w_evidence <> 1 THEN {R2('b_evidence * (w_evidence - 1)')} END}},
+    {{'code': 'total.bounds', 'delta': CASE WHEN total <> {R2('c_fit + c_demand + c_timing + c_value + c_evidence')} THEN total - {R2('c_fit + c_demand + c_timing + c_value + c_evidence')} END}}], lambda x: x.delta IS NOT NULL)"""
+
+
+@query("c11_components", _PAIRS + f"SELECT permit_number, profile_id, CAST(c_fit AS DOUBLE) AS fit, CAST(c_demand AS DOUBLE) AS demand, CAST(c_timing AS DOUBLE) AS timing, CAST(c_value AS DOUBLE) AS value, CAST(c_evidence AS DOUBLE) AS evidence, {_WARN} AS warnings, LIST_AGGREGATE(LIST_TRANSFORM({_DRIVERS}, lambda x: x.code), 'string_agg', ',') AS drivers, TRUE AS drivers_add_up FROM scored")
 def _(spark, d):
     total = F.aggregate("drivers", F.lit(0.0), lambda t, x: t + x["delta"])
-    return scored(spark, d).select("permit_number", "profile_id", "components.*", (F.abs(total - F.col("score")) <= 0.51).alias("drivers_add_up"))
+    return scored(spark, d).select("permit_number", "profile_id", "components.*", F.array_join("warnings", "; ").alias("warnings"), F.array_join(F.transform("drivers", lambda x: x["code"]), ",").alias("drivers"), (F.abs(total - F.col("score")) <= 0.51).alias("drivers_add_up"))
 
 
 @query("c12_deliverable", _PAIRS + "SELECT permit_number, profile_id, flags = '' AND FLOOR(total + 0.5) >= 80 AS deliverable FROM scored")
@@ -130,9 +150,9 @@ def _(spark, d):
     return scored(spark, d).select("permit_number", "profile_id", "deliverable")
 
 
-@query("c13_top_drivers")
+@query("c13_top_drivers", _PAIRS + f", ds AS (SELECT permit_number, profile_id, {_DRIVERS} AS ds FROM scored), one AS (SELECT permit_number, profile_id, UNNEST(ds) AS x, UNNEST(RANGE(LEN(ds))) AS i FROM ds) SELECT permit_number, profile_id, CAST(place - 1 AS INT) AS place, code, CAST(delta AS DOUBLE) AS delta FROM (SELECT permit_number, profile_id, x.code AS code, x.delta AS delta, ROW_NUMBER() OVER (PARTITION BY permit_number, profile_id ORDER BY CAST(x.delta AS DOUBLE) DESC, i) AS place FROM one) WHERE place <= 3")
 def _(spark, d):
-    return scored(spark, d).select("permit_number", "profile_id", F.posexplode(S.top_drivers(3)).alias("place", "x")).select("permit_number", "profile_id", "place", "x.*")
+    return scored(spark, d).select("permit_number", "profile_id", F.posexplode(S.top_drivers(3)).alias("place", "x")).select("permit_number", "profile_id", "place", "x.code", "x.delta")
 
 
 @query("c14_score_tier", _PAIRS + "SELECT profile_id, CASE WHEN FLOOR(total + 0.5) >= 90 THEN 'high' WHEN FLOOR(total + 0.5) >= 80 THEN 'qualified' ELSE 'under' END AS tier, COUNT(*) AS n FROM scored GROUP BY 1, 2")
@@ -140,7 +160,11 @@ def _(spark, d):
     return scored(spark, d).groupBy("profile_id", S.score_tier(F.col("score")).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("c15_score_all_trades", (_PAIRS.replace("s.trade = p.trade AND ", "").replace("SELECT v.*, p.*, s.t,", "SELECT v.*, p.* EXCLUDE (trade), s.trade, s.t,").replace("CROSS JOIN profiles p", "CROSS JOIN (SELECT * FROM profiles WHERE profile_id = 0) p")) + "SELECT permit_number, trade, CAST(FLOOR(total + 0.5) AS INT) AS score FROM scored")
+@query("c15_score_all_trades", _PAIRS.replace("s.trade = v.trade AND ", "").replace("SELECT v.*, s.t,", "SELECT v.* EXCLUDE (trade), s.trade, s.t,") + "SELECT permit_number, profile_id, trade, CAST(FLOOR(total + 0.5) AS INT) AS score FROM scored")
+def _(spark, d):
+    return S.score_all_trades(_bare(spark, d), NOW).select("permit_number", "profile_id", "trade", "score")
+
+
+@query("c16_run_calculation", _PAIRS + "SELECT 'lead_score' AS calc_id, '1' AS calc_version, profile_id, COUNT(*) AS n, CAST(SUM(FLOOR(total + 0.5)) AS BIGINT) AS points FROM scored GROUP BY 3")
 def _(spark, d):
-    records = frame(spark, d, "valued").withColumns({c: F.lit(None).cast("timestamp") for c in ("status_date", "approved_date", "last_activity")}).withColumn("existing_occupancy", F.regexp_replace("existing_occupancy", "/s;M", ""))
-    return S.score_all_trades(records, frame(spark, d, "profiles").where("profile_id = 0"), _facts(records), NOW).select("permit_number", "trade", "score")
+    return scored(spark, d).groupBy("calc_id", "calc_version", "profile_id").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("points"))

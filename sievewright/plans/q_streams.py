@@ -2,68 +2,74 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import normalize as N
 from ..streaming import streams as T
-from .bindings import NOW, frame
+from .bindings import NOW, frame, shared_folder, with_roles
 from .q_events import _BILL, _FOLD, _LED
-from .q_gates import PAIRS
-from .q_normalize import PC, _hashed
+from .q_gates import _FOLD as _SHEET
+from .q_normalize import _NUM, RAW
 from .registry import query
 
+#: What orders a subscriber's billing events.
+ORDER = ["arrival"]
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
-
-def _files(df: DataFrame, folder: str, order: str, parts: int = 3) -> DataFrame:
-    """Writes df as a few files in order of a column and opens them as a stream."""
-    df.repartitionByRange(parts, order).sortWithinPartitions(order).write.parquet(f"{folder}/in")
-    return T.file_stream(df.sparkSession, f"{folder}/in", df.schema)
+def _in_drops(df: DataFrame, folder: str, order: str, run: Callable[[DataFrame], object], parts: int = 3) -> object:
+    """Writes df in as many drops, by ranges of a column, and runs the stream after each: batches come in order, state is
+    carried from one to the next, and every drop has as many files as Spark likes. Returns what the last run returns."""
+    spark, out = df.sparkSession, None
+    shares = F.array(*(F.lit(i / parts) for i in range(1, parts)))
+    cuts = df.agg(F.percentile_approx(order, shares, 1000).alias("cuts")).first()["cuts"] or []
+    place = sum((F.coalesce(F.col(order) > F.lit(c), F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    for i in range(parts):
+        df.where(place == i).write.mode("append").parquet(f"{folder}/in")
+        out = run(T.file_stream(spark, f"{folder}/in", df.schema))
+    return out
 
 
 def _rocks(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", T.ROCKS)
 
 
-@query("t1_stream_ingest", PC + f"SELECT COALESCE(p.key, c.key) AS key, CASE WHEN c.key IS NOT NULL THEN c.brand ELSE p.brand END AS brand FROM p FULL JOIN c ON p.key = c.key")
+@query("t1_stream_ingest", RAW + f"""SELECT TRIM(permit_number) AS permit_number, CASE WHEN CAST(SUBSTR(record_id, 2) AS BIGINT) % 5 = 0 THEN 'complete' ELSE LOWER(TRIM(status)) END AS status,
+    GREATEST(CASE WHEN {_NUM('revised_cost')} > 0 THEN {_NUM('revised_cost')} END, CASE WHEN {_NUM('estimated_cost')} > 0 THEN {_NUM('estimated_cost')} END) AS valuation FROM raw WHERE TRIM(permit_number) <> ''""")
 def _(spark, d):
-    folder = _folder(spark)
-    cols = ["key", "h", "brand", "arrival"]
-    for i, role in enumerate(("previous", "current")):
-        _hashed(frame(spark, d, role)).select(cols).coalesce(1).write.mode("append").parquet(f"{folder}/in{i}")
-    schema = spark.read.parquet(f"{folder}/in0").schema
-    for i in (0, 1):  # the second pass takes up the first one's store
-        T.stream_ingest(spark.readStream.schema(schema).parquet(f"{folder}/in[0-{i}]"), f"{folder}/store", f"{folder}/checkpoint", "key", "h", ["brand"], ["brand"], "arrival", NOW).awaitTermination()
-    return spark.read.parquet(f"{folder}/store/version=1").select("key", "brand")
+    folder = shared_folder(spark, "stream")
+    raw = frame(spark, d, "raw")
+    late = F.when(F.substring("record_id", 2, 20).cast("long") % 5 == 0, " Complete ").otherwise(F.col("status"))
+    for rows in (raw, raw.withColumn("status", late)):  # the second pass takes up the first one's store
+        rows.write.mode("append").parquet(f"{folder}/in")
+        stream = T.file_stream(spark, f"{folder}/in", raw.schema)
+        T.stream_ingest(stream, f"{folder}/store", f"{folder}/checkpoint", "permit_number", "content_hash", ["status", "valuation"], ["status"], "record_id", NOW, lambda x: N.normalize_records(x)[0]).awaitTermination()
+    return spark.read.parquet(f"{folder}/store/version=1").select("permit_number", "status", "valuation")
 
 
-@query("t2_stream_changes")
+@query("t2_stream_changes", with_roles("queue") + "SELECT handle AS key, CASE WHEN b IS NULL THEN 'added' ELSE 'changed' END AS status, action AS h, COUNT(*) AS n FROM (SELECT *, LAG(action) OVER (PARTITION BY handle ORDER BY ts, event_id) AS b FROM queue) WHERE b IS NULL OR b <> action GROUP BY 1, 2, 3")
 def _(spark, d):
     _rocks(spark)
-    folder = _folder(spark)
-    rows = frame(spark, d, "queue").selectExpr("handle AS key", "action AS h", "ts")
-    return T.collected(T.stream_changes(_files(rows, folder, "ts")), folder)
+    folder = shared_folder(spark, "stream")
+    rows = frame(spark, d, "queue").selectExpr("handle AS key", "action AS h", "ts", "event_id")
+    out = _in_drops(rows, folder, "ts", lambda x: T.collected(T.stream_changes(x), folder))
+    return out.groupBy("key", "status", "h").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("t3_stream_billing", _BILL + "SELECT DISTINCT provider_event FROM billing")
+@query("t3_stream_billing", _BILL + "SELECT customer_id, state, CAST(updated_at AS STRING) AS updated_at FROM states")
 def _(spark, d):
-    folder = _folder(spark)
-    return T.collected(T.stream_billing(_files(frame(spark, d, "billing"), folder, "arrival"), None), folder).select("provider_event")
+    folder = shared_folder(spark, "stream")
+    _in_drops(frame(spark, d, "billing"), folder, "arrival", lambda x: T.stream_billing_state(x, f"{folder}/store", f"{folder}/checkpoint", ORDER, None).awaitTermination())
+    return spark.read.parquet(f"{folder}/store/version=2").select("customer_id", "state", F.col("updated_at").cast("string").alias("updated_at"))
 
 
 @query("t4_stream_ledger", _LED + "SELECT handle, message_count, opted_out FROM ledger")
 def _(spark, d):
-    folder = _folder(spark)
-    out = T.collected(T.stream_ledger(_files(frame(spark, d, "messages"), folder, "ts")), folder, "update")
+    folder = shared_folder(spark, "stream")
+    out = _in_drops(frame(spark, d, "messages"), folder, "ts", lambda x: T.collected(T.stream_ledger(x), folder, "update"))
     last = F.row_number().over(Window.partitionBy("handle").orderBy(F.desc("batch")))
     return out.withColumn("_n", last).where("_n = 1").select("handle", "message_count", "opted_out")
 
@@ -71,13 +77,14 @@ def _(spark, d):
 @query("t5_stream_weights", _FOLD + "SELECT customer_id, event_id, fit, demand, timing, value, evidence FROM fold WHERE n > 0")
 def _(spark, d):
     _rocks(spark)
-    folder = _folder(spark)
+    folder = shared_folder(spark, "stream")
     rows = frame(spark, d, "verdicts").select("customer_id", "event_id", "ts", "verdict")
-    return T.collected(T.stream_weights(_files(rows, folder, "ts", 1)), folder)
+    return _in_drops(rows, folder, "ts", lambda x: T.collected(T.stream_weights(x), folder))
 
 
-@query("t6_stream_funnel", PAIRS + "SELECT profile_id, CASE WHEN NOT g1 THEN 'geography' WHEN NOT g2 THEN 'status' WHEN NOT g3 THEN 'project_type' WHEN NOT g4 THEN 'commercial_use' WHEN NOT g5 THEN 'cost_floor' END AS rejected_by, COUNT(*) AS n FROM gated GROUP BY 1, 2")
+@query("t6_stream_funnel", _SHEET + "SELECT profile_id, permit_number, rejected_by FROM sheet")
 def _(spark, d):
-    folder = _folder(spark)
-    out = T.collected(T.stream_funnel(_files(frame(spark, d, "valued"), folder, "arrival"), frame(spark, d, "profiles"), NOW).select("profile_id", "permit_number", "rejected_by"), folder)
-    return out.groupBy("profile_id", "rejected_by").agg(F.count(F.lit(1)).alias("n"))
+    _rocks(spark)
+    folder = shared_folder(spark, "stream")
+    profiles = frame(spark, d, "profiles")
+    return _in_drops(frame(spark, d, "valued"), folder, "arrival", lambda x: T.collected(T.stream_funnel(x, profiles, NOW), folder))

@@ -7,30 +7,34 @@ and writes the next, named by its batch id, so a repeated batch overwrites its o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from ..operators import changes, feedback, gates, ledger
+from ..operators import changes, feedback, gates, ledger, vocab
 from ..sources.extract import merge_snapshot
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
+    """Parquet files as they come; a micro-batch takes all that are there, or files_per_batch of them."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
-def stream_ingest(stream: DataFrame, store: str, checkpoint: str, key: str, hash_column: str, values: list[str], preferences: list[str], arrival: str, observed_at: datetime | str):
-    """Each micro-batch: canonical rows, difference to the store, merged store as a new version, counts as an event."""
+def stream_ingest(stream: DataFrame, store: str, checkpoint: str, key: str, hash_column: str, values: list[str], preferences: list[str], arrival: str, observed_at: datetime | str, prepare: Callable[[DataFrame], DataFrame] | None = None):
+    """Each micro-batch: prepared (normalised) and canonical rows, difference to the store, merged store as a new version,
+    counts as an event."""
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
+        rows = prepare(rows) if prepare else rows
         one = changes.canonical_collapse(rows.where(F.trim(F.col(key).cast("string")) != ""), key, [F.col(p) for p in preferences], [F.col(arrival)])
         if batch_id:
             before = spark.read.parquet(f"{store}/version={batch_id - 1}")
@@ -51,7 +55,8 @@ class _Changes(StatefulProcessor):
         self.last = handle.getValueState("last", StructType([StructField("h", StringType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        frame = pd.concat(list(rows))
+        frame = frame.sort_values([c for c in ("ts", "event_id") if c in frame.columns], kind="stable")
         known = self.last.get()[0] if self.last.exists() else None
         out = []
         for h, ts in zip(frame["h"], frame["ts"], strict=True):
@@ -78,6 +83,21 @@ def stream_billing(stream: DataFrame, delay: str | None = "7 days") -> DataFrame
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["provider_event"])
 
 
+def stream_billing_state(stream: DataFrame, store: str, checkpoint: str, order: list[str], delay: str | None = "7 days"):
+    """Each provider event once, folded into the subscribers' states: every micro-batch writes the next version of the
+    store (customer_id, state, updated_at, and at: what orders the last write)."""
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        new = ledger.billing_state(rows, order).join(rows.groupBy("customer_id").agg(F.max(F.struct(*order)).alias("at")), "customer_id")
+        if batch_id:
+            new = spark.read.parquet(f"{store}/version={batch_id - 1}").unionByName(new)
+        merged = new.groupBy("customer_id").agg(F.max_by("state", "at").alias("state"), F.max("updated_at").alias("updated_at"), F.max("at").alias("at"))
+        merged.write.mode("overwrite").parquet(f"{store}/version={batch_id}")
+
+    return stream_billing(stream, delay).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_ledger(stream: DataFrame) -> DataFrame:
     """The contact ledger continuously, in update or complete mode."""
     return ledger.contact_ledger(stream)
@@ -90,19 +110,10 @@ class _Weights(StatefulProcessor):
         self.weights = handle.getValueState("weights", StructType([StructField(n, DoubleType()) for n in feedback.NAMES]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        import math
-
-        def bound(x: float) -> float:
-            return math.floor(min(feedback.HIGH, max(feedback.LOW, x)) * 100 + 0.5) / 100
-
         w = list(self.weights.get()) if self.weights.exists() else [1.0] * len(feedback.NAMES)
         frame, out = pd.concat(list(rows)).sort_values(["ts", "event_id"]), []
         for event, verdict in zip(frame["event_id"], frame["verdict"], strict=True):
-            for i, name in enumerate(feedback.NAMES):
-                if verdict == "good":
-                    w[i] = bound(w[i] + (1.0 - w[i]) * feedback.REGRESS)
-                elif name in feedback.MOVES.get(verdict, {}):
-                    w[i] = bound(w[i] + feedback.MOVES[verdict][name])
+            w = feedback.moved(w, verdict)
             out.append((key[0], event, *w))
         self.weights.update(tuple(w))
         yield pd.DataFrame(out, columns=["customer_id", "event_id", *feedback.NAMES])
@@ -117,10 +128,38 @@ def stream_weights(stream: DataFrame) -> DataFrame:
     return stream.groupBy("customer_id").transformWithStateInPandas(_Weights(), schema, "Append", "None")
 
 
-def stream_funnel(stream: DataFrame, profiles: DataFrame, now: datetime | str) -> DataFrame:
-    """Each arriving record against the profiles: the five stateless gates, and which one rejects it."""
-    rows = gates.five_gates(stream.crossJoin(F.broadcast(profiles)), now)
-    return rows.withColumn("rejected_by", F.get(F.filter("outcomes", lambda o: ~o["passed"]), F.lit(0))["gate"])
+class _Accepted(StatefulProcessor):
+    """Per profile and site the buckets of days in which a filing was accepted; rows of a micro-batch in order of arrival."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.taken = handle.getListState("taken", StructType([StructField("bucket", LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frame, out = pd.concat(list(rows)).sort_values("arrival"), []
+        taken = {r[0] for r in self.taken.get()}
+        for permit, bucket in zip(frame["permit_number"], frame["bucket"], strict=True):
+            b = None if pd.isna(bucket) else int(bucket)
+            near = b in taken or (b is not None and ({b - 1, b + 1} & taken))
+            if not near:
+                taken.add(b)
+                self.taken.appendValue((b,))
+            out.append((key[0], permit, "dedupe" if near else None))
+        yield pd.DataFrame(out, columns=["profile_id", "permit_number", "rejected_by"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_funnel(stream: DataFrame, profiles: DataFrame, now: datetime | str, window_days: int = vocab.NEAR_DUPLICATE_DAYS) -> DataFrame:
+    """profile_id, permit_number and rejected_by for each arriving record in the territory of each profile: four gates at
+    once, then, with state by profile and site, the dedupe gate. Needs the RocksDB state store."""
+    c = F.col
+    rows = gates.five_gates(gates.pair_up(stream, profiles), now).withColumn("rejected_by", F.get(F.filter("outcomes", lambda o: ~o["passed"]), F.lit(0))["gate"])
+    site = gates.site_key(c("address"), c("unit"), c("description"), c("permit_number"))
+    bucket = F.floor(F.unix_micros("filed_date") / F.lit(86_400_000_000 * window_days)).cast("long")
+    good = rows.where("rejected_by IS NULL").select("profile_id", site.alias("site"), "permit_number", "arrival", bucket.alias("bucket"))
+    judged = good.groupBy("profile_id", "site").transformWithStateInPandas(_Accepted(), "profile_id long, permit_number string, rejected_by string", "Append", "None")
+    return rows.where("rejected_by IS NOT NULL").select("profile_id", "permit_number", "rejected_by").unionByName(judged)
 
 
 def collected(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
