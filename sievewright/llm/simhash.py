@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .components import connected_components
+from .components import connected_components, forest
 
 #: Differing bits of two texts' word fingerprints within which their shingles are compared.
 NEAR_BITS = 6
@@ -39,6 +39,10 @@ FRONTIER = 200_000
 SMALL = 256
 #: Stands for a fingerprint without a label.
 NO_LABEL = -(2**63)
+#: A bound holds three numbers of so many bits: shingles that other candidates have as well, those that at least COMMON
+#: of them have (or MOST, if these are fewer than half: then the text is not part of a dense group), and all.
+PART_BITS, MOST, COMMON = 21, 2**21 - 1, 16
+NO_BOUND = MOST << 2 * PART_BITS | MOST << PART_BITS
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -144,20 +148,46 @@ def walk(left: np.ndarray, right: np.ndarray | None, budget: int, spent: int = 0
             stack.append((d + 1, *(x[keep] for x in (al, ah, bl, bh, used))))
 
 
-def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Smallest index that each of n nodes is linked with, over pairs that come in parts."""
-    label = np.arange(n)
+def hubs(values: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (hub, other) of the values that share a label: the hub is the one closest to their majority of bits,
+    as the text that the others were copied from is."""
+    order = np.argsort(label, kind="stable")
+    begins = np.flatnonzero(np.concatenate(([True], label[order][1:] != label[order][:-1]))) if len(order) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(begins, len(order)))
+    many = np.repeat(sizes > 1, sizes)
+    order, sizes = order[many], sizes[sizes > 1]
+    if not len(order):
+        return order, order
+    begins = np.cumsum(sizes) - sizes
+    own = np.ascontiguousarray(values[order])
+    sums = np.add.reduceat(np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int64), begins, axis=0)
+    most = np.packbits(2 * sums > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    best = np.lexsort((own, np.bitwise_count(own ^ most[group]), group))[begins]
+    hub = order[best][group]
+    return hub[hub != order], order[hub != order]
+
+
+def within_bounds(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether two sets can share SHARE of their union, by their bounds. What two texts of dense groups share beyond the
+    common shingles is rare, and such pairs are found by it."""
+    tenths, size = round(10 * SHARE), (x & MOST) + (y & MOST)
+    cx, cy = x >> PART_BITS & MOST, y >> PART_BITS & MOST
+    both = np.where((cx < MOST) & (cy < MOST), np.minimum(cx, cy), np.minimum(x >> 2 * PART_BITS, y >> 2 * PART_BITS))
+    return (10 + tenths) * both >= tenths * size
+
+
+def lowest_neighbours(values: np.ndarray, rank: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (lowest, own) for each value that has a neighbour of lower rank: the lowest one, ties by value."""
+    order = np.lexsort((values, rank))
+    place = np.empty(len(values), np.int64)
+    place[order] = np.arange(len(values))
+    best = place.copy()
     for i, j in pairs:
-        while True:
-            x, y = label[i], label[j]
-            apart = x != y
-            if not apart.any():
-                break
-            i, j, x, y = i[apart], j[apart], x[apart], y[apart]
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-            while (label[label] != label).any():
-                label = label[label]
-    return label
+        np.minimum.at(best, i, place[j])
+        np.minimum.at(best, j, place[i])
+    own = np.flatnonzero(best != place)
+    return order[best[own]], own
 
 
 class Layout:
@@ -203,7 +233,8 @@ def trie_links(fps: DataFrame, budget: int = 3, node_limit: int = NODE_LIMIT, al
 
     all_pairs: every pair, each once, but for those whose fingerprints have one and the same ``label`` (a long column of
     fps, if there is one). Otherwise enough of them to connect what belongs together: each task returns, for each of its
-    fingerprints, one link to the smallest that it reaches.
+    fingerprints, one link to the most central that it reaches, or, if fps have a long column ``rank``, to its neighbour of
+    the lowest rank. A long column ``bound`` of fps leaves out pairs that can't be alike anyway (within_bounds).
     """
     if not 0 <= budget < 16:
         raise ValueError("a budget of 0 to 15 bits")
@@ -216,10 +247,11 @@ def trie_links(fps: DataFrame, budget: int = 3, node_limit: int = NODE_LIMIT, al
                 path = own.path(fp)
                 root = pa.array((path >> np.uint64(64 - own.lead)).view(np.int64))
                 zero = pa.array(np.zeros(len(fp), np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), i, np.int32)), root, root, zero, zero, pa.array(path.view(np.int64)), batch.column("label")], names=["block", "pa", "pb", "spent", "side", "path", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), i, np.int32)), root, root, zero, zero, pa.array(path.view(np.int64)), batch.column("label"), batch.column("bound")], names=["block", "pa", "pb", "spent", "side", "path", "label", "bound"])
 
-    labelled = fps.select("fp", "label") if "label" in fps.columns else fps.select("fp", F.lit(None).cast("long").alias("label"))
-    rows = labelled.where("fp IS NOT NULL").dropDuplicates(["fp"]).mapInArrow(lay_out, "block int, pa long, pb long, spent int, side int, path long, label long")
+    given = next((c for c in ("label", "rank") if c in fps.columns), None)
+    labelled = fps.select("fp", (F.col(given) if given else F.lit(None)).cast("long").alias("label"), (F.col("bound") if "bound" in fps.columns else F.lit(None)).cast("long").alias("bound"))
+    rows = labelled.where("fp IS NOT NULL").dropDuplicates(["fp"]).mapInArrow(lay_out, "block int, pa long, pb long, spent int, side int, path long, label long, bound long")
     node = ["block", "pa", "pb", "spent"]
     wide = {i: x.lead for i, x in enumerate(laid)}
     found, down = None, 0
@@ -242,8 +274,8 @@ def trie_links(fps: DataFrame, budget: int = 3, node_limit: int = NODE_LIMIT, al
         apart = F.bit_count(F.col("ca").bitwiseXOR(F.col("cb")))
         pairs = x.join(y, node).where(((F.col("pa") != F.col("pb")) | (F.col("ca") <= F.col("cb"))) & (F.col("spent") + apart <= budget)).withColumn("more", apart)
         new = [F.xxhash64("pa", "ca").alias("pa"), F.xxhash64("pb", "cb").alias("pb"), (F.col("spent") + F.col("more")).alias("spent")]
-        left = split.where("side = 0").withColumnRenamed("child", "ca").join(pairs, [*node, "ca"]).select("block", *new, F.lit(0).alias("side"), "path", "label")
-        right = split.where((F.col("side") == 1) | (F.col("pa") == F.col("pb"))).withColumnRenamed("child", "cb").join(pairs, [*node, "cb"]).where((F.col("pa") != F.col("pb")) | (F.col("ca") != F.col("cb"))).select("block", *new, F.lit(1).alias("side"), "path", "label")
+        left = split.where("side = 0").withColumnRenamed("child", "ca").join(pairs, [*node, "ca"]).select("block", *new, F.lit(0).alias("side"), "path", "label", "bound")
+        right = split.where((F.col("side") == 1) | (F.col("pa") == F.col("pb"))).withColumnRenamed("child", "cb").join(pairs, [*node, "cb"]).where((F.col("pa") != F.col("pb")) | (F.col("ca") != F.col("cb"))).select("block", *new, F.lit(1).alias("side"), "path", "label", "bound")
         rows, down = left.unionByName(right), down + 8
     return found.distinct()
 
@@ -261,8 +293,9 @@ def _compared(rows: DataFrame, laid: list[Layout], down: int, budget: int, all_p
             new &= (b >= block) | (((x ^ y) & leads[b]) != 0)
         return new
 
-    def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return (x != y) | (x == NO_LABEL)
+    def open_(i: np.ndarray, j: np.ndarray, label: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        apart = (label[i] != label[j]) | (label[i] == NO_LABEL) if all_pairs else True
+        return apart & within_bounds(bound[i], bound[j])
 
     def back(v: np.ndarray, block: np.ndarray) -> np.ndarray:
         out = np.zeros(len(v), np.int64)
@@ -271,23 +304,22 @@ def _compared(rows: DataFrame, laid: list[Layout], down: int, budget: int, all_p
             out[own] = laid[b].back(v[own])
         return out
 
-    def large(block: int, spent: int, path: np.ndarray, side: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def large(block: int, spent: int, path: np.ndarray, side: np.ndarray, label: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((path, side))
-        values, label, n = path[order], label[order], int((side == 0).sum())
+        values, label, bound, n = path[order], label[order], bound[order], int((side == 0).sum())
         a, b = values[:n], values[n:]
         shift = n if len(b) else 0
         pairs = ((i, j + shift) for i, j in walk(a, b if len(b) else None, budget, spent, min(64, laid[block].lead + down)))
+        pairs = ((i[new], j[new]) for i, j in pairs if (new := open_(i, j, label, bound)).any())
         if all_pairs:
-            got = [(i[new], j[new]) for i, j in pairs if (new := apart(label[i], label[j])).any()]
+            got = list(pairs)
             i, j = (np.concatenate([g[k] for g in got]) if got else np.empty(0, np.int64) for k in (0, 1))
         else:
-            label = forest(len(values), pairs)
-            j = np.flatnonzero(label != np.arange(len(values)))
-            i = label[j]
+            i, j = lowest_neighbours(values, label, pairs) if (label != NO_LABEL).any() else hubs(values, forest(len(values), pairs))
         return values[i], values[j]
 
     def complete(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        block, pa_, pb, spent, side, path, label = cols
+        block, pa_, pb, spent, side, path, label, bound = cols
         new = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (pa_[1:] != pa_[:-1]) | (pb[1:] != pb[:-1]) | (spent[1:] != spent[:-1]))))
         size = np.diff(np.append(new, len(block)))
         group = np.repeat(np.arange(len(new)), size)
@@ -299,13 +331,13 @@ def _compared(rows: DataFrame, laid: list[Layout], down: int, budget: int, all_p
             if not len(i):
                 break
             i = i[np.bitwise_count(path[i] ^ path[i + k]) <= budget]
-            i = i[apart(label[i], label[i + k])] if all_pairs else i
+            i = i[open_(i, i + k, label, bound)]
             x, y = back(path[i], block[i]), back(path[i + k], block[i])
             once = anew(x, y, block[i]) if all_pairs else slice(None)
             out.append((x[once], y[once]))
         for g in np.flatnonzero(~few & (size > 1)):
             own = slice(new[g], new[g] + size[g])
-            x, y = large(int(block[new[g]]), int(spent[new[g]]), path[own], side[own], label[own])
+            x, y = large(int(block[new[g]]), int(spent[new[g]]), path[own], side[own], label[own], bound[own])
             own_layout = laid[int(block[new[g]])]
             x, y = own_layout.back(x), own_layout.back(y)
             once = anew(x, y, np.full(len(x), block[new[g]])) if all_pairs else slice(None)
@@ -327,7 +359,7 @@ def _compared(rows: DataFrame, laid: list[Layout], down: int, budget: int, all_p
         if rest is not None and len(rest[0]):
             yield from complete(rest)
 
-    return rows.repartition(*node).sortWithinPartitions(*node).select(*node, "side", "path", F.coalesce("label", F.lit(NO_LABEL)).alias("label")).mapInArrow(run, "a long, b long")
+    return rows.repartition(*node).sortWithinPartitions(*node).select(*node, "side", "path", F.coalesce("label", F.lit(NO_LABEL)).alias("label"), F.coalesce("bound", F.lit(NO_BOUND)).alias("bound")).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 3) -> DataFrame:
@@ -336,13 +368,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 3) -> DataFra
     A fingerprint goes by its smallest doc_id while components are found, so their smallest node is the answer.
     """
     prints = common.written(fingerprints(docs, words), "fingerprints")
-    name = F.struct(F.col("root").isNull().alias("unnamed"), F.coalesce("root", "fp").alias("id"))
+    low = F.lit(NO_LABEL)
+    name = F.concat(F.when(F.col("root").isNull(), "n").otherwise("d"), F.lpad(F.hex(F.coalesce("root", "fp").bitwiseXOR(low)), 16, "0"))  # in the order of the numbers
     distinct = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("root")).select("fp", name.alias("node")), "distinct")
     links = trie_links(distinct, budget)
     a, b = (distinct.select(F.col("fp").alias(c), F.col("node").alias(f"n{c}")) for c in "ab")
     label = connected_components(links.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
     known = distinct.join(label, "node", "left").select("fp", F.coalesce("component", "node").alias("c"))
-    return prints.join(known, "fp").select("doc_id", "fp", F.when(~F.col("c.unnamed"), F.col("c.id")).alias("component_id"))
+    number = F.conv(F.substring("c", 2, 16), 16, -10).cast("long").bitwiseXOR(low)
+    return prints.join(known, "fp").select("doc_id", "fp", F.when(F.col("c").startswith("d"), number).alias("component_id"))
 
 
 def forms(docs: DataFrame) -> DataFrame:
@@ -389,8 +423,12 @@ def near_groups(rows: DataFrame, told: DataFrame, budget: int = NEAR_BITS) -> Da
     ``told``: the smallest row of the form, and the group that near-duplicates have in common.
 
     Fingerprints of the words within ``budget`` bits make candidates; two texts are linked if they share SHARE or more of
-    their five-word shingles, counted over the sets themselves. A first pass checks one link per fingerprint, so a large
-    group of copies falls together without all its pairs; the second checks every pair that is not in one group yet.
+    their five-word shingles, counted over the sets themselves. No pair is lost, yet a large group of copies is not
+    compared pair by pair: a text of whose shingles less than SHARE occur in any other candidate has no partner and is left
+    out; each of the others is first compared with the neighbour whose shingles are the most common ones, as those of the
+    text are that the group was copied from; of the pairs that are not in one group by then, those are compared in full that have enough
+    shingles which others have as well. In a dense group only shingles that many have count for that, as pairs that share a
+    rare one are found by it.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
     known = common.written(told.groupBy("fp", "form").agg(first.alias("first")), "forms")
@@ -405,20 +443,36 @@ def near_groups(rows: DataFrame, told: DataFrame, budget: int = NEAR_BITS) -> Da
     node_of = common.written(sets.select("fp", "digest", "form").join(nodes, ["fp", "digest"]).select("fp", "form", "node"), "nodes")
     at = node_of.where("form = node").select("fp", "node")
     held = common.written(sets.join(at.select("node"), F.col("form") == F.col("node"), "left_semi").withColumnRenamed("form", "node"), "held")
-    low = common.written(at.groupBy("fp").agg(F.min("node").alias("low")), "low")
+    each = held.select(F.xxhash64("node").alias("id"), F.explode("shingles").alias("h"))
+    twice = common.written(each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "twice")
+    met = each.join(twice, "h").groupBy("id").agg(F.count(F.lit(1)).alias("met"), F.count_if(F.col("c") >= COMMON).alias("often"), F.sum("c").alias("c"))
+    rank = -(F.lit(1000) * F.col("c") / F.col("n")).cast("long")
+    able = held.select("fp", "node", F.col("n").cast("long").alias("n"), F.xxhash64("node").alias("id")).join(met, "id").where(10 * F.col("met") >= round(10 * SHARE) * F.col("n"))
+    often = F.when(2 * F.col("often") >= F.col("n"), F.col("often"))  # null: no dense group
+    able = common.written(able.select("id", "fp", "node", rank.alias("rank"), "met", often.alias("often"), "n"), "able")
+    dense = F.when(F.count("often") == F.count(F.lit(1)), F.max("often")).otherwise(MOST)
+    bound = F.when(F.max("n") < MOST // 2, F.max("met") * (1 << 2 * PART_BITS) + dense * (1 << PART_BITS) + F.min("n")).alias("bound")
+    low = common.written(able.groupBy("fp").agg(F.min(F.struct("rank", "node")).alias("x"), bound).select("fp", F.col("x.rank").alias("rank"), F.col("x.node").alias("low"), "bound"), "low")
     ends = {c: low.select(F.col("fp").alias(c), F.col("low").alias(f"n{c}")) for c in "ab"}
-    few = tree.join(ends["a"], "a").join(ends["b"], "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    few = few.unionByName(at.join(low, "fp").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")))
+    few = trie_links(low, budget).join(ends["a"], "a").join(ends["b"], "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    few = few.unionByName(able.join(low.select("fp", "low"), "fp").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")))
     links = common.written(verified_links(few, held), "links")
     label = connected_components(links)
-    grouped = common.written(at.join(label, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("component")), "grouped")
-    whole = grouped.groupBy("fp").agg(F.min("component").alias("x"), F.max("component").alias("y")).select("fp", F.when(F.col("x") == F.col("y"), F.xxhash64("x")).alias("label"))
+    grouped = common.written(able.join(label, "node", "left").select("id", "fp", "node", "met", "often", "n", F.coalesce("component", "node").alias("component")), "grouped")
+    whole = grouped.groupBy("fp").agg(F.min("component").alias("x"), F.max("component").alias("y"), bound).select("fp", F.when(F.col("x") == F.col("y"), F.xxhash64("x")).alias("label"), "bound")
     whole = common.written(whole, "whole")
     near = trie_links(whole, budget, all_pairs=True)
-    one, other = (grouped.select(F.col("fp").alias(c), F.col("node").alias(f"n{c}"), F.col("component").alias(f"c{c}")) for c in "ab")
-    within = one.join(whole.where("label IS NULL").select(F.col("fp").alias("a")), "a", "left_semi").join(other.withColumnRenamed("b", "a"), "a").where("na < nb")
-    open_ = near.join(one, "a").join(other, "b").unionByName(within.withColumn("b", F.col("a")))
-    more = verified_links(open_.where("ca <> cb").select(F.col("na").alias("a"), F.col("nb").alias("b")), held)
+    one, other = (grouped.select(F.col("fp").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("id", "node", "component", "met", "often", "n"))) for c in "ab")
+    tenths = round(10 * SHARE)
+    enough = lambda x, y: (F.col("component_a") != F.col("component_b")) & ((10 + tenths) * F.least(x, y) >= tenths * (F.col("n_a") + F.col("n_b")))
+    dense = F.col("often_a").isNotNull() & F.col("often_b").isNotNull()
+    can = enough(F.when(dense, F.col("often_a")).otherwise(F.col("met_a")), F.when(dense, F.col("often_b")).otherwise(F.col("met_b")))
+    within = one.join(whole.where("label IS NULL").select(F.col("fp").alias("a")), "a", "left_semi").join(other.withColumn("a", F.col("b")), "a").where("node_a < node_b")
+    rare = each.join(twice.where(F.col("c") < COMMON).select("h"), "h").join(able.where("often IS NOT NULL").select("id"), "id")
+    sharing = rare.withColumnRenamed("id", "id_a").join(rare.withColumnRenamed("id", "id_b"), "h").where("id_a < id_b").select("id_a", "id_b").distinct()
+    by_rare = sharing.join(one, "id_a").join(other, "id_b").where(enough(F.col("met_a"), F.col("met_b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= budget))
+    open_ = near.join(one, "a").join(other, "b").where(can).select("node_a", "node_b").unionByName(within.where(can).select("node_a", "node_b")).unionByName(by_rare.select("node_a", "node_b"))
+    more = verified_links(open_.toDF("a", "b"), held)
     label = connected_components(links.unionByName(more))
     named = node_of.join(label, "node", "left").select("form", F.coalesce("component", "node").alias("component"))
     return known.join(named, "form", "left").select("first", F.coalesce("component", "form").alias("component"))
