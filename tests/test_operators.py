@@ -182,3 +182,69 @@ def test_narrower_territory_accepts_a_subset(spark):
     passed = lambda z: {r[0] for r in rows.where(gates.geography_gate(F.col("zipcode"), F.col("supervisor_district"), F.col("neighborhood"), z, none)["passed"]).select("permit_number").collect()}
     assert passed(narrow) < passed(wide)
     assert len(passed(none)) == 40
+
+
+def _records(spark, rows):
+    return spark.createDataFrame(rows, "permit_number string, zipcode string, supervisor_district string, neighborhood string")
+
+
+def _profiles(spark, rows):
+    return spark.createDataFrame(rows, "profile_id long, territory_zips array<string>, territory_districts array<string>")
+
+
+def test_places_are_compared_in_their_normal_forms(spark):
+    records = _records(spark, [("a", "CA 94104", None, None), ("b", "94104-1234", "09", None), ("c", None, "9.0", None), ("d", None, "Supervisor  District 9", "Mission \u2013 Bay"), ("e", None, None, None), ("f", "941", "x", " mission - BAY ")])
+    profiles = _profiles(spark, [(1, ["94104"], ["9"]), (2, [], ["District 009"]), (3, ["94104-0000"], []), (4, [" "], ["Mission \u2014 bay"]), (5, [], None), (6, None, ["10"])])
+    pairs = records.crossJoin(profiles)
+    gate = gates.geography_gate(*(F.col(c) for c in ("zipcode", "supervisor_district", "neighborhood", "territory_zips", "territory_districts")))
+    passed = {(r.permit_number, r.profile_id) for r in pairs.where(gate["passed"]).collect()}
+    assert {p for p, i in passed if i == 1} == {"a", "b", "d"} and {p for p, i in passed if i == 2} == {"b", "d"} and {p for p, i in passed if i == 3} == {"a", "b"}
+    assert {p for p, i in passed if i == 4} == {"d", "f"} and {p for p, i in passed if i == 5} == set("abcdef") and not {p for p, i in passed if i == 6}
+    met = [(r.permit_number, r.profile_id) for r in gates.pair_up(records, profiles).collect()]
+    assert len(met) == len(set(met)) and set(met) == passed
+    assert gates.pair_up(records.limit(0), profiles).count() == gates.pair_up(records, profiles.limit(0)).count() == 0
+
+
+def test_site_key_ignores_punctuation_and_dashes(spark):
+    rows = spark.createDataFrame([("1", "12\u201314 Main St", None, "Install T.I. lighting, 2nd floor."), ("2", "12-14  main st ", "", "INSTALL T I LIGHTING 2ND FLOOR"), ("3", "12-14 main st", "5", "Install T.I. lighting, 2nd floor."), ("4", None, None, "x"), ("5", None, None, "x"), ("6", "a st", None, " ?! ")], "k string, address string, unit string, description string")
+    keys = {r.k: r.s for r in rows.select("k", changes.site_key(F.col("address"), F.col("unit"), F.col("description"), F.col("k")).alias("s")).collect()}
+    assert keys["1"] == keys["2"] and len(set(keys.values())) == 5
+    parts = rows.limit(1).select(changes.site_key(F.lit(None).cast("string"), F.col("unit"), F.col("description"), F.col("k"), (F.lit("12-14"), F.lit(None).cast("string"), F.lit("Main"), F.lit("ST"))).alias("s"))
+    assert parts.first().s == keys["1"]
+
+
+def test_sheet_equals_the_product(spark):
+    from sievewright.plans.bindings import NOW as now
+    from sievewright.plans.bindings import frame
+
+    sf = "/root/testdata/sf0.001"
+    records, profiles = frame(spark, sf, "valued").where("arrival < 300"), frame(spark, sf, "profiles").where("profile_id < 20")
+    whole = gates.five_gates(records.crossJoin(profiles), now).select("profile_id", "permit_number", F.get(F.filter("outcomes", lambda o: ~o["passed"]), F.lit(0))["gate"].alias("gate")).collect()
+    want = {(r.profile_id, r.permit_number): r.gate for r in whole if r.gate != "geography"}
+    sheet = gates.gate_sheet(records, profiles, now).select("profile_id", "permit_number", F.nullif("rejected_by", F.lit("dedupe")).alias("gate"), F.get(F.filter("outcomes", lambda o: ~o["passed"]), F.lit(0))["gate"].alias("first"), "rejected_by").collect()
+    assert {(r.profile_id, r.permit_number): r.gate for r in sheet} == want and all(r["first"] == r.rejected_by for r in sheet)
+    counts = {(r.profile_id, r.rejected_by): r.n for r in gates.rejections_by_gate(gates.gate_sheet(records, profiles, now), records, profiles).collect()}
+    for p in range(20):
+        assert counts.get((p, "geography"), 0) == sum(r.gate == "geography" for r in whole if r.profile_id == p)
+
+
+def test_funnel_has_no_product(spark, capsys):
+    from sievewright.plans.queries import QUERIES
+
+    QUERIES["g9_funnel"](spark, "/root/testdata/sf0.001").explain("formatted")
+    plan = capsys.readouterr().out
+    assert plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_weights_fold_in_order(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([1, 2, None]), i, rng.choice([*feedback.MOVES, "good", "other", None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "c long, n long, v string").withColumn("ts", F.timestamp_seconds(F.col("n") % 7)).repartition(5)
+    got = {r.tie: r for r in feedback.fold_weights(df, "c", "ts", "v", "n").collect()}
+    assert len(got) == 300
+    for c in (1, 2, None):
+        w = [1.0] * 5
+        for _, n, v in sorted((n % 7, n, v) for x, n, v in rows if x == c):
+            assert list(got[n].before) == w
+            w = feedback.moved(w, v)
+            assert list(got[n].after) == w
