@@ -128,10 +128,11 @@ def _matches(kind: str, pattern: str) -> str:
     return f"element_at(transform(array({pairs}), m -> CASE WHEN size(m) = 0 THEN {_NONE} WHEN size(m) <= {FOLD} THEN {fold.format(m='m')}.o ELSE {many} END), 1)"
 
 
+#: What a text must have for a generator to be worth a run. Most texts have no digit, which rules out all but two kinds.
 _WORTH = {
-    "email": "instr(_text, '@') > 0", "phone": "instr(_text, '+') > 0", "ip": "_text RLIKE '[0-9][.][0-9]'", "dotted": "_text RLIKE '[0-9][.][0-9]'", "card": "_text RLIKE '[0-9](?:[ -]?[0-9]){11}'",
-    "number": "_text RLIKE '[0-9]{2}[^0-9A-Za-z]{1,3}[0-9]{2}'", "digits": "_text RLIKE '[0-9]{7}'", "opaque": "_text RLIKE '[0-9A-Za-z_+/-]{20}'", "account": "_text RLIKE '[A-Z]{2}[0-9]{2}'",
-    "secret": "_text RLIKE '(?i)(?:password|passwd|pwd|secret|token|bearer|key)'",
+    "email": "instr(_text, '@') > 0", "phone": "_digit AND instr(_text, '+') > 0", "ip": "_digit AND _text RLIKE '[0-9][.][0-9]'", "dotted": "_digit AND _text RLIKE '[0-9][.][0-9]'",
+    "card": "_digit AND _text RLIKE '[0-9](?:[ -]?[0-9]){11}'", "number": "_digit AND _text RLIKE '[0-9]{2}[^0-9A-Za-z]{1,3}[0-9]{2}'", "digits": "_digit AND _text RLIKE '[0-9]{7}'",
+    "opaque": "_digit AND _text RLIKE '[0-9A-Za-z_+/-]{20}'", "account": "_digit AND _text RLIKE '[A-Z]{2}[0-9]{2}'", "secret": "(instr(_text, ':') > 0 OR instr(_text, '=') > 0) AND _text RLIKE '(?i)(?:password|passwd|pwd|secret|token|bearer|key)'",
 }
 
 
@@ -142,7 +143,7 @@ def _in_context(array: str) -> str:
 def candidates(docs: DataFrame) -> DataFrame:
     """_row (all columns of docs), _text, _base (array of spans under the fixed rules) and _more (all other candidates,
     with their context) for every row of docs."""
-    out = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    out = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")).withColumn("_digit", F.col("_text").rlike("[0-9]"))
     out = out.withColumns({f"_{kind}": F.expr(f"IF({_WORTH[kind]}, {_matches(kind, pattern)}, {_NONE})") for kind, pattern in (*BASE, *MORE)})
     kept = ", ".join(f"filter(_{k}, x -> {RULES[k]})" for k, _ in BASE)
     failed = ", ".join([*(f"filter(_{k}, x -> NOT ({RULES[k]}) AND length(x.h) >= 5)" for k, _ in BASE), *(f"_{k}" for k, _ in MORE)])

@@ -143,6 +143,31 @@ def test_decontamination(spark):
     assert decontam.find_matches(df, bench.limit(0)).count() == 0 and decontam.find_matches(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_against_every_stretch(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(2, 6)))
+    items = {i: " ".join(word() for _ in range(12)) for i in range(6)} | {6: "ab cd"}
+    docs = {}
+    for d in range(40):
+        t = list(items[rng.randrange(6)])
+        for _ in range(rng.randrange(8)):
+            at = rng.randrange(len(t))
+            t[at : at + 1] = rng.choice([[], ["x"], [t[at], "y"]])
+        docs[d] = " ".join(word() for _ in range(rng.randrange(6))) + " " + "".join(t) + " " + rng.choice(["ab cd", "ab  cd", ""]) + " ".join(word() for _ in range(6))
+
+    def closest(item, text):  # the plain dynamic program over all stretches
+        row = [0] * (len(text) + 1)
+        for i, x in enumerate(item, 1):
+            row, old = [i], row
+            for j, y in enumerate(text, 1):
+                row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+        return min(row)
+
+    want = {(d, i): n for d, t in docs.items() for i, x in items.items() if (n := closest(x, t)) <= (int(0.08 * len(x)) if len(x) >= 40 else 0)}
+    got = decontam.find_matches(docs_of(spark, list(docs.items())), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): r.distance for r in got.collect()} == want and len({i for _, i in want}) >= 6
+
+
 # --- personal data
 
 
@@ -349,6 +374,22 @@ def test_substring_dedup(spark, monkeypatch, least):
 # --- language
 
 
+def test_language_against_plain_compression(spark):
+    import zstandard
+
+    docs = common.table(spark, SF, "documents")
+    learned = langid.fit(docs, F.lit(True))
+    packed = {k: zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, v in learned.items()}
+    found = {r.doc_id: r for r in langid.classify(docs, learned).collect()}
+    same = 0
+    for r in docs.limit(60).collect():
+        own = re.sub(r"[\W\d_]+", " ", (r.text or "").lower()).encode()
+        sizes = {k: sum(len(p.compress(own[i : i + 8192])) for i in range(0, len(own), 8192)) for k, p in packed.items()}
+        same += found[r.doc_id].lang_pred == min(sizes, key=sizes.get)
+    assert same >= 59  # level parameters depend a little on how the dictionary is given
+    assert all(len(v) <= langid.DICT_BYTES for v in learned.values())
+
+
 def test_language_held_out_accuracy(spark):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")
     held = common.remainder("doc_id", 5) == 0
@@ -384,6 +425,40 @@ def test_next_comparisons(spark):
     assert piecewise.next_comparisons(docs_of(spark, [(3, "alone")])).first().near_next == 1.0
 
 
+def test_fingerprints_against_a_plain_loop():
+    def plain(text):
+        data = text.encode()
+        block = 3
+        if not data:
+            return "3::"
+        while block * 64 < len(data):
+            block *= 2
+        state = []
+        for i in range(len(data)):
+            last = [data[i - j] if i >= j else 0 for j in range(7)]
+            mixed = 0
+            for j, c in enumerate(last):
+                mixed ^= c << 5 * j & 0xFFFFFFFF
+            state.append((sum(c * (8 - j) for j, c in enumerate(last)) + mixed) & 0xFFFFFFFF)
+
+        def pieces(size):
+            out, begin = [], 0
+            for i, r in enumerate(state):
+                if r % size == size - 1:
+                    out.append(data[begin : i + 1])
+                    begin = i + 1
+            return out, data[begin:]
+
+        while block > 3 and len(pieces(block)[0]) < 32:
+            block //= 2
+        sides = ("".join(piecewise.LETTERS[zlib.crc32(x) & 63] for x in [*found, *([rest] if rest else [])]) for found, rest in (pieces(block), pieces(2 * block)))
+        return ":".join([str(block), *sides])
+
+    rng = random.Random(6)
+    for text in ["", "x", "é😀" * 300, *("".join(rng.choice("abc \n") for _ in range(rng.randint(1, 3000))) for _ in range(25))]:
+        assert piecewise.fingerprint(text) == plain(text)
+
+
 def test_every_piece_counts():
     one, other = (f"{'the quick brown fox jumps over the lazy dog':<50}{x} and then it rests a while.\n" * 1000 for x in ("", "yesterday"))
     half = len(one) // 2
