@@ -93,6 +93,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, folder).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -104,6 +116,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_lattice_score": op9_lattice_score,
     "op10_warc": op10_warc,
+    "op12_whitening": op12_whitening,
+    "op13_collocations": op13_collocations,
 }
 
 
@@ -146,3 +160,17 @@ _B32 = " || ".join(f"SUBSTR('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x'
 ORACLES["op10_warc"] = f"""
 WITH p AS (SELECT page_id, COALESCE(html, '') AS html, SHA1(COALESCE(html, '')) AS h, MAX(page_id) OVER (PARTITION BY COALESCE(html, '')) AS last FROM pages)
 SELECT page_id, CAST(STRLEN(html) AS BIGINT) AS payload_bytes, {_B32} AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM p"""
+
+ORACLES["op13_collocations"] = """
+WITH p AS (SELECT doc_id, COALESCE(lang, 'und') AS lang, UNNEST(REGEXP_SPLIT_TO_ARRAY(TRANSLATE(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT doc_id, lang, LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT doc_id, lang, s, ARRAY_TO_STRING(ws[i:i + s - 1], ' ') AS phrase FROM w, UNNEST(RANGE(1, 5)) AS u(s), UNNEST(RANGE(1, LEN(ws) - s + 2)) AS v(i)),
+f AS (SELECT lang, s, phrase, COUNT(*) AS f, MIN(doc_id) AS first_doc_id FROM g GROUP BY ALL HAVING COUNT(*) >= 30),
+t AS (SELECT lang, SUM(LEN(ws)) AS n FROM w GROUP BY lang),
+q AS (SELECT *, STRING_SPLIT(phrase, ' ') AS ws FROM f),
+inner_ AS (SELECT lang, ARRAY_TO_STRING(ws[b:b + z - 1], ' ') AS phrase, MAX(f) AS longer FROM q, UNNEST(RANGE(2, s)) AS u(z), UNNEST(RANGE(1, s - z + 2)) AS v(b) WHERE s > 2 GROUP BY ALL),
+kept AS (SELECT q.* FROM q LEFT JOIN inner_ i ON i.lang = q.lang AND i.phrase = q.phrase WHERE s > 1 AND (longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(f AS HUGEINT))),
+cuts AS (SELECT kept.lang, kept.phrase, kept.f AS a, kept.first_doc_id, k, x.f AS l, y.f AS r, CAST(2000000 * CAST(kept.f AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score
+    FROM kept, UNNEST(RANGE(1, kept.s)) AS u(k) JOIN f x ON x.lang = kept.lang AND x.phrase = ARRAY_TO_STRING(kept.ws[1:k], ' ') JOIN f y ON y.lang = kept.lang AND y.phrase = ARRAY_TO_STRING(kept.ws[k + 1:kept.s], ' ')),
+low AS (SELECT * FROM cuts QUALIFY ROW_NUMBER() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT low.lang, ROW_NUMBER() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score, first_doc_id FROM low JOIN t ON t.lang = low.lang QUALIFY rank <= 2000"""
