@@ -93,6 +93,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, folder).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    learned = lambda df: df.where(remainder("doc_id", 4) != 2)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(learned(docs), learned(table(spark, sf_dir, "labels")))
+    found = score(docs.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "text"), model)
+    return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .whitening import whiten
 
@@ -116,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_lattice_score": op9_lattice_score,
     "op10_warc": op10_warc,
+    "op11_toxicity": op11_toxicity,
     "op12_whitening": op12_whitening,
     "op13_collocations": op13_collocations,
 }
