@@ -11,7 +11,9 @@ Word counts come from a grouped count over the whole corpus. The most frequent w
 in one place.
 
 Defined results: null and empty texts are the end alone; repeated rows are scored once each; without training documents
-every count is zero and the existing weights remain; an empty table gives no rows; other columns are ignored.
+every count is zero and the existing weights remain; words of equal count are looked up alike, whichever way; very long
+texts count in whole, and very long words too; an empty table gives no rows; other columns are ignored. The same input
+gives the same scores, however often it is scored in a session.
 """
 
 from __future__ import annotations
@@ -42,7 +44,8 @@ LN10 = math.log(10)
 
 
 class Pieces:
-    """Pieces of a vocabulary, found by the hash of their bytes; ids are positions in ``log`` (natural logarithms)."""
+    """Pieces of a vocabulary, found by the hash of their bytes; ids are positions in ``log`` (natural logarithms), the
+    vocabulary's own weights. Fitted weights are arguments: a Pieces never changes, as workers keep theirs."""
 
     def __init__(self, pieces: list[bytes], scores: list[float]):
         """The last weight is the end's. Scores are logarithms, or minus a rank where any lies under -100."""
@@ -65,6 +68,10 @@ class Pieces:
             self.slot[at] = i
             self.probes = max(self.probes, n)
         self.longest = max(map(len, self.pieces))
+        self.size = np.array(list(map(len, self.pieces)), np.int64)
+        padded = b"".join(p.ljust(-(-self.longest // 8) * 8, b"\0") for p in self.pieces)
+        self.eights = np.frombuffer(padded, "<u8").reshape(len(self.pieces), -1)
+        self.log.flags.writeable = False
 
     @staticmethod
     def _hash(piece: bytes) -> int:
@@ -76,15 +83,20 @@ class Pieces:
     def _place(self, h: np.ndarray) -> np.ndarray:
         return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
+    def _find(self, h: np.ndarray, eights: np.ndarray, step: int) -> np.ndarray:
+        """Pieces of step bytes with hash h, or -1; a hash's piece only counts if its bytes are those of the word, which
+        has the eight bytes from each place on as a number in eights."""
         at = self._place(h)
         out = np.full(h.shape, -1, np.int32)
         for _ in range(self.probes):
             got = self.slot[at]
-            hit = (got >= 0) & (self.hash[got] == h)
-            out = np.where(hit, got, out)
+            out = np.where((got >= 0) & (self.hash[got] == h), got, out)
             at = (at + 1) & (len(self.slot) - 1)
-        return out
+        same = self.size[out] == step
+        for k in range(0, step, 8):
+            ours = eights[:, k : k + h.shape[1]] & np.uint64(2 ** (8 * min(8, step - k)) - 1)
+            same &= ours == self.eights[out, k // 8]
+        return np.where(same, out, -1)
 
     def edges(self, words: np.ndarray) -> list[np.ndarray]:
         """Per piece length l from 1: the piece that starts at each place of each word (matrix of bytes), or -1."""
@@ -92,16 +104,19 @@ class Pieces:
         prefix = np.zeros((n, size + 1), np.uint64)
         for j in range(size):
             prefix[:, j + 1] = prefix[:, j] * _BASE + words[:, j].astype(np.uint64) + np.uint64(1)
+        eights = np.zeros((n, size), np.uint64)
+        for j in range(8):
+            eights[:, : size - j] |= words[:, j:].astype(np.uint64) << np.uint64(8 * j)
         power, out = np.uint64(1), []
         with np.errstate(over="ignore"):
             for step in range(1, min(self.longest, size) + 1):
                 power = power * _BASE
-                out.append(self._find(prefix[:, step:] - prefix[:, :-step] * power))
+                out.append(self._find(prefix[:, step:] - prefix[:, :-step] * power, eights, step))
         return out
 
-    def forward(self, edges: list[np.ndarray], n: int, size: int, backward: bool = False) -> np.ndarray:
-        """Log-space recursion: mass of all segmentations up to (backward: from) each place."""
-        log = np.append(self.log, -np.inf)  # -1 finds this
+    def forward(self, edges: list[np.ndarray], n: int, size: int, log: np.ndarray, backward: bool = False) -> np.ndarray:
+        """Log-space recursion with weights log: mass of all segmentations up to (backward: from) each place."""
+        log = np.append(log, -np.inf)  # -1 finds this
         weight = [log[e] for e in edges]
         total = np.full((n, size + 1), -np.inf)
         total[:, size if backward else 0] = 0.0
@@ -124,20 +139,20 @@ class Pieces:
                 own = same[begin : begin + most]
                 yield own, np.frombuffer(b"".join([data[i] for i in own]), np.uint8).reshape(len(own), -1)
 
-    def log_words(self, words: list[str]) -> np.ndarray:
-        """Natural logarithm of every word's marginal probability."""
+    def log_words(self, words: list[str], log: np.ndarray) -> np.ndarray:
+        """Natural logarithm of every word's marginal probability under weights log."""
         out = np.zeros(len(words))
         for own, matrix in self.chunks(words):
-            out[own] = self.forward(self.edges(matrix), *matrix.shape)[:, -1]
+            out[own] = self.forward(self.edges(matrix), *matrix.shape, log)[:, -1]
         return out
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        """Expected number of uses of every piece in words that occur counts times."""
+        """Expected number of uses of every piece, by the vocabulary's own weights, in words that occur counts times."""
         used = np.zeros(len(self.log))
         for own, matrix in self.chunks(words):
             n, size = matrix.shape
             edges = self.edges(matrix)
-            a, b = self.forward(edges, n, size), self.forward(edges, n, size, backward=True)
+            a, b = self.forward(edges, n, size, self.log), self.forward(edges, n, size, self.log, backward=True)
             whole = a[:, -1:]
             for step, e in enumerate(edges, 1):
                 at = e >= 0
@@ -221,9 +236,7 @@ def score(docs: DataFrame, path: str, head_words: int = HEAD_WORDS) -> DataFrame
     weights = spark.sparkContext.broadcast(fit(counts, ends, path))
 
     def log_words(words: list[str]) -> np.ndarray:
-        pieces = vocabulary(path)
-        pieces.log = weights.value
-        return pieces.log_words(words) / LN10
+        return vocabulary(path).log_words(words, weights.value) / LN10
 
     # the head: all words above the lowest count that at most head_words reach, found from counts per eighth of an octave
     octave = F.floor(F.log2("c") * 8)
@@ -234,9 +247,7 @@ def score(docs: DataFrame, path: str, head_words: int = HEAD_WORDS) -> DataFrame
             break
         lowest = r["o"]
     first = short.where(octave >= lowest if lowest is not None else F.lit(False)).select("word", "c").toPandas()
-    known_first = vocabulary(path).log
     head_score = log_words(first["word"].tolist())
-    vocabulary(path).log = known_first
     head = spark.sparkContext.broadcast((dict(zip(first["word"].tolist(), range(len(first)), strict=True)), first["c"].to_numpy(np.int64), head_score))
     end = (math.log10(ends + 0.1) - least, float(weights.value[-1]) / LN10, int(ends > 0))
 
