@@ -34,6 +34,8 @@ from . import common
 FILTER_BITS, BITS_EACH = 27, 16
 #: Bytes of text whose arrays a worker holds at once, more only where a single piece is longer.
 SLICE_BYTES = 1 << 20
+#: Parts of a language whose phrases are ranked side by side.
+SALTS = 64
 _BYTE, _WORD, _MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9))
 _BLANK, _END = 1, 2
 _KIND = np.zeros(256, np.uint8)
@@ -248,5 +250,8 @@ def collocations(docs: DataFrame, most_words: int = 4, least: int = 30, share: i
     found = cuts.join(parts.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")), ["lang", "left"]).join(parts.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"])
     scored = found.withColumn("score", F.expr("CAST(a AS DECIMAL(20,0)) * 2000000 DIV (CAST(l AS DECIMAL(20,0)) + r)").cast("long"))
     lowest = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "first_doc_id")).alias("x")).select("lang", "phrase", "x.*")
+    # no task ranks a language: the top of each of SALTS parts first, then the top of these
+    part = F.pmod(F.xxhash64("phrase"), F.lit(SALTS))
+    lowest = lowest.withColumn("part", part).withColumn("rank", F.expr("row_number() OVER (PARTITION BY lang, part ORDER BY score DESC, a DESC, phrase)")).where(F.col("rank") <= top).drop("part", "rank")
     ranked = lowest.withColumn("rank", F.expr("row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)").cast("long")).where(F.col("rank") <= top)
     return ranked.join(F.broadcast(totals), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "first_doc_id")
