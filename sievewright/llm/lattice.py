@@ -105,7 +105,7 @@ class Pieces:
         for j in range(size):
             prefix[:, j + 1] = prefix[:, j] * _BASE + words[:, j].astype(np.uint64) + np.uint64(1)
         eights = np.zeros((n, size), np.uint64)
-        for j in range(8):
+        for j in range(min(8, size)):
             eights[:, : size - j] |= words[:, j:].astype(np.uint64) << np.uint64(8 * j)
         power, out = np.uint64(1), []
         with np.errstate(over="ignore"):
