@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,15 +34,37 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.maxPlanStringLength", 1 << 16)  # the driver keeps the texts of all plans it ran
 
 
+#: Paths of the tables that each settled() under way has written.
+_scratch: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage is cut, columns stay prunable."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() returns, written. The tables that make() wrote on the way are deleted then: nothing but its result may
+    read them."""
+    _scratch.append([])
+    try:
+        df = make()
+    finally:
+        own = _scratch.pop()
+    out = written(df, name)
+    spark = out.sparkSession
+    for path in own:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return out
+
+
 def text_rows(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]

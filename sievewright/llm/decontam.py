@@ -8,8 +8,9 @@ lie, and Myers' bit-parallel distance verifies that stretch of the document. Ite
 Comparison folds A-Z to lower case and every ASCII blank to a space; positions are code points of the document.
 
 Defined results: null and empty documents match nothing; null and empty items are ignored; items shorter than
-``exact_below`` code points must match exactly; repeated documents or items are reported once per row; an empty table
-on either side gives no matches. Other columns of the documents are kept by remove_contaminated().
+``exact_below`` code points must match exactly; repeated documents or items are reported once per row; very long
+documents are searched in whole, very long items have as many pieces as their budget asks for; an empty table on either side
+gives no matches. Other columns of the documents are kept by remove_contaminated().
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ most ``capacity`` counts, whatever the size of the corpus. For each window a sub
 remaining lengths whose sum comes closest to the capacity; backtracking through the bitsets gives the count of each
 length, and the pattern is repeated as often as the histogram allows.
 
-Defined results: a null or empty text is the closing id alone; repeated rows are packed once each; an empty table gives
-no rows; other columns of the input are ignored.
+Defined results: a null or empty text is the closing id alone; repeated rows are packed once each; a very long
+text is cut into full sequences and a rest, all of whose ids are kept; an empty table gives no rows; other columns of the input
+are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ edit distance of the signatures that belong to the same block size; all others h
 
 Defined results: null and empty texts have the fingerprint ``3::``; equal texts have equal fingerprints, which have
 likeness 1; rows that share a doc_id follow each other in the order of their texts; a null doc_id comes before all
-others; a table of one row is its own next row; an empty table gives no rows; other columns are ignored.
+others; a table of one row is its own next row; very
+long texts count in whole, with a character for every piece; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

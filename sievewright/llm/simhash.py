@@ -9,7 +9,8 @@ task holds a bounded pair of nodes; one fingerprint's copies never leave the fin
 
 Defined results: a null or empty text (no word) has fingerprint zero and links like any other; texts with fewer words
 than a shingle use the whole sequence; repeated rows share a fingerprint; a null doc_id is ignored when the smallest
-doc_id is taken; an empty table gives no rows; other columns are ignored.
+doc_id is taken; very long texts count in whole, their shingles in batches; ties between fingerprints go by value; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .collocations import bitmap, passes
 from .components import connected_components, forest
 
 #: Differing bits of two texts' word fingerprints within which their shingles are compared.
 NEAR_BITS = 6
+#: Parts of a shingle set whose sizes bound what two sets have in common.
+PARTS = 128
 #: Words of a shingle, and the share of all shingles of two texts that both have, at which the texts are near-duplicates.
 SHINGLE_WORDS, SHARE = 5, 0.8
 #: Distinct fingerprints of one trie root beyond which its children become tasks of their own.
@@ -394,8 +398,8 @@ def forms(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """row, the sorted hashes of the distinct shingles (a text without words has none) and a digest of them, for every
-    row of docs (text, row)."""
+    """row, the sorted hashes of the distinct shingles (a text without words has none), a digest of them, and how many of
+    them lie in each of PARTS parts (null if any part has too many for a byte), for every row of docs (text, row)."""
     from xxhash import xxh3_128_hexdigest
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,19 +407,37 @@ def shingle_sets(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
             for part in common.batches(batch):
                 got = [np.unique(np.array(_hashes(own, words) if own else [], np.uint64)).view(np.int64) for own in map(_words, part.column("text").to_pylist())]
                 sets = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, got)]), pa.int32()), pa.array(np.concatenate([*got, np.empty(0, np.int64)]), pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("row"), sets, pa.array([xxh3_128_hexdigest(g.tobytes()) for g in got], pa.string())], names=["row", "shingles", "digest"])
+                dealt = [np.bincount((g & (PARTS - 1)).astype(np.int64), minlength=PARTS) for g in got]
+                parts = [d.astype(np.int8).tolist() if d.max() < 128 else None for d in dealt]
+                yield pa.RecordBatch.from_arrays([part.column("row"), sets, pa.array([xxh3_128_hexdigest(g.tobytes()) for g in got], pa.string()), pa.array(parts, pa.list_(pa.int8()))], names=["row", "shingles", "digest", "parts"])
 
-    return docs.select("text", "row").mapInArrow(run, "row string, shingles array<long>, digest string")
+    return docs.select("text", "row").mapInArrow(run, "row string, shingles array<long>, digest string, parts array<tinyint>")
 
 
 def verified_links(candidates: DataFrame, sets: DataFrame) -> DataFrame:
-    """The candidates (a, b: nodes) whose shingle sets (node, n, shingles) share SHARE or more of their union."""
+    """The candidates (a, b: nodes) whose shingle sets (node, n, parts, shingles) share SHARE or more of their union.
+
+    Two sets have no more in common than the smaller counts of their parts add up to: pairs that this leaves short are out
+    before a set moves, and only sets of the pairs that are left do.
+    """
     tenths = round(10 * SHARE)
-    size = {c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab"}
-    held = {c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab"}
-    able = candidates.join(size["a"], "a").join(size["b"], "b").where(10 * F.least("n_a", "n_b") >= tenths * F.greatest("n_a", "n_b"))
+    size = {c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parts").alias(f"p_{c}")) for c in "ab"}
+    enough = lambda common: (10 + tenths) * common >= tenths * (F.col("n_a") + F.col("n_b"))
+    most = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda t, x: t + x)
+    able = candidates.distinct().join(size["a"], "a").join(size["b"], "b").where((10 * F.least("n_a", "n_b") >= tenths * F.greatest("n_a", "n_b")) & F.coalesce(enough(most), F.lit(True)))
+    able = common.written(able.select("a", "b", "n_a", "n_b"), "pairs")
+    key = F.xxhash64("node").alias("key")
+    used = able.select(F.col("a").alias("node")).unionByName(able.select(F.col("b").alias("node"))).select(key).distinct()
+    bits = sets.sparkSession.sparkContext.broadcast(bitmap(common.written(used, "used")))  # of bounded size; it may let more through
+
+    def needed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            yield batch.filter(pa.array(passes(bits.value, batch.column("key").to_numpy().view(np.uint64)))).select(["node", "shingles"])
+
+    few = common.written(sets.select("node", "shingles", key).mapInArrow(needed, "node string, shingles array<long>"), "used-sets")
+    held = {c: few.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab"}
     both = able.join(held["a"], "a").join(held["b"], "b").withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
-    return both.where((10 + tenths) * F.col("common") >= tenths * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return both.where(enough(F.col("common"))).select("a", "b")
 
 
 def near_groups(rows: DataFrame, told: DataFrame, budget: int = NEAR_BITS) -> DataFrame:
@@ -433,12 +455,12 @@ def near_groups(rows: DataFrame, told: DataFrame, budget: int = NEAR_BITS) -> Da
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
     known = common.written(told.groupBy("fp", "form").agg(first.alias("first")), "forms")
     prints = common.written(known.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "distinct")
-    tree = common.written(trie_links(prints, budget), "tree")
+    tree = common.settled(lambda: trie_links(prints, budget), "tree")
     asked = common.written(tree.select(F.col("a").alias("fp")).unionByName(tree.select(F.col("b").alias("fp"))).unionByName(prints.where("n > 1").select("fp")).distinct(), "asked")
     wanted = common.written(known.join(asked, "fp", "left_semi").select("fp", "form", F.col("first.row").alias("row")), "wanted")
     # A repeated row gives the same set again; the smallest form stands for all of one fingerprint and set.
     found = shingle_sets(rows.join(wanted.select("row"), "row", "left_semi")).dropDuplicates(["row"])
-    sets = common.written(found.join(wanted, "row").select("fp", "form", "digest", F.size("shingles").alias("n"), "shingles"), "sets")
+    sets = common.written(found.join(wanted, "row").select("fp", "form", "digest", F.size("shingles").alias("n"), "parts", "shingles"), "sets")
     nodes = sets.groupBy("fp", "digest").agg(F.min("form").alias("node"))
     node_of = common.written(sets.select("fp", "digest", "form").join(nodes, ["fp", "digest"]).select("fp", "form", "node"), "nodes")
     at = node_of.where("form = node").select("fp", "node")
@@ -454,14 +476,14 @@ def near_groups(rows: DataFrame, told: DataFrame, budget: int = NEAR_BITS) -> Da
     bound = F.when(F.max("n") < MOST // 2, F.max("met") * (1 << 2 * PART_BITS) + dense * (1 << PART_BITS) + F.min("n")).alias("bound")
     low = common.written(able.groupBy("fp").agg(F.min(F.struct("rank", "node")).alias("x"), bound).select("fp", F.col("x.rank").alias("rank"), F.col("x.node").alias("low"), "bound"), "low")
     ends = {c: low.select(F.col("fp").alias(c), F.col("low").alias(f"n{c}")) for c in "ab"}
-    few = trie_links(low, budget).join(ends["a"], "a").join(ends["b"], "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    few = common.settled(lambda: trie_links(low, budget), "few").join(ends["a"], "a").join(ends["b"], "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     few = few.unionByName(able.join(low.select("fp", "low"), "fp").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")))
-    links = common.written(verified_links(few, held), "links")
-    label = connected_components(links)
+    links = common.settled(lambda: verified_links(few, held), "links")
+    label = common.settled(lambda: connected_components(links), "label")
     grouped = common.written(able.join(label, "node", "left").select("id", "fp", "node", "met", "often", "n", F.coalesce("component", "node").alias("component")), "grouped")
     whole = grouped.groupBy("fp").agg(F.min("component").alias("x"), F.max("component").alias("y"), bound).select("fp", F.when(F.col("x") == F.col("y"), F.xxhash64("x")).alias("label"), "bound")
     whole = common.written(whole, "whole")
-    near = trie_links(whole, budget, all_pairs=True)
+    near = common.settled(lambda: trie_links(whole, budget, all_pairs=True), "near")
     one, other = (grouped.select(F.col("fp").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("id", "node", "component", "met", "often", "n"))) for c in "ab")
     tenths = round(10 * SHARE)
     enough = lambda x, y: (F.col("component_a") != F.col("component_b")) & ((10 + tenths) * F.least(x, y) >= tenths * (F.col("n_a") + F.col("n_b")))
@@ -472,8 +494,8 @@ def near_groups(rows: DataFrame, told: DataFrame, budget: int = NEAR_BITS) -> Da
     sharing = rare.withColumnRenamed("id", "id_a").join(rare.withColumnRenamed("id", "id_b"), "h").where("id_a < id_b").select("id_a", "id_b").distinct()
     by_rare = sharing.join(one, "id_a").join(other, "id_b").where(enough(F.col("met_a"), F.col("met_b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= budget))
     open_ = near.join(one, "a").join(other, "b").where(can).select("node_a", "node_b").unionByName(within.where(can).select("node_a", "node_b")).unionByName(by_rare.select("node_a", "node_b"))
-    more = verified_links(open_.toDF("a", "b"), held)
-    label = connected_components(links.unionByName(more))
+    more = common.settled(lambda: verified_links(open_.toDF("a", "b"), held), "more")
+    label = common.settled(lambda: connected_components(links.unionByName(more)), "label")
     named = node_of.join(label, "node", "left").select("form", F.coalesce("component", "node").alias("component"))
     return known.join(named, "form", "left").select("first", F.coalesce("component", "form").alias("component"))
 
@@ -489,7 +511,7 @@ def one_of_each(docs: DataFrame, budget: int = NEAR_BITS) -> DataFrame:
     row = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(" "), text))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), row.alias("row"))
     told = common.written(forms(rows), "told")
-    groups = near_groups(rows, told, budget)
+    groups = common.settled(lambda: near_groups(rows, told, budget), "groups")
     kept = common.written(groups.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row")), "kept")
     times = told.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
     marks = times.join(kept.withColumn("stays", F.lit(True)), "row", "left").where("stays IS NULL OR n > 1").select("row", F.col("stays").isNotNull().alias("stays"))

@@ -9,8 +9,8 @@ jumping to where they leave the split; between splits the exits are jumped by jo
 the start of the file. Candidates that are not reached are payload: they are glued back to the record they lie in.
 
 Defined results: a null html is an empty payload; a null or multi-line url is written on one line; repeated rows give
-records that refer to the same page_id; a null page_id is written empty and read back null; an empty table gives no
-records; other columns are ignored.
+records that refer to the same page_id; a null page_id is written empty and read back null; a very long
+payload is one record, whose text one task holds when it is read back; an empty table gives no records; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -151,6 +151,23 @@ def reachable(places: DataFrame) -> DataFrame:
     return marked.select("file", "block", "begin", "next", "entry").groupBy("file", "block").applyInArrow(chain, "file string, begin long")
 
 
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, nth and raw: what follows each version line, numbered from 0 within each range of a file. A task reads a
+    range in whole and in order, whichever ranges it is given besides."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = None, 0
+        for batch in it:
+            nth = np.empty(len(batch), np.int64)
+            for i, place in enumerate(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True)):
+                last, n = (place, n + 1) if place == last else (place, 0)
+                nth[i] = n
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(nth), batch.column("value")], names=["file", "block", "nth", "raw"])
+
+    read = spark.read.option("lineSep", VERSION).text(path)
+    return read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value").mapInArrow(run, "file string, block long, nth long, raw string")
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """file, begin, type, page_id, refers_to, payload_bytes, digest (of the payload read), declared for every record."""
     rows = common.written(candidates(spark, path), "candidates")
@@ -158,7 +175,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     inside = Window.partitionBy("file", "block").orderBy("at")
     blocks = rows.groupBy("file", "block").agg(F.sum(F.col("bytes") + line).alias("sum"))
     ahead = blocks.select("file", "block", F.coalesce(F.sum("sum").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    placed = rows.withColumn("_before", F.coalesce(F.sum(F.col("bytes") + line).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).join(ahead, ["file", "block"])
+    placed = rows.withColumn("nth", (F.row_number().over(inside) - 1).cast("long")).withColumn("_before", F.coalesce(F.sum(F.col("bytes") + line).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).join(ahead, ["file", "block"])
     # what stands before a row is a version line, but for the first row of a file
     placed = placed.withColumn("begin", F.col("ahead") + F.col("_before") - line).drop("_before", "ahead")
     placed = common.written(placed.withColumn("next", F.when(F.col("begin") >= 0, F.col("begin") + line + F.col("needs"))), "places")
@@ -169,14 +186,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     # records whose payload holds version lines: their pieces are the rows up to the successor
     owner = records.where("NOT whole").select("file", F.col("begin").alias("o_begin"), "next", "needs")
     pieces = placed.where("begin >= 0").select(F.col("file").alias("p_file"), F.col("begin").alias("p_begin"), "raw", "whole")
-    # a piece that looks whole by itself has no raw text: it is read again from the archive's rows
-    again = spark.read.option("lineSep", VERSION).text(path).select(F.col("_metadata.file_path").alias("r_file"), F.col("_metadata.file_block_start").alias("r_block"), F.monotonically_increasing_id().alias("r_at"), F.col("value").alias("r_value"))
-    inner = owner.join(placed.where("whole").select("file", "begin", "block", "at"), "file").where("begin > o_begin AND begin < next").select("file", "block", "at", "begin", "o_begin")
+    # a piece that looks whole by itself has no raw text: it is read again, by its number within the range of the file
+    inner = owner.join(placed.where("whole").select("file", "begin", "block", "nth"), "file").where("begin > o_begin AND begin < next").select("file", "block", "nth", "begin", "o_begin")
     inner = common.written(inner, "inner")
-    if inner.isEmpty():
-        extra = None
-    else:
-        extra = again.join(inner, (F.col("r_file") == F.col("file")) & (F.col("r_block") == F.col("block")) & (F.col("r_at") == F.col("at"))).select("file", "o_begin", F.col("begin").alias("p_begin"), F.col("r_value").alias("raw"))
+    extra = None if inner.isEmpty() else _numbered(spark, path).join(inner, ["file", "block", "nth"]).select("file", "o_begin", F.col("begin").alias("p_begin"), "raw")
     own = owner.join(pieces.where("NOT whole"), (F.col("file") == F.col("p_file")) & (F.col("p_begin") >= F.col("o_begin")) & (F.col("p_begin") < F.col("next"))).select("file", "o_begin", "p_begin", "raw")
     every = own if extra is None else own.unionByName(extra)
     glued = every.groupBy("file", "o_begin").agg(F.sort_array(F.collect_list(F.struct("p_begin", "raw"))).alias("p")).select("file", F.col("o_begin").alias("begin"), F.array_join(F.transform("p", lambda x: x["raw"]), VERSION).alias("value"))
