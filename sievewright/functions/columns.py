@@ -31,10 +31,13 @@ def clamp(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(float(low))), F.lit(float(high)))
 
 
+#: The characters that count as white space at the ends of a text (Unicode's White_Space).
+BLANKS = "\t\n\u000b\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def text(c: Column | str) -> Column:
     """Trimmed of any white space; blank is null."""
-    trimmed = F.regexp_replace(as_column(c), r"(?U)^\s+|\s+$", "")
-    return F.when(trimmed != "", trimmed)
+    return F.nullif(F.trim(as_column(c), F.lit(BLANKS)), F.lit(""))
 
 
 def vocabulary(c: Column | str) -> Column:

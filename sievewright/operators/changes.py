@@ -22,9 +22,13 @@ def canonical_collapse(df: DataFrame, key: str | list[str], preferences: list[Co
 
 
 def duplicate_groups(df: DataFrame, key: str | list[str], compared: list[str]) -> DataFrame:
-    """Per size of group: how many groups and surplus rows, and in how many of them each compared column differs."""
+    """Per size of group: how many groups and surplus rows, and in how many of them each compared column differs.
+
+    A column differs if its smallest and largest values do, so one pass with two values a column is enough; nulls don't
+    count as a value.
+    """
     keys = [key] if isinstance(key, str) else key
-    per = df.groupBy(keys).agg(F.count(F.lit(1)).alias("group_size"), *((F.count_distinct(c) > 1).alias(f"_d_{c}") for c in compared))
+    per = df.groupBy(keys).agg(F.count(F.lit(1)).alias("group_size"), *(F.coalesce(F.min(c) != F.max(c), F.lit(False)).alias(f"_d_{c}") for c in compared))
     return per.groupBy("group_size").agg(F.count(F.lit(1)).alias("n_groups"), F.sum(F.col("group_size") - 1).alias("surplus_rows"), *(F.count_if(F.col(f"_d_{c}")).alias(f"differ_{c}") for c in compared))
 
 
@@ -98,25 +102,54 @@ def site_key(address: Column, unit: Column, description: Column, record_key: Col
     return F.sha2(F.when((a == "") | (d == ""), F.concat_ws("|", F.lit("record"), F.trim(record_key.cast("string")))).otherwise(shared), 256)
 
 
-def near_duplicate_collapse(df: DataFrame, partition: list[str], site: str, filed: Column, key: str, arrival: str, window_days: int = 45) -> DataFrame:
+def day_bucket(filed: Column, window_days: int) -> Column:
+    """The number of the window of days a filing lies in; null without a date."""
+    return F.floor(F.unix_micros(filed) / F.lit(86_400_000_000 * window_days)).cast("long")
+
+
+def folded_sites(rows: DataFrame, by: list[str], accepted: DataFrame | None = None) -> DataFrame:
+    """by, n and kept (array of (a, b)): which of the first arrivals a in the buckets b of each site are accepted.
+
+    rows: by, _bucket and a (what orders arrivals). Only the earliest row of a bucket can be accepted, so a site gathers one
+    row for each of its buckets; these are folded in order of arrival. accepted (by, bucket) holds what earlier passes
+    accepted: such buckets are taken from the start. n counts the accepted of this pass; sites that only history has give
+    no row.
+    """
+    firsts = rows.groupBy(*by, "_bucket").agg(F.min("a").alias("a"), F.lit(False).alias("old"))
+    if accepted is not None:
+        known = accepted.select(*by, F.col("bucket").cast("long").alias("_bucket"), F.lit(None).cast(rows.schema["a"].dataType).alias("a"), F.lit(True).alias("old"))
+        firsts = firsts.unionByName(known.distinct())
+    sites = firsts.groupBy(by).agg(F.sort_array(F.collect_list(F.when(~F.col("old"), F.struct("a", F.col("_bucket").alias("b"))))).alias("firsts"), F.collect_list(F.when(F.col("old"), F.struct(F.col("_bucket").alias("b")))).alias("taken"))
+    near = lambda x, t: t["b"].eqNullSafe(x["b"]) | F.coalesce(F.abs(t["b"] - x["b"]) <= 1, F.lit(False))
+    free = lambda kept, x: ~F.exists(kept, lambda t: near(x, t)) & ~F.exists("taken", lambda t: near(x, t))
+    step = lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept)
+    start = F.slice("firsts", 1, 0)
+    # a site with one bucket and no history needs no fold
+    kept = F.when((F.size("firsts") == 1) & (F.size("taken") == 0), F.col("firsts")).otherwise(F.aggregate("firsts", start, step))
+    return sites.where(F.size("firsts") > 0).select(*by, kept.alias("kept")).withColumn("n", F.size("kept").cast("long"))
+
+
+def near_duplicate_collapse(df: DataFrame, partition: list[str], site: str, filed: Column, key: str, arrival: str, window_days: int = 45, accepted: DataFrame | None = None) -> DataFrame:
     """Adds near_duplicate: an earlier accepted row of the same site lies in the same or an adjacent bucket of days.
 
     First only the earliest row of each bucket is kept, so what a site gathers is bounded by its buckets; these are
     folded in order of arrival. Rows without a date share a bucket that touches no other. Keys must be unique.
+    accepted (partition, site, bucket), as accepted_buckets() gives it, is what earlier passes accepted.
     """
-    by = [*partition, site]
-    bucket = F.floor(F.unix_micros(filed) / F.lit(86_400_000_000 * window_days)).cast("long")
-    rows = df.withColumn("_bucket", bucket)
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(arrival))).where("_n = 1")
-    runs = first.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(arrival).alias("a"), F.col("_bucket").alias("b"), F.col(key).alias("k")))).alias("rows"))
-    far = lambda taken, x: ~F.exists(taken, lambda t: t.eqNullSafe(x["b"]) | F.coalesce(F.abs(t - x["b"]) <= 1, F.lit(False)))
-    start = F.struct(F.array().cast("array<bigint>").alias("taken"), F.array().cast(df.select(F.array(key)).schema[0].dataType).alias("keys"))
-    step = lambda s, x: F.when(far(s["taken"], x), F.struct(F.concat(s["taken"], F.array(x["b"])).alias("taken"), F.concat(s["keys"], F.array(x["k"])).alias("keys"))).otherwise(s)
-    accepted = runs.select(*partition, F.explode(F.aggregate("rows", start, step)["keys"]).alias("_accepted")).withColumn("_ok", F.lit(True))
-    joined = df.alias("_d").join(accepted.alias("_a"), [F.col(f"_d.{p}").eqNullSafe(F.col(f"_a.{p}")) for p in partition] + [F.col(f"_d.{key}") == F.col("_accepted")], "left")
+    rows = df.select(*partition, site, day_bucket(filed, window_days).alias("_bucket"), F.struct(F.col(arrival).alias("t"), F.col(key).alias("k")).alias("a"))
+    found = folded_sites(rows, [*partition, site], accepted)
+    taken = found.select(*partition, F.explode("kept.a.k").alias("_accepted")).withColumn("_ok", F.lit(True))
+    joined = df.alias("_d").join(taken.alias("_a"), [F.col(f"_d.{p}").eqNullSafe(F.col(f"_a.{p}")) for p in partition] + [F.col(f"_d.{key}") == F.col("_accepted")], "left")
     return joined.select("_d.*", F.col("_ok").isNull().alias("near_duplicate"))
 
 
+def accepted_buckets(judged: DataFrame, partition: list[str], site: str, filed: Column, window_days: int = 45, accepted: DataFrame | None = None) -> DataFrame:
+    """The history for the next pass: (partition, site, bucket) of every accepted row of judged (which has near_duplicate),
+    and of the history before it."""
+    new = judged.where(~F.col("near_duplicate")).select(*partition, site, day_bucket(filed, window_days).alias("bucket"))
+    return (new if accepted is None else new.unionByName(accepted.select(*partition, site, "bucket"))).distinct()
+
+
 def due_batch(staging: DataFrame, ts: str, released: str, key: str, now: datetime | str, limit: int) -> DataFrame:
     """The oldest rows that are due and not released yet, at most limit of them."""
     return staging.where((F.col(ts) <= instant(now)) & ~F.col(released)).orderBy(ts, key).limit(limit)

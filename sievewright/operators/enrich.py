@@ -101,11 +101,21 @@ def match_handles(handles: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def join_coverage(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Distinct keys of a, how many b has, orphans of b, and min, median, mean and max of b's rows per matched key."""
+    """Distinct keys of a, how many b has, orphans of b, and min, median, mean and max of b's rows per matched key.
+
+    Keys are counted by their number of rows first. Sizes that differ add up to the rows of b, so n rows have at most
+    sqrt(2 n) of them, and the median is found over these.
+    """
     keys, others = a.select(key).distinct(), b.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    matched = keys.join(others, key).agg(F.count(F.lit(1)).alias("matched_keys"), F.min("_n").alias("min_rows"), F.percentile("_n", F.lit(0.5)).alias("median_rows"), F.avg("_n").alias("mean_rows"), F.max("_n").alias("max_rows"))
-    orphans = others.join(keys, key, "left_anti").agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("orphan_rows"))
-    return keys.agg(F.count(F.lit(1)).alias("n_keys")).crossJoin(matched).crossJoin(orphans)
+    both = keys.withColumn("_a", F.lit(True)).join(others, key, "full_outer").groupBy(F.col("_a").isNotNull().alias("_known"), "_n").agg(F.count(F.lit(1)).alias("_k"))
+    hit = F.col("_known") & F.col("_n").isNotNull()
+    n = F.when(hit, F.col("_n"))
+    k = F.when(hit, F.col("_k")).otherwise(0)
+    one = both.agg(
+        F.coalesce(F.sum(F.when(F.col("_known"), F.col("_k"))), F.lit(0)).alias("n_keys"), F.sum(k).alias("matched_keys"), F.min(n).alias("min_rows"), F.percentile(n, F.lit(0.5), k).alias("median_rows"), (F.sum(n * k) / F.sum(k)).alias("mean_rows"),
+        F.max(n).alias("max_rows"), F.coalesce(F.sum(F.when(~F.col("_known"), F.col("_n") * F.col("_k"))), F.lit(0)).alias("orphan_rows"),
+    )
+    return one.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_keys", "matched_keys", "orphan_rows")})
 
 
 def build_findings(rows: DataFrame) -> DataFrame:

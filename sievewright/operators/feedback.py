@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.columns import round2
+from ..sources.shared import stored
 from . import vocab
+from .ranking import positions
 
 NAMES = ("fit", "demand", "timing", "value", "evidence")
 #: How a verdict moves the weights.
@@ -45,28 +45,99 @@ def moved(weights: list[float], verdict: str | None) -> list[float]:
     return out
 
 
+#: Verdicts of a chunk, and chunks (or groups) of a group above: what one array holds at most.
+CHUNK = 256
+_STATES = range(round(LOW * 100), round(HIGH * 100) + 1)
+_FIRST = 100 - _STATES[0]  # a weight of 1
+
+
+def _moves() -> dict[str, list[list[int]]]:
+    """Per verdict and component, the number of the weight that each weight moves to: a weight has 101 values only."""
+    out = {}
+    for verdict in ("good", *MOVES):
+        after = [moved([w / 100] * len(NAMES), verdict) for w in _STATES]
+        out[verdict] = [[round(a[i] * 100) - _STATES[0] for a in after] for i in range(len(NAMES))]
+    return out
+
+
+def _next(state: Column, verdict: Column, component: int) -> Column:
+    out = state
+    for name, maps in _moves().items():
+        if maps[component] != list(range(len(_STATES))):
+            out = F.when(verdict == name, F.element_at(F.array(*map(F.lit, maps[component])), state + 1)).otherwise(out)
+    return out
+
+
+def _map(numbers: Column, steps: str, step: Callable[[Column, Column, int], Column], component: int) -> Column:
+    """Where the steps, one after the other, take each weight of a component."""
+    return F.transform(numbers, lambda s: F.aggregate(steps, s, lambda acc, x: step(acc, x, component)))
+
+
+def _applied(maps: Column, states: Column) -> Column:
+    """Five states after five maps."""
+    return F.transform(maps, lambda m, i: F.element_at(m, F.get(states, i) + 1))
+
+
+def _grouped(maps: DataFrame) -> DataFrame:
+    """who, at and kids (CHUNK maps in order) one level up."""
+    return maps.groupBy("who", F.floor(F.col("at") / CHUNK).cast("long").alias("up")).agg(F.sort_array(F.collect_list(F.struct("at", "m"))).alias("kids"))
+
+
+def _starts(maps: DataFrame) -> DataFrame:
+    """who, at and start: the five states before each chunk, and after the last one, from the maps (who, at, m) of full
+    chunks. Maps compose: groups of CHUNK maps become one, level by level, until a subscriber has one group; then the states
+    are handed down."""
+    levels = []
+    while True:
+        levels.append(stored(_grouped(maps), "maps"))
+        top = levels[-1].agg(F.max("up").alias("up")).first()["up"]
+        if not top:
+            break
+        numbers = F.sequence(F.lit(0), F.lit(len(_STATES) - 1))
+        whole = F.array(*(_map(numbers, "kids", lambda acc, k, c: F.element_at(k["m"][c], acc + 1), c) for c in range(len(NAMES))))
+        maps = levels[-1].where(F.size("kids") == CHUNK).select("who", F.col("up").alias("at"), whole.alias("m"))
+    first = F.array(*(F.lit(_FIRST) for _ in NAMES))
+    starts = None
+    for groups in reversed(levels):
+        if starts is None:
+            known = groups.withColumn("start", first)
+        else:
+            above = starts.select(F.col("who").alias("_w"), F.col("at").alias("_u"), F.col("start").alias("_s"))
+            known = groups.join(above, F.col("who").eqNullSafe(F.col("_w")) & (F.col("up") == F.col("_u")), "left").withColumn("start", F.when(F.col("up") == 0, first).otherwise(F.col("_s")))
+        line = F.aggregate("kids", F.array("start"), lambda out, k: F.concat(out, F.array(_applied(k["m"], F.element_at(out, -1)))))
+        each = known.select("who", "up", F.posexplode(line).alias("i", "start"))
+        # what follows a full group begins where the group ends, and is known twice if it is a group itself
+        starts = each.select("who", (F.col("up") * CHUNK + F.col("i")).alias("at"), "start").dropDuplicates(["who", "at"])
+    return starts
+
+
 def fold_weights(feedback: DataFrame, customer: str, ts: str, verdict: str, tie: str) -> DataFrame:
     """Per subscriber the weights before and after each verdict, in order of time; all begin at 1.
 
-    Steps clamp and round, so their order matters: a subscriber's verdicts lie together in order of time and are folded
-    one after the other, with five numbers of state, whatever their number.
+    Steps clamp and round, so their order matters. A weight has 101 values, so what a run of verdicts does is a map of 101
+    numbers, and maps of runs that follow each other compose: a subscriber's verdicts are cut into chunks of CHUNK, the
+    chunks are made into maps, the maps say with which weights each chunk begins, and the chunks are then folded side by
+    side. No subscriber is one task, however many verdicts it has. Null verdicts and unknown ones change nothing; a null
+    subscriber is one of its own.
     """
-    rows = feedback.select(F.col(customer), F.col(ts).cast("timestamp").alias("ts"), F.col(tie).cast("long").alias("tie"), F.col(verdict).alias("verdict")).repartition(customer).sortWithinPartitions(customer, "ts", "tie", "verdict")
-    sides = [f"{side}_{n}" for side in ("before", "after") for n in NAMES]
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, w = None, [1.0] * len(NAMES)
-        for batch in it:
-            log = []
-            for who, said in zip(batch.column(0).to_pylist(), batch.column("verdict").to_pylist(), strict=True):
-                before = w if known == (who,) else [1.0] * len(NAMES)
-                known, w = (who,), moved(before, said)
-                log.append((*before, *w))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[i] for x in log], pa.float64()) for i in range(len(sides)))], names=[*batch.schema.names, *sides])
-
-    schema = StructType([*rows.schema.fields, *(StructField(c, DoubleType()) for c in sides)])
-    folded = rows.mapInArrow(run, schema)
-    return folded.select(customer, "ts", "tie", "verdict", *(F.struct(*(F.col(f"{side}_{n}").alias(n) for n in NAMES)).alias(side) for side in ("before", "after")))
+    rows = feedback.select(F.col(customer).alias("who"), F.col(ts).cast("timestamp").alias("ts"), F.col(tie).cast("long").alias("tie"), F.col(verdict).alias("verdict"))
+    placed = positions(rows, ["who"], ["ts", "tie", "verdict"], "position")
+    at = F.floor(F.col("position") / CHUNK).cast("long").alias("at")
+    chunks = stored(placed.groupBy("who", at).agg(F.sort_array(F.collect_list(F.struct("ts", "tie", "verdict"))).alias("said")), "chunks")
+    first = F.array(*(F.lit(_FIRST) for _ in NAMES))
+    full = chunks.where(F.size("said") == CHUNK)
+    if full.isEmpty():
+        known = chunks.withColumn("start", first)
+    else:
+        numbers = F.sequence(F.lit(0), F.lit(len(_STATES) - 1))
+        maps = F.array(*(_map(numbers, "said", lambda acc, x, c: _next(acc, x["verdict"], c), c) for c in range(len(NAMES))))
+        starts = _starts(full.select("who", "at", maps.alias("m"))).select(F.col("who").alias("_w"), F.col("at").alias("_a"), F.col("start").alias("_s"))
+        known = chunks.join(starts, F.col("who").eqNullSafe(F.col("_w")) & (F.col("at") == F.col("_a")), "left").withColumn("start", F.coalesce("_s", first))
+    moved_on = lambda s, x: F.array(*(_next(s[c], x["verdict"], c) for c in range(len(NAMES))))
+    line = F.aggregate("said", F.array("start"), lambda out, x: F.concat(out, F.array(moved_on(F.element_at(out, -1), x))))
+    each = known.withColumn("_line", line).select("who", "_line", F.posexplode("said").alias("i", "x"))
+    weights = lambda i: F.struct(*(((F.get(F.get("_line", i), F.lit(c)) + _STATES[0]) / F.lit(100.0)).alias(n) for c, n in enumerate(NAMES)))
+    return each.select(F.col("who").alias(customer), "x.ts", "x.tie", "x.verdict", weights(F.col("i")).alias("before"), weights(F.col("i") + 1).alias("after"))
 
 
 def unsettled_feedback(replies: DataFrame, log: DataFrame, limit: int, opportunity: str = "opportunity_id", ts: str = "reply_ts") -> DataFrame:

@@ -10,6 +10,10 @@ from ..functions.columns import text
 from . import vocab
 
 
+#: Parts of a profile's rows that are ranked side by side.
+PARTS = 32
+
+
 def _merged(store: DataFrame, batch: DataFrame, keys: list[str], take: list[str], keep: list[str]) -> DataFrame:
     """Full-outer merge: take columns come from the batch where it has the row, keep columns stay where the store has it."""
     s, b = store.alias("s"), batch.alias("b")
@@ -41,9 +45,19 @@ def route_scored(scored: DataFrame) -> DataFrame:
 
 
 def batch_survivors(sheet: DataFrame, limit: int, order: list[str]) -> DataFrame:
-    """Survivors of the gates, the first limit per profile marked process and the rest held."""
-    n = F.row_number().over(Window.partitionBy("profile_id").orderBy(*order))
-    return sheet.where("rejected_by IS NULL").withColumn("batch", F.when(n <= limit, "process").otherwise("held"))
+    """Survivors of the gates, the first limit per profile marked process and the rest held.
+
+    No task ranks a profile: each part of a profile's survivors keeps its first limit, the first limit of these give the
+    last row that is processed, and rows are compared with it. order must tell a profile's survivors apart.
+    """
+    rows = sheet.where("rejected_by IS NULL")
+    place = F.struct(*order)
+    part = Window.partitionBy("profile_id", "_part").orderBy("_place")
+    few = rows.select("profile_id", place.alias("_place"), F.pmod(F.xxhash64(*order), F.lit(PARTS)).alias("_part")).withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= limit)
+    first = few.withColumn("_n", F.row_number().over(Window.partitionBy("profile_id").orderBy("_place"))).where(F.col("_n") <= limit)
+    last = first.groupBy(F.col("profile_id").alias("_p")).agg(F.max("_place").alias("_last"))
+    marked = rows.join(last, F.col("profile_id").eqNullSafe(F.col("_p")), "left")
+    return marked.withColumn("batch", F.when(place <= F.col("_last"), "process").otherwise("held")).drop("_p", "_last")
 
 
 def best_sample(scored: DataFrame, newest: int, order: list[str]) -> DataFrame:
@@ -105,10 +119,17 @@ def qualify_prospects(prospects: DataFrame) -> DataFrame:
 
 
 def rank_prospects(prospects: DataFrame, activity: DataFrame) -> DataFrame:
-    """Adds permit_count and prospect_rank: 40, 15 or 0 by segment, 3 per permit up to ten, 20 if never contacted."""
+    """Adds permit_count, prospect_rank (40, 15 or 0 by segment, 3 per permit up to ten, 20 if never contacted) and
+    rank_reasons: what gave points, with the points; the segment always, the others where they count."""
     rows = prospects.join(activity.select("license", F.col("n").alias("permit_count")), "license", "left").withColumn("permit_count", F.coalesce("permit_count", F.lit(0)))
-    points = F.when(F.col("segment") == "commercial", 40).when(F.col("segment") == "unknown", 15).otherwise(0) + 3 * F.least("permit_count", F.lit(10)) + F.when(F.col("contacted_at").isNull(), 20).otherwise(0)
-    return rows.withColumn("prospect_rank", points.cast("double"))
+    segment = F.when(F.col("segment") == "commercial", 40).when(F.col("segment") == "unknown", 15).otherwise(0)
+    permits, new = 3 * F.least("permit_count", F.lit(10)), F.when(F.col("contacted_at").isNull(), 20).otherwise(0)
+    said = lambda what, points: F.concat(what, F.lit(": +"), points.cast("string"))
+    reasons = F.array_compact(F.array(
+        said(F.concat(F.lit("segment "), F.when(F.col("segment").isin("commercial", "unknown"), F.col("segment")).otherwise("residential")), segment),
+        F.when(permits > 0, said(F.concat(F.lit("permits "), F.col("permit_count").cast("string")), permits)), F.when(new > 0, said(F.lit("not contacted yet"), new)),
+    ))
+    return rows.withColumn("prospect_rank", (segment + permits + new).cast("double")).withColumn("rank_reasons", reasons)
 
 
 def next_prospects(ranked: DataFrame, k: int) -> DataFrame:

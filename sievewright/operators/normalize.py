@@ -31,7 +31,11 @@ def assemble_address(house: Column | str, suffix: Column | str, street: Column |
 def agency_timestamp(c: Column | str, zone: str = AGENCY_ZONE) -> Column:
     """An instant: text without an offset is wall time in zone, text with one keeps it; anything else is null."""
     value = text(c)
-    checked = F.when(value.rlike(TIME_PATTERN), value)
+    return _instant_of(F.when(value.rlike(TIME_PATTERN), value), zone)
+
+
+def _instant_of(checked: Column, zone: str) -> Column:
+    """The instant of a text that fits TIME_PATTERN."""
     offset = checked.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & checked.contains(":")
     wall = F.to_utc_timestamp(F.replace(checked, F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz").cast("timestamp"), zone)
     return F.when(offset, checked.try_cast("timestamp")).otherwise(wall)
@@ -63,32 +67,42 @@ def occupancy_letters(c: Column | str) -> Column:
     return F.array_distinct(F.filter(parts, lambda p: p.rlike("^[A-Z]$")))
 
 
-def content_hash(columns: list[str], exclude: tuple[str, ...] = ()) -> Column:
-    """SHA-256 of the JSON of the columns in the order of their names; nulls are left out."""
-    return F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(columns) if c not in exclude))), 256)
+def canonical_json(columns: dict[str, str], exclude: tuple[str, ...] = ()) -> Column:
+    """JSON of the columns (name: Spark type) in the order of their names, the same whatever the session's settings: times
+    are microseconds since 1970, fractions have six decimals, and a null is written as null."""
+    plain = {"timestamp": lambda c: F.unix_micros(c), "double": lambda c: F.when(~F.isnan(c), c).try_cast("decimal(38,6)")}
+    return F.to_json(F.struct(*(plain.get(kind, lambda c: c)(F.col(n)).alias(n) for n, kind in sorted(columns.items()) if n not in exclude)), {"ignoreNullFields": "false"})
+
+
+def content_hash(columns: dict[str, str], exclude: tuple[str, ...] = ()) -> Column:
+    """SHA-256 of the canonical JSON of the columns. A null counts: a value that goes or comes changes the hash."""
+    return F.sha2(canonical_json(columns, exclude), 256)
 
 
 def normalize_records(raw: DataFrame, zone: str = AGENCY_ZONE, exclude_from_hash: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(typed records with content_hash, rows without a key). Only a missing key rejects a row; missing columns are null."""
-    have = set(raw.columns)
+    """(typed records with content_hash, rows without a key). Only a missing key rejects a row; missing columns are null.
+
+    All texts are trimmed in one projection and read in the next, so no expression is worked out twice.
+    """
+    have = {c: t for c, t in raw.dtypes}
+    trimmed = raw.select(*(text(c).alias(c) if t == "string" else F.col(c) for c, t in have.items())).where(F.col("permit_number").isNotNull())
     col = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
-    lat, lon = coordinates(col("location"))
-    value, source = resolve_valuation(number(col("revised_cost")), number(col("estimated_cost")))
     dated = ("status_date", "filed_date", "issued_date", "approved_date", "completed_date", "data_as_of", "data_loaded_at")
+    read = trimmed.withColumns({"_place": F.array(*coordinates(col("location"))), "_revised": number(col("revised_cost")), "_estimated": number(col("estimated_cost")), **{f"_{d}": F.when(col(d).rlike(TIME_PATTERN), col(d)) for d in dated}})
+    value, source = resolve_valuation(F.col("_revised"), F.col("_estimated"))
     typed = {
-        "permit_number": text(col("permit_number")), "record_id": text(col("record_id")),
+        "permit_number": col("permit_number"), "record_id": col("record_id"),
         "address": assemble_address(col("street_number"), col("street_number_suffix"), col("street_name"), col("street_suffix"), col("unit"), col("unit_suffix")),
-        "neighborhood": text(col("neighborhoods_analysis_boundaries")), "supervisor_district": text(col("supervisor_district")), "zipcode": text(col("zipcode")),
-        "latitude": lat, "longitude": lon, "status": vocabulary(col("status")), **{d: agency_timestamp(col(d), zone) for d in dated},
-        "description": text(col("description")), "permit_type_definition": vocabulary(col("permit_type_definition")),
-        "existing_use": vocabulary(col("existing_use")), "proposed_use": vocabulary(col("proposed_use")),
-        "existing_occupancy": text(col("existing_occupancy")), "proposed_occupancy": text(col("proposed_occupancy")),
+        "neighborhood": col("neighborhoods_analysis_boundaries"), "supervisor_district": col("supervisor_district"), "zipcode": col("zipcode"),
+        "latitude": F.get("_place", F.lit(0)), "longitude": F.get("_place", F.lit(1)), "status": F.lower(col("status")), **{d: _instant_of(F.col(f"_{d}"), zone) for d in dated},
+        "description": col("description"), "permit_type_definition": F.lower(col("permit_type_definition")),
+        "existing_use": F.lower(col("existing_use")), "proposed_use": F.lower(col("proposed_use")),
+        "existing_occupancy": col("existing_occupancy"), "proposed_occupancy": col("proposed_occupancy"),
         "stories_existing": integer(col("number_of_existing_stories")), "stories_proposed": integer(col("number_of_proposed_stories")),
         "valuation": value, "valuation_source": source,
     }
-    keyless = text(col("permit_number")).isNull()
-    out = raw.where(~keyless).select(*(typed[c].alias(c) for c in NORMALIZED))
-    return out.withColumn("content_hash", content_hash(list(NORMALIZED), exclude_from_hash)), raw.where(keyless)
+    out = read.select(*(typed[c].alias(c) for c in NORMALIZED))
+    return out.withColumn("content_hash", content_hash(dict(out.dtypes), exclude_from_hash)), raw.where(text(F.col("permit_number")).isNull())
 
 
 def scoring_view(raw: DataFrame, normalized: DataFrame, key: str = "permit_number") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.columns import days_between, round2
 from . import vocab
 from .gates import classify_use
+from .ranking import exact_quantiles
 
 
 #: A word's edge by ASCII letters, digits and underscores alone, whatever the Java version.
@@ -18,11 +19,39 @@ WORD_EDGE = "(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z
 
 
 def column_coverage(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
-    """Per column: populated rows, their share in percent and distinct values."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    one = df.agg(F.count(F.lit(1)).alias("_n"), *(F.count(F.nullif(F.col(c).cast("string"), F.lit(""))).alias(f"p_{c}") for c in columns), *(distinct(c).alias(f"d_{c}") for c in columns))
-    rows = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"p_{c}").alias("populated"), round2(100.0 * F.col(f"p_{c}") / F.col("_n")).alias("populated_pct"), F.col(f"d_{c}").alias("n_distinct")) for c in columns))
-    return one.select(F.inline(rows))
+    """Per column: populated rows, their share in percent and distinct values.
+
+    Each row becomes a value for each column, and (column, value) is counted before the shuffle and after it, so a hot
+    value is a count and no column is one task. approximate reads the distinct values from sketches instead.
+    """
+    total = df.agg(F.count(F.lit(1)).alias("_n"))
+    if approximate:
+        one = distinct_from_sketches(coverage_sketches(df, columns)).select("column_name", "populated", "n_distinct")
+    else:
+        each = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns))
+        values = df.select(F.inline(each)).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+        one = values.groupBy("column_name").agg(F.coalesce(F.sum(F.when(F.col("value") != "", F.col("n"))), F.lit(0)).alias("populated"), F.count("value").alias("n_distinct"))
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    out = every.join(one, "column_name", "left").crossJoin(total)
+    return out.select("column_name", F.coalesce("populated", F.lit(0)).alias("populated"), round2(100.0 * F.coalesce("populated", F.lit(0)) / F.nullif("_n", F.lit(0))).alias("populated_pct"), F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))
+
+
+#: Log2 of the registers of a sketch: 1.04 / sqrt(2 ** 14) = 0.8 percent is one standard error of its count.
+SKETCH_BITS = 14
+
+
+def coverage_sketches(df: DataFrame, columns: list[str], drop: str | Column | None = None) -> DataFrame:
+    """A table of sketches: per drop and column the rows that have a value and a mergeable sketch of the values. One pass
+    over the rows, a few kilobytes a column: kept with each drop, it answers for any union of drops without their rows."""
+    by = F.lit(None).cast("string") if drop is None else drop if isinstance(drop, Column) else F.col(drop)
+    text = {c: F.col(c).cast("string") for c in columns}
+    one = df.groupBy(by.cast("string").alias("drop")).agg(*(F.count(F.nullif(t, F.lit(""))).alias(f"p_{c}") for c, t in text.items()), *(F.hll_sketch_agg(t, F.lit(SKETCH_BITS)).alias(f"s_{c}") for c, t in text.items()))
+    return one.select("drop", F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"p_{c}").alias("populated"), F.col(f"s_{c}").alias("sketch")) for c in columns))))
+
+
+def distinct_from_sketches(sketches: DataFrame) -> DataFrame:
+    """column_name, populated and n_distinct (an estimate) over all drops of a table of sketches."""
+    return sketches.groupBy("column_name").agg(F.sum("populated").alias("populated"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_distinct"))
 
 
 def value_distribution(df: DataFrame, column: str) -> DataFrame:
@@ -32,17 +61,19 @@ def value_distribution(df: DataFrame, column: str) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, column: str, floor: float) -> DataFrame:
-    """Rows, p50, p90, p99, max and the share at or above the floor in percent."""
-    q = F.percentile(column, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    one = df.agg(F.count(column).alias("n"), q.alias("_q"), F.max(column).alias("max"), F.count_if(F.col(column) >= floor).alias("_a"))
-    return one.select("n", *(F.col("_q")[i].alias(p) for i, p in enumerate(("p50", "p90", "p99"))), "max", round2(100.0 * F.col("_a") / F.col("n")).alias("at_floor_pct"))
+    """Rows, p50, p90, p99, max and the share at or above the floor in percent. Quantiles are exact and selected in rounds
+    (see ranking.exact_quantiles): no task holds the distinct values."""
+    _, q = exact_quantiles(df, F.col(column), [0.5, 0.9, 0.99])
+    one = df.agg(F.count(column).alias("n"), F.max(column).alias("max"), F.count_if(F.col(column) >= floor).alias("_a"))
+    return one.select("n", *(F.lit(v).cast("double").alias(p) for v, p in zip(q, ("p50", "p90", "p99"), strict=True)), "max", round2(100.0 * F.col("_a") / F.nullif("n", F.lit(0))).alias("at_floor_pct"))
 
 
 def duration_profile(df: DataFrame, start: str, end: str) -> DataFrame:
     """Rows with both times, p10, p50 and p90 of the days between, and how many are negative."""
     days = days_between(F.col(end), F.col(start))
-    one = df.agg(F.count(days).alias("n"), F.percentile(days, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("_q"), F.count_if(days < 0).alias("n_negative"))
-    return one.select("n", *(F.col("_q")[i].alias(p) for i, p in enumerate(("p10", "p50", "p90"))), "n_negative")
+    _, q = exact_quantiles(df, days, [0.1, 0.5, 0.9])
+    one = df.agg(F.count(days).alias("n"), F.count_if(days < 0).alias("n_negative"))
+    return one.select("n", *(F.lit(v).cast("double").alias(p) for v, p in zip(q, ("p10", "p50", "p90"), strict=True)), "n_negative")
 
 
 def cost_conflicts(df: DataFrame, revised: str, estimated: str) -> DataFrame:

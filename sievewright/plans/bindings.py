@@ -6,27 +6,17 @@ in them. Dialect differences are the few functions of Dialect.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder  # noqa: F401
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations")
 NOW = "2000-06-01 12:00:00"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a local one on a local master."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @dataclass(frozen=True)
 class Dialect:
     spark: bool
@@ -145,7 +135,8 @@ def texts(d: Dialect) -> dict[str, str]:
             CASE o_orderkey % 6 WHEN 0 THEN CONCAT(SUBSTR(CAST(o_orderdate AS STRING), 1, 10), 'T02:30:00.000') WHEN 1 THEN CONCAT(SUBSTR(CAST(o_orderdate AS STRING), 1, 10), 'T23:00:00Z') WHEN 2 THEN '1999-02-31T00:00:00.000' WHEN 3 THEN 'soon' WHEN 4 THEN SUBSTR(CAST(o_orderdate AS STRING), 1, 10) END AS filed_date,
             CASE o_orderkey % 7 WHEN 0 THEN CONCAT('$', CAST(o_custkey AS STRING), ',000.50') WHEN 1 THEN '1e5' WHEN 2 THEN ' ' WHEN 3 THEN 'NaN' WHEN 4 THEN '-5' ELSE CAST(o_custkey AS STRING) END AS estimated_cost,
             CASE o_orderkey % 5 WHEN 0 THEN '0.0' WHEN 1 THEN CONCAT(CAST(o_custkey AS STRING), '.5') END AS revised_cost,
-            CASE o_orderkey % 4 WHEN 0 THEN '{"type":"Point","coordinates":[-122.4,37.7]}' WHEN 1 THEN '{"type":"Point","coordinates":[-222.4,37.7]}' WHEN 2 THEN 'oops' END AS location,
+            CASE o_orderkey % 7 WHEN 0 THEN CONCAT('{"type":"Point","coordinates":[-122.', CAST(400 + o_custkey % 100 AS STRING), ',37.', CAST(700 + o_orderkey % 90 AS STRING), ']}') WHEN 1 THEN CONCAT('{"type":"Point","coordinates":[-222.', CAST(400 + o_custkey % 100 AS STRING), ',37.7]}')
+                WHEN 2 THEN 'oops' WHEN 3 THEN '{"type":"Polygon","coordinates":[-122.4,37.7]}' WHEN 4 THEN CONCAT('{"type":"Point","coordinates":[-122.4,97.', CAST(100 + o_custkey % 100 AS STRING), ']}') WHEN 5 THEN CONCAT('{"type":"Point","coordinates":[180,-', CAST(o_custkey % 91 AS STRING), ']}') END AS location,
             CAST(o_orderkey % 12 AS STRING) AS number_of_existing_stories, CASE WHEN o_orderkey % 2 = 0 THEN '3.9' END AS number_of_proposed_stories
         FROM {orders}"""
     rows = "SELECT *, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS flag FROM {lineitem}"

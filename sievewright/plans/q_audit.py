@@ -21,6 +21,15 @@ def _(spark, d):
     return A.column_coverage(frame(spark, d, "records"), list(_COLS))
 
 
+@query("a1_sketched_coverage", REC + " UNION ALL ".join(f"SELECT '{c}' AS column_name, COUNT({c}) AS populated, TRUE AS near FROM records" for c in _COLS))
+def _(spark, d):
+    records = frame(spark, d, "records")
+    kept = A.coverage_sketches(records, list(_COLS), F.col("arrival") % 5)  # five drops, their sketches united
+    exact = A.column_coverage(records, list(_COLS)).select("column_name", F.col("n_distinct").alias("exact"))
+    both = A.distinct_from_sketches(kept).join(exact, "column_name")
+    return both.select("column_name", "populated", (F.abs(F.col("n_distinct") - F.col("exact")) <= 0.04 * F.col("exact")).alias("near"))
+
+
 @query("a2_value_distribution", REC + "SELECT status AS value, COUNT(*) AS n, FLOOR(10000.0 * COUNT(*) / (SELECT COUNT(*) FROM records) + 0.5) / 100 AS share_pct FROM records GROUP BY 1")
 def _(spark, d):
     return A.value_distribution(frame(spark, d, "records"), "status")

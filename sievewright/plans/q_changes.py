@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import changes as D
+from ..sources.shared import shared_folder, stored
+from ..sources.store import KeyedStore
 from .bindings import NOW, frame, with_roles
 from .q_normalize import PC, _hashed
-from .registry import query
+from .registry import ORACLES, query
 
 _ORDER = "flag DESC, l_shipdate DESC, l_extendedprice DESC, l_suppkey DESC, l_partkey, l_quantity, l_discount, l_tax, l_linestatus"
 _RANKED = with_roles("rows") + f", r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_ORDER}) AS n, COUNT(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS c FROM rows) "
@@ -50,6 +52,18 @@ def _(spark, d):
     return _diff(spark, d, report_not_observed=False).select("key", "status")
 
 
+def _stored_diff(spark, d):
+    store = KeyedStore(spark, shared_folder(spark, "store"), "key", 64)
+    store.apply(_hashed(frame(spark, d, "previous")), 0, lambda before, new: new, "h")
+    return store.diff(_hashed(frame(spark, d, "current")), "h", ["brand", "kind", "size"], NOW)
+
+
+@query("d3_bucket_diff", _DIFF + f"SELECT key, status, changed_fields, content_hash, '{NOW}' AS observed FROM diff")
+def _(spark, d):
+    out, _same = _stored_diff(spark, d)
+    return out.select("key", "status", F.array_join("changed_fields", ",").alias("changed_fields"), "content_hash", F.col("observed_at").cast("string").alias("observed"))
+
+
 @query("d4_changed_fields", _DIFF + "SELECT key, changed_fields FROM diff WHERE status = 'changed'")
 def _(spark, d):
     return _diff(spark, d).where("status = 'changed'").select("key", F.array_join("changed_fields", ",").alias("changed_fields"))
@@ -86,6 +100,10 @@ def _(spark, d):
 _SITE = "CASE WHEN address IS NULL OR {0} IS NULL THEN CONCAT('record|', permit_number) ELSE CONCAT_WS('|', 'site', REPLACE(LOWER(address), '\u2013', '-'), COALESCE(LOWER(unit), ''), TRIM(REGEXP_REPLACE(LOWER({0}), '[^a-z0-9]+', ' ', 'g'))) END".format
 
 
+def _sites(spark, d):
+    return frame(spark, d, "records").withColumn("_site", D.site_key(F.col("address"), F.col("unit"), F.lit("same scope"), F.col("permit_number")))
+
+
 @query(
     "d9_near_duplicate_collapse",
     with_roles("records").replace("WITH ", "WITH RECURSIVE ", 1) + f""", site AS (SELECT permit_number, arrival, {_SITE("'same scope'")} AS s, CAST(FLOOR(EPOCH_US(filed_date) / (86400000000.0 * 45)) AS BIGINT) AS b FROM records),
@@ -97,8 +115,19 @@ _SITE = "CASE WHEN address IS NULL OR {0} IS NULL THEN CONCAT('record|', permit_
     SELECT permit_number, a.arrival IS NULL AS near_duplicate FROM site LEFT JOIN accepted a ON a.arrival = site.arrival""",
 )
 def _(spark, d):
-    rows = frame(spark, d, "records").withColumn("_site", D.site_key(F.col("address"), F.col("unit"), F.lit("same scope"), F.col("permit_number")))
-    return D.near_duplicate_collapse(rows, [], "_site", F.col("filed_date"), "permit_number", "arrival").select("permit_number", "near_duplicate")
+    return D.near_duplicate_collapse(_sites(spark, d), [], "_site", F.col("filed_date"), "permit_number", "arrival").select("permit_number", "near_duplicate")
+
+
+@query("d9_accepted_history", ORACLES["d9_near_duplicate_collapse"])
+def _(spark, d):
+    rows, history, out = _sites(spark, d), None, []
+    cuts = rows.agg(F.percentile_approx("arrival", F.array(F.lit(1 / 3), F.lit(2 / 3)), 1000).alias("cuts")).first()["cuts"] or []
+    drop = sum((F.coalesce(F.col("arrival") > F.lit(c), F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    for i in range(3):  # three passes, each given what the ones before accepted
+        judged = stored(D.near_duplicate_collapse(rows.where(drop == i), [], "_site", F.col("filed_date"), "permit_number", "arrival", accepted=history), "judged")
+        history = stored(D.accepted_buckets(judged, [], "_site", F.col("filed_date"), accepted=history), "accepted")
+        out.append(judged.select("permit_number", "near_duplicate"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("d10_site_key", with_roles("records") + f"SELECT permit_number, SHA256({_SITE('description')}) AS site FROM records")

@@ -70,6 +70,10 @@ def _sheet(spark, d, **more):
     return G.gate_sheet(frame(spark, d, "valued"), frame(spark, d, "profiles"), NOW, **more)
 
 
+def _counts(spark, d):
+    return G.survivor_counts(frame(spark, d, "valued"), frame(spark, d, "profiles"), NOW)
+
+
 # The near-duplicate fold in SQL: the first arrival of each bucket, then a recursive walk over each site's buckets.
 _FOLD = PAIRS + """, site AS (SELECT profile_id, permit_number, arrival, CASE WHEN address IS NULL OR description IS NULL THEN CONCAT('r', permit_number) ELSE CONCAT_WS('|', TRANSLATE(address, '\u2013', '-'), COALESCE(unit, ''), TRIM(REGEXP_REPLACE(LOWER(description), '[^a-z0-9]+', ' ', 'g'))) END AS s,
         CAST(FLOOR(EPOCH_US(filed_date) / (86400000000.0 * 45)) AS BIGINT) AS b FROM gated WHERE g1 AND g2 AND g3 AND g4 AND g5),
@@ -114,13 +118,13 @@ def _(spark, d):
         (VALUES (0, 'all'), (1, 'geography'), (2, 'status'), (3, 'project_type'), (4, 'commercial_use'), (5, 'cost_floor'), (6, 'dedupe')) g(step, gate)""",
 )
 def _(spark, d):
-    return G.funnel(_sheet(spark, d), frame(spark, d, "valued"), frame(spark, d, "profiles"))
+    return G.funnel(_counts(spark, d))
 
 
 @query("g10_rejections_by_gate", _FOLD + """SELECT profile_id, rejected_by, COUNT(*) AS n FROM sheet WHERE rejected_by IS NOT NULL GROUP BY 1, 2
     UNION ALL SELECT * FROM (SELECT p.profile_id, 'geography', (SELECT COUNT(*) FROM records) - COUNT(s.permit_number) AS n FROM profiles p LEFT JOIN sheet s ON s.profile_id = p.profile_id GROUP BY 1) WHERE n > 0""")
 def _(spark, d):
-    return G.rejections_by_gate(_sheet(spark, d), frame(spark, d, "valued"), frame(spark, d, "profiles"))
+    return G.rejections_by_gate(_counts(spark, d))
 
 
 @query("g11_strict_use", OWNERS + f"SELECT permit_number, profile_id, NOT (COALESCE(existing_use IN {_RES}, FALSE) OR COALESCE(proposed_use IN {_RES}, FALSE)) AS passed FROM gated")

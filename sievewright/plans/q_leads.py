@@ -232,11 +232,11 @@ def _(spark, d):
     return L.opportunity_list(frame(spark, d, "opportunities"), 30, status="delivered").select("opportunity_id", "score")
 
 
-@query("p9_opportunity_feed", _FIND + ", " + with_roles("opportunities")[5:] + "SELECT o.opportunity_id, o.score, (SELECT COUNT(*) FROM long WHERE long.candidate_id = o.candidate_id) AS n_findings FROM (SELECT * FROM opportunities ORDER BY created_at DESC, opportunity_id LIMIT 20) o JOIN valued v ON v.permit_number = o.permit_number")
+@query("p9_opportunity_feed", _FIND + ", " + with_roles("opportunities")[5:] + "SELECT o.opportunity_id, o.score, (SELECT STRING_AGG(key || '=' || evidence, ',' ORDER BY key, evidence) FROM long WHERE long.candidate_id = o.candidate_id) AS findings FROM (SELECT * FROM opportunities ORDER BY created_at DESC, opportunity_id LIMIT 20) o JOIN valued v ON v.permit_number = o.permit_number")
 def _(spark, d):
     o = frame(spark, d, "opportunities")
     feed = L.opportunity_feed(o.drop("permit_number"), o.select("candidate_id", "permit_number"), frame(spark, d, "records").drop("status"), J.build_findings(_candidate_rows(spark, d)), 20)
-    return feed.select("opportunity_id", "score", F.size("findings").cast("long").alias("n_findings"))
+    return feed.select("opportunity_id", "score", F.array_join(F.transform("findings", lambda x: F.concat(x["key"], F.lit("="), x["evidence"])), ",").alias("findings"))
 
 
 _POOL = CON + """, pool AS (SELECT license, COUNT(DISTINCT permit_number) AS n_permits, (SELECT STRING_AGG(r, ',' ORDER BY r) FROM (SELECT DISTINCT role AS r FROM contacts k WHERE k.license = c.license AND k.firm_name IS NOT NULL AND k.role IN ('contractor', 'subcontractor'))) AS roles,
@@ -275,9 +275,10 @@ def _ranked(spark, d):
 _RANK = _POOL + _SEG + f", ranked AS (SELECT license, firm_name, contacted_at, LENGTH(license) BETWEEN 3 AND 10 AND {_QUAL} AS qualified, CASE WHEN CAST(license AS BIGINT) % 5 <> 0 THEN n_permits ELSE 0 END AS permit_count, CAST(CASE segment WHEN 'commercial' THEN 40 WHEN 'unknown' THEN 15 ELSE 0 END + 3 * LEAST(10, CASE WHEN CAST(license AS BIGINT) % 5 <> 0 THEN n_permits ELSE 0 END) + CASE WHEN contacted_at IS NULL THEN 20 ELSE 0 END AS DOUBLE) AS prospect_rank FROM seg) "
 
 
-@query("q3_rank_prospects", _RANK + "SELECT license, permit_count, prospect_rank FROM ranked")
+@query("q3_rank_prospects", _RANK + """SELECT r.license, permit_count, prospect_rank, CONCAT_WS('; ', CASE segment WHEN 'commercial' THEN 'segment commercial: +40' WHEN 'unknown' THEN 'segment unknown: +15' ELSE 'segment residential: +0' END,
+    CASE WHEN permit_count > 0 THEN CONCAT('permits ', CAST(permit_count AS STRING), ': +', CAST(3 * LEAST(10, permit_count) AS STRING)) END, CASE WHEN r.contacted_at IS NULL THEN 'not contacted yet: +20' END) AS reasons FROM ranked r JOIN seg ON seg.license = r.license""")
 def _(spark, d):
-    return _ranked(spark, d).select("license", "permit_count", "prospect_rank")
+    return _ranked(spark, d).select("license", "permit_count", "prospect_rank", F.array_join("rank_reasons", "; ").alias("reasons"))
 
 
 @query("q4_next_prospects", _RANK + "SELECT license, CAST(place AS INT) AS place, CASE WHEN place = 1 THEN 'next' ELSE 'runner-up' END AS pick FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY prospect_rank DESC, permit_count DESC, firm_name, license) AS place FROM ranked WHERE qualified AND contacted_at IS NULL) WHERE place <= 8")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import normalize as N
 from ..sources import extract as S
+from ..sources.store import KeyedStore
 from .bindings import NOW, frame, shared_folder, with_roles
 from .registry import query
 
@@ -14,7 +15,33 @@ RAW, REC = with_roles("raw"), with_roles("records")
 TRIM = "NULLIF(REGEXP_REPLACE({0}, '^\\s+|\\s+$', '', 'g'), '')".format
 
 
-@query("s1_read_extract", RAW + "SELECT record_id, status, location FROM raw WHERE CAST(SUBSTR(record_id, 2) AS BIGINT) % 50 <> 7")
+#: A value full of what records are cut at.
+_NOTE = 'a},{"b":"c"} ,{ d \\ "quoted" ] [x'
+
+
+def _arrays(spark, d):
+    """The raw table as JSON arrays of some thousand objects a file, every fiftieth object cut off within a name or value."""
+    raw, folder = frame(spark, d, "raw").withColumn("note", F.when(F.substring("record_id", 2, 20).cast("long") % 7 == 0, F.lit(_NOTE))), shared_folder(spark, "extract")
+    number, line = F.substring("record_id", 2, 20).cast("long"), F.to_json(F.struct("*"))
+    one = F.when(number % 50 == 7, F.substring(line, 1, 30)).otherwise(line)
+    files = max(1, raw.count() // 5000)
+    lists = raw.groupBy(F.pmod(F.xxhash64("record_id"), F.lit(files)).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ",\n "), F.lit("]\n")).alias("value"))
+    lists.repartition(files, "file").write.partitionBy("file").text(folder)
+    return S.read_extract(spark, folder, raw.columns)
+
+
+@query("s1_read_extract", RAW + f"""SELECT record_id, status, location, CASE WHEN CAST(SUBSTR(record_id, 2) AS BIGINT) % 7 = 0 THEN '{_NOTE}' END AS note FROM raw WHERE CAST(SUBSTR(record_id, 2) AS BIGINT) % 50 <> 7""")
+def _(spark, d):
+    rows, _rejected = _arrays(spark, d)
+    return rows.select("record_id", "status", "location", "note")
+
+
+@query("s1_extract_counts", RAW + "SELECT COUNT(*) FILTER (WHERE CAST(SUBSTR(record_id, 2) AS BIGINT) % 50 <> 7) AS n_read, COUNT(*) FILTER (WHERE CAST(SUBSTR(record_id, 2) AS BIGINT) % 50 = 7) AS n_rejected FROM raw")
+def _(spark, d):
+    return S.extract_counts(*_arrays(spark, d))
+
+
+@query("s1_read_lines", RAW + "SELECT record_id, status, location FROM raw WHERE CAST(SUBSTR(record_id, 2) AS BIGINT) % 50 <> 7")
 def _(spark, d):
     raw, folder = frame(spark, d, "raw"), shared_folder(spark, "extract")
     line = F.to_json(F.struct("*"))
@@ -93,6 +120,21 @@ def _(spark, d):
     return out.select("key", "h", "brand", F.col("first_seen_at").cast("string").alias("first_seen"), F.col("last_seen_at").cast("string").alias("last_seen"), "merge_action")
 
 
+@query("s8_keyed_store", PC + "SELECT COALESCE(p.key, c.key) AS key, CASE WHEN c.key IS NOT NULL THEN c.h ELSE p.h END AS h, CASE WHEN c.key IS NOT NULL THEN c.brand ELSE p.brand END AS brand FROM p FULL JOIN c ON p.key = c.key")
+def _(spark, d):
+    store = KeyedStore(spark, shared_folder(spark, "store"), "key")
+    current = _hashed(frame(spark, d, "current"))
+    drops = [_hashed(frame(spark, d, "previous")), current.where("arrival % 2 = 0"), current.where("arrival % 2 = 1"), current.where("arrival % 2 = 1")]
+
+    def merge(before, new):
+        before = new.limit(0).withColumns({c: F.lit(None).cast("timestamp") for c in ("first_seen_at", "last_seen_at")}) if before is None else before
+        return S.merge_snapshot(before, new, "key", "h", NOW, ["brand"])
+
+    for version, rows in zip((0, 1, 2, 2), drops, strict=True):  # the last drop comes twice
+        store.apply(rows, version, merge, "h")
+    return store.read().select("key", "h", "brand")
+
+
 @query("s9_append_new", PC + "SELECT key, brand FROM c WHERE key NOT IN (SELECT key FROM p)")
 def _(spark, d):
     return S.append_new(frame(spark, d, "previous"), frame(spark, d, "current").where("TRIM(key) <> ''"), "key", "arrival").select("key", "brand")
@@ -112,11 +154,11 @@ def _(spark, d):
     return frame(spark, d, "raw").select("record_id", C.number("estimated_cost").alias("estimated"), C.integer("estimated_cost").alias("whole"), C.integer("number_of_proposed_stories").alias("stories"))
 
 
-@query(
-    "n3_assemble_address",
-    RAW + f"""SELECT record_id, CONCAT(street_number, COALESCE(street_number_suffix, ''), ' ', street_name, COALESCE(' ' || {TRIM('street_suffix')}, ''),
-        CASE WHEN CONCAT(CASE WHEN unit = '0' THEN '' ELSE COALESCE(unit, '') END, COALESCE(unit_suffix, '')) = '' THEN '' ELSE CONCAT(' Unit ', CASE WHEN unit = '0' THEN '' ELSE COALESCE(unit, '') END, COALESCE(unit_suffix, '')) END) AS address FROM raw""",
-)
+_ADDRESS = f"""CONCAT(street_number, COALESCE(street_number_suffix, ''), ' ', street_name, COALESCE(' ' || {TRIM('street_suffix')}, ''),
+        CASE WHEN CONCAT(CASE WHEN unit = '0' THEN '' ELSE COALESCE(unit, '') END, COALESCE(unit_suffix, '')) = '' THEN '' ELSE CONCAT(' Unit ', CASE WHEN unit = '0' THEN '' ELSE COALESCE(unit, '') END, COALESCE(unit_suffix, '')) END)"""
+
+
+@query("n3_assemble_address", RAW + f"SELECT record_id, {_ADDRESS} AS address FROM raw")
 def _(spark, d):
     return frame(spark, d, "raw").select("record_id", N.assemble_address("street_number", "street_number_suffix", "street_name", "street_suffix", "unit", "unit_suffix").alias("address"))
 
@@ -135,7 +177,12 @@ def _(spark, d):
     return frame(spark, d, "raw").select("record_id", N.floating_literal(N.agency_timestamp("filed_date")).alias("wall"))
 
 
-@query("n6_coordinates", RAW + "SELECT record_id, CASE WHEN location LIKE '%[-122%' THEN 37.7 END AS lat, CASE WHEN location LIKE '%[-122%' THEN -122.4 END AS lon FROM raw")
+_POINT = "REGEXP_EXTRACT(location, '\"type\":\"Point\",\"coordinates\":\\[(-?[0-9.]+),(-?[0-9.]+)\\]', {0})".format
+_IN_RANGE = f"ABS(TRY_CAST({_POINT(1)} AS DOUBLE)) <= 180 AND ABS(TRY_CAST({_POINT(2)} AS DOUBLE)) <= 90"
+_LAT, _LON = (f"CASE WHEN {_IN_RANGE} THEN TRY_CAST({_POINT(i)} AS DOUBLE) END" for i in (2, 1))
+
+
+@query("n6_coordinates", RAW + f"SELECT record_id, {_LAT} AS lat, {_LON} AS lon FROM raw")
 def _(spark, d):
     lat, lon = N.coordinates("location")
     return frame(spark, d, "raw").select("record_id", lat.alias("lat"), lon.alias("lon"))
@@ -166,9 +213,24 @@ def _(spark, d):
     return N.normalize_records(frame(spark, d, "raw"))[1].select("record_id")
 
 
-@query("n9_content_hash", RAW + "SELECT COUNT(*) AS n, COUNT(*) AS n_hashes FROM raw WHERE TRIM(permit_number) <> ''")
+_TEXT = "COALESCE('\"' || {0} || '\"', 'null')".format
+_FRACTION = "COALESCE(CAST(CAST({0} AS DECIMAL(38, 6)) AS STRING), 'null')".format
+_WHOLE = "COALESCE(CAST({0} AS STRING), 'null')".format
+#: Every normalised column as the checking engine writes it in JSON; what the raw table lacks is null.
+_JSON = {c: "'null'" for c in N.NORMALIZED} | {
+    "permit_number": _TEXT("TRIM(permit_number)"), "record_id": _TEXT("record_id"), "address": _TEXT("whole"), "neighborhood": _TEXT("place"), "latitude": _FRACTION("CASE WHEN near THEN lat END"), "longitude": _FRACTION("CASE WHEN near THEN lon END"),
+    "status": _TEXT("LOWER(TRIM(status))"), "filed_date": _WHOLE("1000 * ms"), "stories_existing": _WHOLE("s1"), "stories_proposed": _WHOLE("s2"), "valuation": _FRACTION("GREATEST(r, e)"),
+    "valuation_source": _TEXT("CASE WHEN r IS NOT NULL AND COALESCE(e <= r, TRUE) THEN 'revised_cost' WHEN e IS NOT NULL THEN 'estimated_cost' END"),
+}
+_READ = f""", num AS MATERIALIZED (SELECT *, {_ADDRESS} AS whole, {TRIM('neighborhoods_analysis_boundaries')} AS place, TRY_CAST({_POINT(1)} AS DOUBLE) AS lon, TRY_CAST({_POINT(2)} AS DOUBLE) AS lat, {_INSTANT} AS ms, {_NUM('revised_cost')} AS r0, {_NUM('estimated_cost')} AS e0,
+    CAST(TRUNC({_NUM('number_of_existing_stories')}) AS INT) AS s1, CAST(TRUNC({_NUM('number_of_proposed_stories')}) AS INT) AS s2 FROM raw WHERE TRIM(permit_number) <> ''),
+    typed AS MATERIALIZED (SELECT *, ABS(lon) <= 180 AND ABS(lat) <= 90 AS near, CASE WHEN r0 > 0 THEN r0 END AS r, CASE WHEN e0 > 0 THEN e0 END AS e FROM num) """
+_CANONICAL = "'{' || " + " || ',' || ".join(f"'\"{c}\":' || {_JSON[c]}" for c in sorted(N.NORMALIZED)) + " || '}'"
+
+
+@query("n9_content_hash", RAW + _READ + f"SELECT record_id, SHA256({_CANONICAL}) AS content_hash FROM typed")
 def _(spark, d):
-    return N.normalize_records(frame(spark, d, "raw"))[0].agg(F.count(F.lit(1)).alias("n"), F.count_distinct("content_hash").alias("n_hashes"))
+    return N.normalize_records(frame(spark, d, "raw"))[0].select("record_id", "content_hash")
 
 
 @query("n10_scoring_view", RAW + f"SELECT TRIM(permit_number) AS permit_number, {_NUM('estimated_cost')} AS estimated_cost, {_NUM('revised_cost')} AS revised_cost FROM raw WHERE TRIM(permit_number) <> ''")

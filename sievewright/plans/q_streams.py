@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import gates as G
 from ..operators import normalize as N
+from ..sources.shared import stored
+from ..sources.store import KeyedStore
 from ..streaming import streams as T
 from .bindings import NOW, frame, shared_folder, with_roles
 from .q_events import _BILL, _FOLD, _LED
@@ -47,7 +50,7 @@ def _(spark, d):
         rows.write.mode("append").parquet(f"{folder}/in")
         stream = T.file_stream(spark, f"{folder}/in", raw.schema)
         T.stream_ingest(stream, f"{folder}/store", f"{folder}/checkpoint", "permit_number", "content_hash", ["status", "valuation"], ["status"], "record_id", NOW, lambda x: N.normalize_records(x)[0]).awaitTermination()
-    return spark.read.parquet(f"{folder}/store/version=1").select("permit_number", "status", "valuation")
+    return KeyedStore(spark, f"{folder}/store", "permit_number").read().select("permit_number", "status", "valuation")
 
 
 @query("t2_stream_changes", with_roles("queue") + "SELECT handle AS key, CASE WHEN b IS NULL THEN 'added' ELSE 'changed' END AS status, action AS h, COUNT(*) AS n FROM (SELECT *, LAG(action) OVER (PARTITION BY handle ORDER BY ts, event_id) AS b FROM queue) WHERE b IS NULL OR b <> action GROUP BY 1, 2, 3")
@@ -63,7 +66,7 @@ def _(spark, d):
 def _(spark, d):
     folder = shared_folder(spark, "stream")
     _in_drops(frame(spark, d, "billing"), folder, "arrival", lambda x: T.stream_billing_state(x, f"{folder}/store", f"{folder}/checkpoint", ORDER, None).awaitTermination())
-    return spark.read.parquet(f"{folder}/store/version=2").select("customer_id", "state", F.col("updated_at").cast("string").alias("updated_at"))
+    return KeyedStore(spark, f"{folder}/store", "customer_id").read().select("customer_id", "state", F.col("updated_at").cast("string").alias("updated_at"))
 
 
 @query("t4_stream_ledger", _LED + "SELECT handle, message_count, opted_out FROM ledger")
@@ -87,4 +90,17 @@ def _(spark, d):
     _rocks(spark)
     folder = shared_folder(spark, "stream")
     profiles = frame(spark, d, "profiles")
-    return _in_drops(frame(spark, d, "valued"), folder, "arrival", lambda x: T.collected(T.stream_funnel(x, profiles, NOW), folder))
+    return _in_drops(frame(spark, d, "valued"), folder, "arrival", lambda x: T.collected(T.stream_funnel(x, profiles, NOW), folder)).select("profile_id", "permit_number", "rejected_by")
+
+
+@query("t6_funnel_after_batch", _SHEET + "SELECT profile_id, permit_number, rejected_by FROM sheet")
+def _(spark, d):
+    _rocks(spark)
+    folder = shared_folder(spark, "stream")
+    records, profiles = frame(spark, d, "valued"), frame(spark, d, "profiles")
+    middle = records.agg(F.percentile_approx("arrival", 0.5, 1000).alias("m")).first()["m"] or 0
+    first = G.gate_sheet(records.where(F.col("arrival") <= middle), profiles, NOW)
+    history = stored(G.accepted_sites(first), "accepted")
+    records.where(F.col("arrival") > middle).write.parquet(f"{folder}/in")
+    then = T.collected(T.stream_funnel(T.file_stream(spark, f"{folder}/in", records.schema), profiles, NOW, accepted=history), folder)
+    return first.select("profile_id", "permit_number", "rejected_by").unionByName(then.select("profile_id", "permit_number", "rejected_by"))

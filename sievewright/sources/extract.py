@@ -10,12 +10,86 @@ from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions.columns import instant, text
+from .shared import stored
+
+
+def _numbered(df: DataFrame, step: Column, order: list[str], name: str) -> DataFrame:
+    """Adds name: the sum of step over the rows of the file up to and with this one. Sums run within a range of the file
+    (block), and what earlier ranges hold is added; a range is a split of the file, so no task has more than one."""
+    rows = df.withColumn("_step", step.cast("long"))
+    totals = rows.groupBy("file", "block").agg(F.sum("_step").alias("_sum"))
+    ahead = totals.select(F.col("file").alias("_f"), F.col("block").alias("_b"), F.coalesce(F.sum("_sum").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    own = F.sum("_step").over(Window.partitionBy("file", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = rows.withColumn("_own", own).join(ahead, (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b")))
+    return met.withColumn(name, F.col("_own") + F.col("_ahead")).drop("_step", "_own", "_f", "_b", "_ahead")
+
+
+#: A record begins behind the array's bracket or a comma.
+_BEGIN = r"^[\s\x{FEFF}]*[\[,]\s*(?=\{)"
+
+
+def read_array(spark: SparkSession, path: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected) of files that hold one JSON array of flat objects each, read in ranges; every value is a string.
+
+    Files are read up to each closing brace, in parallel ranges. Where a comma and an opening brace follow, a record may
+    end; such pieces are parsed where they are. A piece that is no object was cut at a brace within a string, or the
+    source cut it off. Such pieces in a row are put together, from left to right, while their quotes are open; what makes an
+    object is one, and what closes its quotes without making one, or stands before an object, is rejected as text. So a
+    broken object takes nothing else with it.
+
+    An array without objects and an empty file give no rows; objects within a value are strings, lists of several objects
+    within a value are not flat and not supported; null and missing values are null.
+    """
+    schema = StructType([*(StructField(c, StringType()) for c in columns), StructField("_corrupt", StringType())])
+    parsed = lambda c: F.from_json(c, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    fine = lambda x: x.isNotNull() & x["_corrupt"].isNull()
+    bare = lambda t: F.regexp_replace(t, r"^[\s\x{FEFF}]*[\[,]?\s*", "")
+    read = spark.read.option("lineSep", "}").text(path)
+    part = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    begins = F.col("value").rlike(_BEGIN)
+    numbered = _numbered(part, begins, ["id"], "piece")
+    # what follows the last brace of a file: the array's end, or the beginning of an object that was cut off
+    pieces = numbered.groupBy("file", "piece").agg(F.min("block").alias("block"), F.sort_array(F.collect_list(F.struct("block", "id", "value"))).alias("x"), F.max(F.struct("block", "id")).alias("at"))
+    last = pieces.groupBy(F.col("file").alias("_f")).agg(F.max("piece").alias("_last"))
+    pieces = pieces.join(last, (F.col("file") == F.col("_f")) & (F.col("piece") == F.col("_last")), "left")
+    fragments = F.transform("x", lambda f: f["value"])
+    tail = F.when(F.col("_last").isNotNull(), F.element_at(fragments, -1))
+    closed = F.when(tail.isNull(), F.concat(F.array_join(fragments, "}"), F.lit("}"))).when(tail.rlike(r"^\s*(\[\s*)?\]?\s*$"), F.concat(F.array_join(F.slice(fragments, 1, F.size(fragments) - 1), "}"), F.when(F.size(fragments) > 1, "}").otherwise(""))).otherwise(F.array_join(fragments, "}"))
+    text_of = pieces.select("file", "block", "piece", closed.alias("text")).where(bare(F.col("text")) != "")
+    judged = stored(text_of.withColumn("row", parsed(bare(F.col("text")))), "pieces")
+    good = fine(F.col("row")) & F.contains("text", F.lit('"'))
+    # pieces that are no object, in a row: all have the same number of objects before them
+    runs = _numbered(judged.select("file", "block", "piece", good.alias("good"), F.when(~good, F.col("text")).alias("text")), F.col("good"), ["piece"], "run").where(~F.col("good"))
+    begun = F.split("text", r'(?=,\s*\{\s*")')  # an object that was cut off ends where the next one begins
+    runs = runs.groupBy("file", "run").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("piece", begun.alias("texts")))), lambda x: x["texts"])).alias("texts"))
+    quotes = lambda t: F.length(F.regexp_replace(F.regexp_replace(t, r"\\\\.", ""), '[^"]', ""))
+    unclosed = lambda t: F.pmod(quotes(t), F.lit(2)) == 1
+    none, nothing = F.lit(None).cast("string"), F.array().cast("array<string>")
+
+    def step(s: Column, t: Column) -> Column:
+        both, opened, whole, broken = F.concat(s["open"], t), s["open"], s["whole"], s["broken"]
+        put = lambda o, w, b: F.struct(o.alias("open"), F.concat(whole, w).alias("whole"), F.concat(broken, b).alias("broken"))
+        alone = fine(parsed(bare(t)))
+        return (
+            F.when(opened.isNull() & alone, put(none, F.array(t), nothing)).when(opened.isNull() & unclosed(t), put(t, nothing, nothing)).when(opened.isNull(), put(none, nothing, F.array(t)))
+            .when(alone & (quotes(t) > 0), put(none, F.array(t), F.array(opened))).when(fine(parsed(bare(both))), put(none, F.array(both), nothing))
+            .when(unclosed(both), put(both, nothing, nothing)).when(unclosed(t), put(t, nothing, F.array(opened))).otherwise(put(none, nothing, F.array(opened, t)))
+        )
+
+    folded = runs.select(F.aggregate("texts", F.struct(none.alias("open"), nothing.alias("whole"), nothing.alias("broken")), step).alias("s"))
+    joined = folded.select(F.explode("s.whole").alias("t")).select(parsed(bare(F.col("t"))).alias("row"))
+    rejected = folded.select(F.explode(F.array_compact(F.concat("s.broken", F.array("s.open")))).alias("t")).select(bare(F.col("t")).alias("_corrupt"))
+    rows = judged.where(good).select("row").unionByName(joined)
+    return rows.select(*(F.col(f"row.{c}").alias(c) for c in columns)), rejected
 
 
 def read_extract(spark: SparkSession, path: str, columns: list[str], multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejected) of a JSON array of flat objects, every value read as a string; unparseable ones are rejected."""
+    """(rows, rejected) of JSON objects, every value read as a string: one array a file, or (multi_line false) one object a
+    line; unparseable ones are rejected."""
+    if multi_line:
+        return read_array(spark, path, columns)
     schema = StructType([*(StructField(c, StringType()) for c in columns), StructField("_corrupt", StringType())])
-    rows = spark.read.schema(schema).option("multiLine", multi_line).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").json(path)
     # Spark refuses to look at the corrupt column alone, so a data column is always read with it
     read = F.length(F.concat_ws("", *columns)) >= 0
     return rows.where(F.col("_corrupt").isNull() & read).drop("_corrupt"), rows.where(F.col("_corrupt").isNotNull() & read).select("_corrupt")

@@ -1,8 +1,8 @@
 """Streaming twins: ingest, per-key changes, billing, ledger, weights and funnel as Structured Streaming.
 
 Sources are file streams of Parquet; every function takes the stream or its path and returns a streaming DataFrame or a
-started query. Stores are versioned Parquet folders (no table format is assumed): a micro-batch reads the last version
-and writes the next, named by its batch id, so a repeated batch overwrites its own version only.
+started query. Stores are keyed stores of Parquet files (no table format is assumed): a micro-batch replaces the buckets it
+touches as a version named by its batch id, so a repeated batch overwrites its own version only.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from ..operators import changes, feedback, gates, ledger, vocab
 from ..sources.extract import merge_snapshot
+from ..sources.store import KeyedStore
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -28,22 +29,23 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_ba
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
-def stream_ingest(stream: DataFrame, store: str, checkpoint: str, key: str, hash_column: str, values: list[str], preferences: list[str], arrival: str, observed_at: datetime | str, prepare: Callable[[DataFrame], DataFrame] | None = None):
-    """Each micro-batch: prepared (normalised) and canonical rows, difference to the store, merged store as a new version,
-    counts as an event."""
+def stream_ingest(stream: DataFrame, store: str, checkpoint: str, key: str, hash_column: str, values: list[str], preferences: list[str], arrival: str, observed_at: datetime | str, prepare: Callable[[DataFrame], DataFrame] | None = None, buckets: int = 64):
+    """Each micro-batch: prepared (normalised) and canonical rows, merged into the buckets of the keyed store that they
+    touch, counts as an event. A micro-batch costs what it touches, not what is stored."""
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
         rows = prepare(rows) if prepare else rows
         one = changes.canonical_collapse(rows.where(F.trim(F.col(key).cast("string")) != ""), key, [F.col(p) for p in preferences], [F.col(arrival)])
-        if batch_id:
-            before = spark.read.parquet(f"{store}/version={batch_id - 1}")
-        else:
-            before = one.select(key, hash_column, *values).limit(0).withColumn("first_seen_at", F.lit(None).cast("timestamp")).withColumn("last_seen_at", F.lit(None).cast("timestamp"))
-        merged = merge_snapshot(before, one, key, hash_column, observed_at, values)
-        merged.drop("merge_action").write.mode("overwrite").parquet(f"{store}/version={batch_id}")
-        counts = merged.groupBy("merge_action").agg(F.count(F.lit(1)).alias("n"))
-        counts.select(F.lit(batch_id).alias("batch"), "merge_action", "n").write.mode("overwrite").parquet(f"{store}/events/batch={batch_id}")
+
+        def merge(before: DataFrame | None, new: DataFrame) -> DataFrame:
+            if before is None:
+                before = new.select(key, hash_column, *values).limit(0).withColumn("first_seen_at", F.lit(None).cast("timestamp")).withColumn("last_seen_at", F.lit(None).cast("timestamp"))
+            return merge_snapshot(before, new, key, hash_column, observed_at, values)
+
+        actions = KeyedStore(spark, store, key, buckets).apply(one.select(key, hash_column, *values), batch_id, merge, hash_column)
+        counts = spark.createDataFrame([(batch_id, a, n) for a, n in actions.items()], "batch long, merge_action string, n long")
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{store}/events/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -83,17 +85,18 @@ def stream_billing(stream: DataFrame, delay: str | None = "7 days") -> DataFrame
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["provider_event"])
 
 
-def stream_billing_state(stream: DataFrame, store: str, checkpoint: str, order: list[str], delay: str | None = "7 days"):
-    """Each provider event once, folded into the subscribers' states: every micro-batch writes the next version of the
-    store (customer_id, state, updated_at, and at: what orders the last write)."""
+def stream_billing_state(stream: DataFrame, store: str, checkpoint: str, order: list[str], delay: str | None = "7 days", buckets: int = 64):
+    """Each provider event once, folded into the subscribers' states: every micro-batch replaces the buckets of its
+    subscribers in the keyed store (customer_id, state, updated_at, and at: what orders the last write)."""
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        spark = rows.sparkSession
         new = ledger.billing_state(rows, order).join(rows.groupBy("customer_id").agg(F.max(F.struct(*order)).alias("at")), "customer_id")
-        if batch_id:
-            new = spark.read.parquet(f"{store}/version={batch_id - 1}").unionByName(new)
-        merged = new.groupBy("customer_id").agg(F.max_by("state", "at").alias("state"), F.max("updated_at").alias("updated_at"), F.max("at").alias("at"))
-        merged.write.mode("overwrite").parquet(f"{store}/version={batch_id}")
+
+        def merge(before: DataFrame | None, new: DataFrame) -> DataFrame:
+            both = new if before is None else before.unionByName(new)
+            return both.groupBy("customer_id").agg(F.max_by("state", "at").alias("state"), F.max("updated_at").alias("updated_at"), F.max("at").alias("at"))
+
+        KeyedStore(rows.sparkSession, store, "customer_id", buckets).apply(new, batch_id, merge)
 
     return stream_billing(stream, delay).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -134,6 +137,10 @@ class _Accepted(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.taken = handle.getListState("taken", StructType([StructField("bucket", LongType())]))
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        for b in initialState["bucket"]:
+            self.taken.appendValue((None if pd.isna(b) else int(b),))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         frame, out = pd.concat(list(rows)).sort_values("arrival"), []
         taken = {r[0] for r in self.taken.get()}
@@ -143,23 +150,34 @@ class _Accepted(StatefulProcessor):
             if not near:
                 taken.add(b)
                 self.taken.appendValue((b,))
-            out.append((key[0], permit, "dedupe" if near else None))
-        yield pd.DataFrame(out, columns=["profile_id", "permit_number", "rejected_by"])
+            out.append((key[0], key[1], permit, b, "dedupe" if near else None))
+        yield pd.DataFrame(out, columns=["profile_id", "site", "permit_number", "bucket", "rejected_by"]).astype({"bucket": "Int64"})
 
     def close(self) -> None:
         pass
 
 
-def stream_funnel(stream: DataFrame, profiles: DataFrame, now: datetime | str, window_days: int = vocab.NEAR_DUPLICATE_DAYS) -> DataFrame:
-    """profile_id, permit_number and rejected_by for each arriving record in the territory of each profile: four gates at
-    once, then, with state by profile and site, the dedupe gate. Needs the RocksDB state store."""
+def stream_funnel(stream: DataFrame, profiles: DataFrame, now: datetime | str, window_days: int = vocab.NEAR_DUPLICATE_DAYS, accepted: DataFrame | None = None) -> DataFrame:
+    """profile_id, permit_number and rejected_by for each arriving record in the territory of each profile: five gates at
+    once, then, with state by profile and site, the dedupe gate; site and bucket of those that reach it.
+
+    accepted (profile_id, site, bucket) is what earlier passes accepted, in batches or streams: the state begins with it.
+    What this stream accepts is in its output: accepted_in(). Needs the RocksDB state store.
+    """
     c = F.col
     rows = gates.five_gates(gates.pair_up(stream, profiles), now).withColumn("rejected_by", F.get(F.filter("outcomes", lambda o: ~o["passed"]), F.lit(0))["gate"])
     site = gates.site_key(c("address"), c("unit"), c("description"), c("permit_number"))
-    bucket = F.floor(F.unix_micros("filed_date") / F.lit(86_400_000_000 * window_days)).cast("long")
-    good = rows.where("rejected_by IS NULL").select("profile_id", site.alias("site"), "permit_number", "arrival", bucket.alias("bucket"))
-    judged = good.groupBy("profile_id", "site").transformWithStateInPandas(_Accepted(), "profile_id long, permit_number string, rejected_by string", "Append", "None")
-    return rows.where("rejected_by IS NOT NULL").select("profile_id", "permit_number", "rejected_by").unionByName(judged)
+    good = rows.where("rejected_by IS NULL").select("profile_id", site.alias("site"), "permit_number", "arrival", changes.day_bucket(c("filed_date"), window_days).alias("bucket"))
+    start = None if accepted is None else accepted.select(c("profile_id").cast("long").alias("profile_id"), "site", c("bucket").cast("long").alias("bucket")).groupBy("profile_id", "site")
+    judged = good.groupBy("profile_id", "site").transformWithStateInPandas(_Accepted(), "profile_id long, site string, permit_number string, bucket long, rejected_by string", "Append", "None", initialState=start)
+    none = rows.where("rejected_by IS NOT NULL").select("profile_id", F.lit(None).cast("string").alias("site"), "permit_number", F.lit(None).cast("long").alias("bucket"), "rejected_by")
+    return none.unionByName(judged)
+
+
+def accepted_in(judged: DataFrame, accepted: DataFrame | None = None) -> DataFrame:
+    """(profile_id, site, bucket) of all that a funnel stream has accepted, and the history before it."""
+    new = judged.where("rejected_by IS NULL").select("profile_id", "site", "bucket")
+    return (new if accepted is None else new.unionByName(accepted.select("profile_id", "site", "bucket"))).distinct()
 
 
 def collected(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:

@@ -223,7 +223,7 @@ def test_sheet_equals_the_product(spark):
     want = {(r.profile_id, r.permit_number): r.gate for r in whole if r.gate != "geography"}
     sheet = gates.gate_sheet(records, profiles, now).select("profile_id", "permit_number", F.nullif("rejected_by", F.lit("dedupe")).alias("gate"), F.get(F.filter("outcomes", lambda o: ~o["passed"]), F.lit(0))["gate"].alias("first"), "rejected_by").collect()
     assert {(r.profile_id, r.permit_number): r.gate for r in sheet} == want and all(r["first"] == r.rejected_by for r in sheet)
-    counts = {(r.profile_id, r.rejected_by): r.n for r in gates.rejections_by_gate(gates.gate_sheet(records, profiles, now), records, profiles).collect()}
+    counts = {(r.profile_id, r.rejected_by): r.n for r in gates.rejections_by_gate(gates.survivor_counts(records, profiles, now)).collect()}
     for p in range(20):
         assert counts.get((p, "geography"), 0) == sum(r.gate == "geography" for r in whole if r.profile_id == p)
 
