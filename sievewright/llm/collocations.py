@@ -173,20 +173,26 @@ def bitmap(keys: DataFrame) -> np.ndarray:
     return bits.view(np.uint8)
 
 
-def _verified(words: Words, at: np.ndarray, key: np.ndarray, n: int, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first word of one occurrence, number of occurrences) of each phrase: those of a fingerprint that are not the words
-    its pointer points to are taken out, round by round, and counted as phrases of their own."""
-    firsts, counts = [], []
+#: Stands for a null doc_id: it comes after all others.
+_NO_DOC = 2**63 - 1
+
+
+def _verified(words: Words, at: np.ndarray, key: np.ndarray, n: int, index: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word of one occurrence, number of occurrences, smallest doc_id) of each phrase: those of a fingerprint that are
+    not the words its pointer points to are taken out, round by round, and counted as phrases of their own. docs: the
+    doc_id of each text."""
+    out = []
     while len(at):
         _, pointer, group = np.unique(key, return_index=True, return_inverse=True)
         same = np.ones(len(at), bool)
         for j in range(n):
             same &= index[at + j] == index[at[pointer][group] + j]
         same &= words.salt[at] == words.salt[at[pointer][group]]
-        firsts.append(at[pointer])
-        counts.append(np.bincount(group[same], minlength=len(pointer)))
+        low = np.full(len(pointer), _NO_DOC)
+        np.minimum.at(low, group[same], docs[words.text[at[same]]])
+        out.append((at[pointer], np.bincount(group[same], minlength=len(pointer)), low))
         at, key = at[~same], key[~same]
-    return (np.concatenate(firsts), np.concatenate(counts)) if firsts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
 def materialised(docs: DataFrame, filters: list, least: int) -> DataFrame:
@@ -198,15 +204,16 @@ def materialised(docs: DataFrame, filters: list, least: int) -> DataFrame:
             for part, words in _slices(batch):
                 names = words.names()
                 index, distinct = names.indices.to_numpy(), names.dictionary.cast(pa.string())
+                docs = pc.fill_null(part.column("doc_id"), _NO_DOC).to_numpy()
                 for n in range(1, len(known) + 1):
                     at, key = candidates(words, n, known[: n - 1])
                     fine = passes(known[n - 1], key)
-                    first, count = _verified(words, at[fine], key[fine], n, index)
+                    first, count, low = _verified(words, at[fine], key[fine], n, index, docs)
                     if not len(first):
                         continue
                     text = pc.binary_join_element_wise(*(distinct.take(pa.array(index[first + j])) for j in range(n)), " ")
-                    row = pa.array(words.text[first])
-                    yield pa.RecordBatch.from_arrays([part.column("lang").take(row), text, pa.array(np.full(len(first), n, np.int32)), pa.array(count.astype(np.int64)), part.column("doc_id").take(row)], names=["lang", "phrase", "size", "f", "first_doc_id"])
+                    lang = part.column("lang").take(pa.array(words.text[first]))
+                    yield pa.RecordBatch.from_arrays([lang, text, pa.array(np.full(len(first), n, np.int32)), pa.array(count.astype(np.int64)), pa.array(low, mask=low == _NO_DOC)], names=["lang", "phrase", "size", "f", "first_doc_id"])
 
     found = docs.mapInArrow(run, "lang string, phrase string, size int, f long, first_doc_id long").groupBy("lang", "phrase", "size")
     return common.written(found.agg(F.sum("f").alias("f"), F.min("first_doc_id").alias("first_doc_id")).where(F.col("f") >= least), "phrases")
