@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import enrich as J
+from ..operators import gates as G
 from ..operators import profile as A
 from ..operators import vocab
 from .bindings import NOW, frame, with_roles
@@ -92,7 +93,7 @@ def _(spark, d):
     SELECT profile_id, COUNT(*) AS survivors, COUNT(*) FILTER (WHERE c.gc) AS with_contractor, COUNT(*) FILTER (WHERE NOT COALESCE(c.gc, FALSE)) AS without_contractor, COUNT(*) FILTER (WHERE c.firm) AS with_trade_firm, COUNT(*) FILTER (WHERE LOWER(description) LIKE '%electric%') AS with_keyword FROM surv LEFT JOIN c ON c.permit_number = surv.permit_number GROUP BY 1""",
 )
 def _(spark, d):
-    survivors = _sheet(spark, d).where("rejected_by IS NULL OR rejected_by = 'dedupe'").select("profile_id", "permit_number", "description")
+    survivors = G.shortlist(frame(spark, d, "valued"), frame(spark, d, "profiles"), NOW, "description")
     contacts = frame(spark, d, "contacts")
     return A.shortlist_profile(survivors, J.general_contractor(contacts, "arrival"), J.trade_firm_named(contacts, "00[0-9]*7"), F.lower("description").contains("electric"))
 
@@ -119,4 +120,4 @@ def _(spark, d):
 
 @query("a14_valuation_rank", _FOLD + "SELECT profile_id, permit_number, CAST(r AS INT) AS valuation_rank FROM (SELECT profile_id, permit_number, RANK() OVER (PARTITION BY profile_id ORDER BY value DESC) AS r, ROW_NUMBER() OVER (PARTITION BY profile_id ORDER BY value DESC, permit_number) AS n FROM sheet WHERE rejected_by IS NULL) WHERE n <= 40")
 def _(spark, d):
-    return A.valuation_rank(_sheet(spark, d).where("rejected_by IS NULL"), "value", 40).select("profile_id", "permit_number", "valuation_rank")
+    return A.valuation_rank(_sheet(spark, d).where("NOT near_duplicate"), "value", 40).select("profile_id", "permit_number", "valuation_rank")

@@ -13,3 +13,10 @@ def test_pairs_do_not_move_for_their_scope_and_reasons_are_left_out(spark):
     executed = df._jdf.queryExecution().executedPlan().toString()
     first = next(line for line in executed.splitlines() if "Join" in line)
     assert "BroadcastHashJoin" in first and "scope_number" in first  # was a sort-merge join by description
+
+
+def test_pairs_that_fail_a_gate_do_not_move_for_the_fold(spark):
+    plan = lambda name: QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    g8 = plan("g8_rejection_summary").splitlines()
+    assert "Union" in g8[0] + g8[1]  # all pairs met the marks of the fold in one wide join
+    assert "sha2" not in plan("a10_shortlist_profile")  # sites were folded, though the shortlist keeps repeats
