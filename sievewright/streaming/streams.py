@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
@@ -131,26 +131,41 @@ def stream_weights(stream: DataFrame) -> DataFrame:
     return stream.groupBy("customer_id").transformWithStateInPandas(_Weights(), schema, "Append", "None")
 
 
+#: Groups over which profiles and sites are dealt by hash: a group of their own for each would cost a call each.
+SHARES = 1024
+
+
+def _share() -> Column:
+    return F.pmod(F.xxhash64("profile_id", "site"), F.lit(SHARES))
+
+
 class _Accepted(StatefulProcessor):
-    """Per profile and site the buckets of days in which a filing was accepted; rows of a micro-batch in order of arrival."""
+    """Per profile and site the buckets of days in which a filing was accepted; rows of a micro-batch in order of arrival.
+    A group holds the profiles and sites of a share; what a micro-batch accepts is appended at once."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.taken = handle.getListState("taken", StructType([StructField("bucket", LongType())]))
+        self.taken = handle.getListState("taken", StructType([StructField("profile_id", LongType()), StructField("site", StringType()), StructField("bucket", LongType())]))
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
-        for b in initialState["bucket"]:
-            self.taken.appendValue((None if pd.isna(b) else int(b),))
+        self.taken.appendList([(int(p), s, None if pd.isna(b) else int(b)) for p, s, b in zip(initialState["profile_id"], initialState["site"], initialState["bucket"], strict=True)])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame, out = pd.concat(list(rows)).sort_values("arrival"), []
-        taken = {r[0] for r in self.taken.get()}
-        for permit, bucket in zip(frame["permit_number"], frame["bucket"], strict=True):
+        frame, out, new = pd.concat(list(rows)).sort_values("arrival", kind="stable"), [], []
+        asked = set(zip(frame["profile_id"], frame["site"], strict=True))
+        taken: dict[tuple, set] = {}
+        for p, s, b in self.taken.get():
+            if (p, s) in asked:
+                taken.setdefault((p, s), set()).add(b)
+        for profile, site, permit, bucket in zip(frame["profile_id"], frame["site"], frame["permit_number"], frame["bucket"], strict=True):
             b = None if pd.isna(bucket) else int(bucket)
-            near = b in taken or (b is not None and ({b - 1, b + 1} & taken))
+            own = taken.setdefault((profile, site), set())
+            near = b in own or (b is not None and (b - 1 in own or b + 1 in own))
             if not near:
-                taken.add(b)
-                self.taken.appendValue((b,))
-            out.append((key[0], key[1], permit, b, "dedupe" if near else None))
+                own.add(b)
+                new.append((int(profile), site, b))
+            out.append((profile, site, permit, b, "dedupe" if near else None))
+        if new:
+            self.taken.appendList(new)
         yield pd.DataFrame(out, columns=["profile_id", "site", "permit_number", "bucket", "rejected_by"]).astype({"bucket": "Int64"})
 
     def close(self) -> None:
@@ -165,11 +180,10 @@ def stream_funnel(stream: DataFrame, profiles: DataFrame, now: datetime | str, w
     What this stream accepts is in its output: accepted_in(). Needs the RocksDB state store.
     """
     c = F.col
-    rows = gates.five_gates(gates.pair_up(stream, profiles), now).withColumn("rejected_by", F.get(F.filter("outcomes", lambda o: ~o["passed"]), F.lit(0))["gate"])
-    site = gates.site_key(c("address"), c("unit"), c("description"), c("permit_number"))
-    good = rows.where("rejected_by IS NULL").select("profile_id", site.alias("site"), "permit_number", "arrival", changes.day_bucket(c("filed_date"), window_days).alias("bucket"))
-    start = None if accepted is None else accepted.select(c("profile_id").cast("long").alias("profile_id"), "site", c("bucket").cast("long").alias("bucket")).groupBy("profile_id", "site")
-    judged = good.groupBy("profile_id", "site").transformWithStateInPandas(_Accepted(), "profile_id long, site string, permit_number string, bucket long, rejected_by string", "Append", "None", initialState=start)
+    rows = gates.five_gate_rejections(stream, profiles, now)
+    good = rows.where("rejected_by IS NULL").select(c("profile_id").cast("long").alias("profile_id"), "site", "permit_number", "arrival", changes.day_bucket(c("filed_date"), window_days).alias("bucket"))
+    start = None if accepted is None else accepted.select(c("profile_id").cast("long").alias("profile_id"), "site", c("bucket").cast("long").alias("bucket")).withColumn("share", _share()).groupBy("share")
+    judged = good.withColumn("share", _share()).groupBy("share").transformWithStateInPandas(_Accepted(), "profile_id long, site string, permit_number string, bucket long, rejected_by string", "Append", "None", initialState=start)
     none = rows.where("rejected_by IS NOT NULL").select("profile_id", F.lit(None).cast("string").alias("site"), "permit_number", F.lit(None).cast("long").alias("bucket"), "rejected_by")
     return none.unionByName(judged)
 

@@ -20,3 +20,13 @@ def test_pairs_that_fail_a_gate_do_not_move_for_the_fold(spark):
     g8 = plan("g8_rejection_summary").splitlines()
     assert "Union" in g8[0] + g8[1]  # all pairs met the marks of the fold in one wide join
     assert "sha2" not in plan("a10_shortlist_profile")  # sites were folded, though the shortlist keeps repeats
+
+
+def test_state_of_the_funnel_is_dealt_in_shares(spark, tmp_path):
+    from sievewright.plans.bindings import NOW, frame
+    from sievewright.streaming import streams
+
+    records = frame(spark, SF, "valued")
+    stream = streams.file_stream(spark, str(tmp_path), records.schema)
+    plan = streams.stream_funnel(stream, frame(spark, SF, "profiles"), NOW)._jdf.queryExecution().analyzed().toString()
+    assert "pmod(xxhash64(profile_id" in plan  # each profile and site was a group of its own
