@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.llm import decontam, langid, packing, pii, simhash
-from sievewright.llm.common import bounded_batches, table, written
+from sievewright.llm.common import bounded_batches, collected, table, written
 from sievewright.llm.queries import tokenizer_path
 
 
@@ -85,4 +85,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, name)
+            collected(spark)
     return docs

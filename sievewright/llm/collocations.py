@@ -162,9 +162,9 @@ def level(docs: DataFrame, n: int, filters: list, least: int) -> DataFrame:
     return common.written(found.where(F.col("key").isNull() | (F.col("c") >= least)), "phrase-keys")
 
 
-def bitmap(keys: DataFrame) -> np.ndarray:
-    """The bits of the keys as bytes: BITS_EACH for each key, at most 2 ** FILTER_BITS in all."""
-    size = min(FILTER_BITS, max(6, (keys.count() * BITS_EACH).bit_length()))
+def bitmap(keys: DataFrame, each: int = BITS_EACH) -> np.ndarray:
+    """The bits of the keys as bytes: ``each`` for each key, at most 2 ** FILTER_BITS in all."""
+    size = min(FILTER_BITS, max(6, (keys.count() * each).bit_length()))
     place = F.shiftrightunsigned("key", 64 - size)
     rows = keys.select(place.alias("place")).select(F.shiftright("place", 6).alias("at"), F.expr("shiftleft(1L, CAST(place & 63 AS INT))").alias("bit"))
     got = rows.groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()

@@ -62,9 +62,16 @@ def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
     for path in own:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    collected(spark)
     return out
 
 
+def collected(spark: SparkSession) -> None:
+    """Has the driver's JVM collect what no plan refers to any more: Spark deletes the shuffles of such plans only then, and
+    the code made for them is unloaded."""
+    spark._jvm.System.gc()
+
+
 def text_rows(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]

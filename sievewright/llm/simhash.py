@@ -22,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -47,6 +47,8 @@ NO_LABEL = -(2**63)
 #: of them have (or MOST, if these are fewer than half: then the text is not part of a dense group), and all.
 PART_BITS, MOST, COMMON = 21, 2**21 - 1, 16
 NO_BOUND = MOST << 2 * PART_BITS | MOST << PART_BITS
+#: Bits of a bitmap for each key, where a row that is let through in vain is a long one.
+EACH = 128
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -397,13 +399,29 @@ def forms(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "row").mapInArrow(run, "doc_id long, row string, fp long, form string")
 
 
-def shingle_sets(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+def _perhaps(key: Column, few: DataFrame) -> Column:
+    """Whether the key may be that of a row of few (a written table with a column ``key`` of 64-bit hashes): false is
+    certain. A bitmap of bounded size goes to the tasks, so rows that are surely not met don't move."""
+    bits = few.sparkSession.sparkContext.broadcast(bitmap(few, EACH))
+
+    @F.arrow_udf("boolean")
+    def test(found: pa.Array) -> pa.Array:
+        return pa.array(passes(bits.value, found.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    return test(key)
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """row, the sorted hashes of the distinct shingles (a text without words has none), a digest of them, and how many of
-    them lie in each of PARTS parts (null if any part has too many for a byte), for every row of docs (text, row)."""
+    them lie in each of PARTS parts (null if any part has too many for a byte), for every row of docs (text, row) that
+    ``wanted`` (a written table with a column row) has, and few others. Texts don't move for that."""
     from xxhash import xxh3_128_hexdigest
 
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("row").alias("key")), EACH))
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
+            batch = batch.filter(pa.array(passes(bits.value, batch.column("key").to_numpy().view(np.uint64))))
             for part in common.batches(batch):
                 got = [np.unique(np.array(_hashes(own, words) if own else [], np.uint64)).view(np.int64) for own in map(_words, part.column("text").to_pylist())]
                 sets = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, got)]), pa.int32()), pa.array(np.concatenate([*got, np.empty(0, np.int64)]), pa.int64()))
@@ -411,7 +429,21 @@ def shingle_sets(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
                 parts = [d.astype(np.int8).tolist() if d.max() < 128 else None for d in dealt]
                 yield pa.RecordBatch.from_arrays([part.column("row"), sets, pa.array([xxh3_128_hexdigest(g.tobytes()) for g in got], pa.string()), pa.array(parts, pa.list_(pa.int8()))], names=["row", "shingles", "digest", "parts"])
 
-    return docs.select("text", "row").mapInArrow(run, "row string, shingles array<long>, digest string, parts array<tinyint>")
+    return docs.select("text", "row", F.xxhash64("row").alias("key")).mapInArrow(run, "row string, shingles array<long>, digest string, parts array<tinyint>")
+
+
+def _met(held: DataFrame, hashes: DataFrame) -> DataFrame:
+    """id and h: the shingles of held (node, shingles) that hashes (a written table with a column h) has, and few others."""
+    bits = held.sparkSession.sparkContext.broadcast(bitmap(hashes.select(F.col("h").alias("key"))))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            sets, ids = batch.column("shingles"), batch.column("id").to_numpy()
+            h = sets.flatten().to_numpy()
+            some = passes(bits.value, h.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, np.asarray(sets.value_lengths()))[some]), pa.array(h[some])], names=["id", "h"])
+
+    return held.select(F.xxhash64("node").alias("id"), "shingles").mapInArrow(run, "id long, h long")
 
 
 def verified_links(candidates: DataFrame, sets: DataFrame) -> DataFrame:
@@ -459,15 +491,18 @@ def near_groups(rows: DataFrame, told: DataFrame, budget: int = NEAR_BITS) -> Da
     asked = common.written(tree.select(F.col("a").alias("fp")).unionByName(tree.select(F.col("b").alias("fp"))).unionByName(prints.where("n > 1").select("fp")).distinct(), "asked")
     wanted = common.written(known.join(asked, "fp", "left_semi").select("fp", "form", F.col("first.row").alias("row")), "wanted")
     # A repeated row gives the same set again; the smallest form stands for all of one fingerprint and set.
-    found = shingle_sets(rows.join(wanted.select("row"), "row", "left_semi")).dropDuplicates(["row"])
+    found = shingle_sets(rows, wanted).dropDuplicates(["row"])
     sets = common.written(found.join(wanted, "row").select("fp", "form", "digest", F.size("shingles").alias("n"), "parts", "shingles"), "sets")
     nodes = sets.groupBy("fp", "digest").agg(F.min("form").alias("node"))
     node_of = common.written(sets.select("fp", "digest", "form").join(nodes, ["fp", "digest"]).select("fp", "form", "node"), "nodes")
     at = node_of.where("form = node").select("fp", "node")
-    held = common.written(sets.join(at.select("node"), F.col("form") == F.col("node"), "left_semi").withColumnRenamed("form", "node"), "held")
-    each = held.select(F.xxhash64("node").alias("id"), F.explode("shingles").alias("h"))
+    others = common.written(node_of.where("form <> node").select(F.col("form").alias("other"), F.xxhash64("form").alias("key")), "others")
+    perhaps = _perhaps(F.xxhash64("form"), others.select("key"))
+    alone = sets.where(perhaps).join(others, F.col("form") == F.col("other"), "left_anti")
+    held = common.written(sets.where(~perhaps).unionByName(alone).withColumnRenamed("form", "node"), "held")
+    each = held.select(F.explode("shingles").alias("h"))
     twice = common.written(each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "twice")
-    met = each.join(twice, "h").groupBy("id").agg(F.count(F.lit(1)).alias("met"), F.count_if(F.col("c") >= COMMON).alias("often"), F.sum("c").alias("c"))
+    met = _met(held, twice).join(twice, "h").groupBy("id").agg(F.count(F.lit(1)).alias("met"), F.count_if(F.col("c") >= COMMON).alias("often"), F.sum("c").alias("c"))
     rank = -(F.lit(1000) * F.col("c") / F.col("n")).cast("long")
     able = held.select("fp", "node", F.col("n").cast("long").alias("n"), F.xxhash64("node").alias("id")).join(met, "id").where(10 * F.col("met") >= round(10 * SHARE) * F.col("n"))
     often = F.when(2 * F.col("often") >= F.col("n"), F.col("often"))  # null: no dense group
@@ -487,10 +522,12 @@ def near_groups(rows: DataFrame, told: DataFrame, budget: int = NEAR_BITS) -> Da
     one, other = (grouped.select(F.col("fp").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("id", "node", "component", "met", "often", "n"))) for c in "ab")
     tenths = round(10 * SHARE)
     enough = lambda x, y: (F.col("component_a") != F.col("component_b")) & ((10 + tenths) * F.least(x, y) >= tenths * (F.col("n_a") + F.col("n_b")))
-    dense = F.col("often_a").isNotNull() & F.col("often_b").isNotNull()
-    can = enough(F.when(dense, F.col("often_a")).otherwise(F.col("met_a")), F.when(dense, F.col("often_b")).otherwise(F.col("met_b")))
+    both = F.col("often_a").isNotNull() & F.col("often_b").isNotNull()
+    can = enough(F.when(both, F.col("often_a")).otherwise(F.col("met_a")), F.when(both, F.col("often_b")).otherwise(F.col("met_b")))
     within = one.join(whole.where("label IS NULL").select(F.col("fp").alias("a")), "a", "left_semi").join(other.withColumn("a", F.col("b")), "a").where("node_a < node_b")
-    rare = each.join(twice.where(F.col("c") < COMMON).select("h"), "h").join(able.where("often IS NOT NULL").select("id"), "id")
+    dense = able.where("often IS NOT NULL").select("id")
+    some = _met(held.where(_perhaps(F.xxhash64("node"), dense.select(F.col("id").alias("key")))), twice)
+    rare = some.join(twice.where(F.col("c") < COMMON).select("h"), "h").join(dense, "id")
     sharing = rare.withColumnRenamed("id", "id_a").join(rare.withColumnRenamed("id", "id_b"), "h").where("id_a < id_b").select("id_a", "id_b").distinct()
     by_rare = sharing.join(one, "id_a").join(other, "id_b").where(enough(F.col("met_a"), F.col("met_b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= budget))
     open_ = near.join(one, "a").join(other, "b").where(can).select("node_a", "node_b").unionByName(within.where(can).select("node_a", "node_b")).unionByName(by_rare.select("node_a", "node_b"))
@@ -504,8 +541,8 @@ def one_of_each(docs: DataFrame, budget: int = NEAR_BITS) -> DataFrame:
     """docs without near-duplicates: of each group (near_groups) the row with the smallest doc_id stays, all columns kept.
 
     Rows are told apart by doc_id and text: unlike texts under one doc_id or none all stay, rows that repeat both count
-    once, and a row without doc_id stays only if none of its group has one. Texts stay where they are: only the keys of
-    rows that go or repeat meet them, by a broadcast where Spark finds these few enough.
+    once, and a row without doc_id stays only if none of its group has one. Texts stay where they are, however many rows go:
+    a bitmap of the keys of rows that go or repeat tells which texts these keys must meet.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     row = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(" "), text))
@@ -517,6 +554,9 @@ def one_of_each(docs: DataFrame, budget: int = NEAR_BITS) -> DataFrame:
     marks = times.join(kept.withColumn("stays", F.lit(True)), "row", "left").where("stays IS NULL OR n > 1").select("row", F.col("stays").isNotNull().alias("stays"))
     marks = common.written(marks, "marks")
     key, mark = common.fresh("row", docs), common.fresh("stays", docs)
-    marked = docs.withColumn(key, row).join(marks.toDF(key, mark), key, "left")
-    repeated = marked.where(F.col(mark)).dropDuplicates([key])
-    return marked.where(F.col(mark).isNull()).unionByName(repeated).select(*(F.col(f"`{c}`") for c in docs.columns))
+    perhaps = _perhaps(F.xxhash64(row), marks.select(F.xxhash64("row").alias("key")))
+    marked = docs.where(perhaps).withColumn(key, row).join(marks.toDF(key, mark), key, "left")
+    out = docs.where(~perhaps).unionByName(marked.where(F.col(mark).isNull()).select(*(F.col(f"`{c}`") for c in docs.columns)))
+    if marks.where("stays").isEmpty():
+        return out
+    return out.unionByName(marked.where(F.col(mark)).dropDuplicates([key]).select(*(F.col(f"`{c}`") for c in docs.columns)))
