@@ -66,17 +66,21 @@ def read_array(spark: SparkSession, path: str, columns: list[str]) -> tuple[Data
     unclosed = lambda t: F.pmod(quotes(t), F.lit(2)) == 1
     none, nothing = F.lit(None).cast("string"), F.array().cast("array<string>")
 
-    def step(s: Column, t: Column) -> Column:
+    sound = lambda t: F.transform(F.array(parsed(bare(t))), fine)[0]  # noqa: E731  # named once, so parsed once
+
+    def step(s: Column, x: Column) -> Column:
+        t, alone, odd = x["t"], x["alone"], F.pmod(x["quotes"], F.lit(2)) == 1
         both, opened, whole, broken = F.concat(s["open"], t), s["open"], s["whole"], s["broken"]
         put = lambda o, w, b: F.struct(o.alias("open"), F.concat(whole, w).alias("whole"), F.concat(broken, b).alias("broken"))
-        alone = fine(parsed(bare(t)))
         return (
-            F.when(opened.isNull() & alone, put(none, F.array(t), nothing)).when(opened.isNull() & unclosed(t), put(t, nothing, nothing)).when(opened.isNull(), put(none, nothing, F.array(t)))
-            .when(alone & (quotes(t) > 0), put(none, F.array(t), F.array(opened))).when(fine(parsed(bare(both))), put(none, F.array(both), nothing))
-            .when(unclosed(both), put(both, nothing, nothing)).when(unclosed(t), put(t, nothing, F.array(opened))).otherwise(put(none, nothing, F.array(opened, t)))
+            F.when(opened.isNull() & alone, put(none, F.array(t), nothing)).when(opened.isNull() & odd, put(t, nothing, nothing)).when(opened.isNull(), put(none, nothing, F.array(t)))
+            .when(alone & (x["quotes"] > 0), put(none, F.array(t), F.array(opened))).when(sound(both), put(none, F.array(both), nothing))
+            .when(unclosed(both), put(both, nothing, nothing)).when(odd, put(t, nothing, F.array(opened))).otherwise(put(none, nothing, F.array(opened, t)))
         )
 
-    folded = runs.select(F.aggregate("texts", F.struct(none.alias("open"), nothing.alias("whole"), nothing.alias("broken")), step).alias("s"))
+    seen = runs.select(F.transform("texts", lambda t: F.struct(t.alias("t"), sound(t).alias("alone"), quotes(t).alias("quotes"))).alias("texts"))
+    folded = seen.select(F.aggregate("texts", F.struct(none.alias("open"), nothing.alias("whole"), nothing.alias("broken")), step).alias("s"))
+    folded = stored(folded, "folded")  # rows and rejected are both read from it
     joined = folded.select(F.explode("s.whole").alias("t")).select(parsed(bare(F.col("t"))).alias("row"))
     rejected = folded.select(F.explode(F.array_compact(F.concat("s.broken", F.array("s.open")))).alias("t")).select(bare(F.col("t")).alias("_corrupt"))
     rows = judged.where(good).select("row").unionByName(joined)

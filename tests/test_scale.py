@@ -288,3 +288,12 @@ def test_one_scan_for_all_trades(spark, capsys, tmp_path):
     assert len(got) == 4 * len(vocab.TRADES)
     assert got["Non-electric sign, no electrical work", "electrical"].core_terms == [] and got["Non-electric sign, no electrical work", "plumbing"].domains == ["electrical", "signage"]
     assert got[" No  Plumbing work, restroom", "plumbing"].core_terms == ["restroom"] and got[None, "hvac"].no_description and got["HVAC duct", "hvac"].core_terms == ["hvac", "duct"]
+
+
+def test_broken_pieces_are_folded_once(spark, tmp_path):
+    (tmp_path / "x.json").write_text('[{"a": "1", "b": "x},{y"}, {"a": "2"}, {"a": "3", "b": "cut, {"a": "4", "b": "},{"}]')
+    rows, rejected = extract.read_extract(spark, str(tmp_path / "x.json"), ["a", "b"])
+    for df in (rows, rejected):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "aggregate(" not in plan  # rows and rejected each folded all pieces again
+    assert sorted(map(tuple, rows.collect())) == [("1", "x},{y"), ("2", None), ("4", "},{")] and rejected.count() == 1
