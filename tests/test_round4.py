@@ -36,3 +36,12 @@ def test_what_takes_nothing_from_a_scope_looks_for_none(spark):
     for name in ("c6_timing", "c7_value", "c8_evidence", "c9_fatal_flags"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert "scope_number" not in plan and "description" not in plan, name  # every pair met its scope, which gave nothing
+
+
+def test_passes_with_history_find_sites_once(spark, monkeypatch):
+    from sievewright.plans import q_changes
+
+    plans, real = [], q_changes.stored
+    monkeypatch.setattr(q_changes, "stored", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or real(df, name))
+    assert QUERIES["d9_accepted_history"](spark, SF).count() == 1500
+    assert [name for name, plan in plans if "sha2" in plan] == ["sites"]  # each pass joined orders and hashed sites again
