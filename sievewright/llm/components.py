@@ -55,7 +55,7 @@ def _contracted(links: DataFrame) -> DataFrame:
         if n:
             yield one(held)
 
-    return links.mapInArrow(run, links.schema)
+    return links.mapInArrow(common.trimmed(run), links.schema)
 
 
 def _star(pairs: DataFrame, both: bool, limit: int | None) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .edits import best_match
 
 #: Edits allowed, as a share of the item's code points.
@@ -126,5 +127,5 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, error_rate: float = E
             for batch in it:
                 yield batch.filter(pa.array([not (t and match(fold(t))) for t in batch.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(common.trimmed(run), docs.schema)
     return docs

@@ -119,4 +119,4 @@ def known_only(docs: DataFrame, dictionaries: dict[str, bytes], margin: float =
         for batch in it:
             yield batch.filter(pa.array([not one(t)[3] for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.trimmed(run), docs.schema)

@@ -30,7 +30,7 @@ from . import common
 
 #: Parts that the rows of one length are ranked in, so that no length is ranked by one task.
 RANK_PARTS = 64
-#: Words whose ids a worker remembers.
+#: Words whose ids a worker remembers within a task.
 CACHE_WORDS = 300_000
 
 
@@ -42,7 +42,7 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: Ids of words this worker process has met, kept over tasks.
+#: Ids of words this worker process has met in the task at hand.
 _KNOWN: dict[str, bytes] = {}
 #: Latin letters and punctuation after them: the tokenizer splits between the two, and only lower-cases the letters.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|)\]}#$%&*\"]*)")
@@ -56,6 +56,11 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in shown else next(hidden)) for b in range(256)}
 
 
+def _forget() -> None:
+    """At a task's end: its worker lives on, for other stages too."""
+    _KNOWN.clear()
+
+
 def _learn(words: list[str], path: str) -> None:
     """Fills _KNOWN for words. Plain words go to the BPE model itself, all others through the whole tokenizer."""
     model, letters = _tokenizer(path).model, _byte_letters()
@@ -112,6 +117,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from pieces(it)
+        finally:
+            _forget()
+
+    def pieces(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         closing = end_id.to_bytes(4, "little")
         for batch in it:
             for part in common.batches(batch, most_bytes=2 << 20):
@@ -126,7 +137,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
                         ids.append(own[at : at + width])
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.trimmed(run), "doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
 def slack_patterns(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:

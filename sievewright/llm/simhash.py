@@ -257,7 +257,7 @@ def trie_links(fps: DataFrame, budget: int = 3, node_limit: int = NODE_LIMIT, al
 
     given = next((c for c in ("label", "rank") if c in fps.columns), None)
     labelled = fps.select("fp", (F.col(given) if given else F.lit(None)).cast("long").alias("label"), (F.col("bound") if "bound" in fps.columns else F.lit(None)).cast("long").alias("bound"))
-    rows = labelled.where("fp IS NOT NULL").dropDuplicates(["fp"]).mapInArrow(lay_out, "block int, pa long, pb long, spent int, side int, path long, label long, bound long")
+    rows = labelled.where("fp IS NOT NULL").dropDuplicates(["fp"]).mapInArrow(common.trimmed(lay_out), "block int, pa long, pb long, spent int, side int, path long, label long, bound long")
     node = ["block", "pa", "pb", "spent"]
     wide = {i: x.lead for i, x in enumerate(laid)}
     found, down = None, 0
@@ -365,7 +365,7 @@ def _compared(rows: DataFrame, laid: list[Layout], down: int, budget: int, all_p
         if rest is not None and len(rest[0]):
             yield from complete(rest)
 
-    return rows.repartition(*node).sortWithinPartitions(*node).select(*node, "side", "path", F.coalesce("label", F.lit(NO_LABEL)).alias("label"), F.coalesce("bound", F.lit(NO_BOUND)).alias("bound")).mapInArrow(run, "a long, b long")
+    return rows.repartition(*node).sortWithinPartitions(*node).select(*node, "side", "path", F.coalesce("label", F.lit(NO_LABEL)).alias("label"), F.coalesce("bound", F.lit(NO_BOUND)).alias("bound")).mapInArrow(common.trimmed(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 3) -> DataFrame:
@@ -396,7 +396,7 @@ def forms(docs: DataFrame) -> DataFrame:
             fp = np.array([g[0] for g in got], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(fp, pa.int64()), pa.array([g[1] for g in got], pa.string())], names=["doc_id", "row", "fp", "form"])
 
-    return docs.select("doc_id", "text", "row").mapInArrow(run, "doc_id long, row string, fp long, form string")
+    return docs.select("doc_id", "text", "row").mapInArrow(common.trimmed(run), "doc_id long, row string, fp long, form string")
 
 
 def _perhaps(key: Column, few: DataFrame) -> Column:
@@ -429,21 +429,27 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = SHINGLE_WORDS)
                 parts = [d.astype(np.int8).tolist() if d.max() < 128 else None for d in dealt]
                 yield pa.RecordBatch.from_arrays([part.column("row"), sets, pa.array([xxh3_128_hexdigest(g.tobytes()) for g in got], pa.string()), pa.array(parts, pa.list_(pa.int8()))], names=["row", "shingles", "digest", "parts"])
 
-    return docs.select("text", "row", F.xxhash64("row").alias("key")).mapInArrow(run, "row string, shingles array<long>, digest string, parts array<tinyint>")
+    return docs.select("text", "row", F.xxhash64("row").alias("key")).mapInArrow(common.trimmed(run), "row string, shingles array<long>, digest string, parts array<tinyint>")
 
 
-def _met(held: DataFrame, hashes: DataFrame) -> DataFrame:
-    """id and h: the shingles of held (node, shingles) that hashes (a written table with a column h) has, and few others."""
-    bits = held.sparkSession.sparkContext.broadcast(bitmap(hashes.select(F.col("h").alias("key"))))
+def _met(held: DataFrame, hashes: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """id and h: the shingles of held (node, shingles) that hashes (a written table with a column h) has, and few others.
+    among (a written table with a column id): only of the nodes that it has, and of few others. Both tests are one function,
+    as a task of two holds two workers."""
+    spark = held.sparkSession.sparkContext
+    bits = spark.broadcast(bitmap(hashes.select(F.col("h").alias("key"))))
+    few = None if among is None else spark.broadcast(bitmap(among.select(F.col("id").alias("key")), EACH))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
+            if few is not None:
+                batch = batch.filter(pa.array(passes(few.value, batch.column("id").to_numpy().view(np.uint64))))
             sets, ids = batch.column("shingles"), batch.column("id").to_numpy()
             h = sets.flatten().to_numpy()
             some = passes(bits.value, h.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, np.asarray(sets.value_lengths()))[some]), pa.array(h[some])], names=["id", "h"])
 
-    return held.select(F.xxhash64("node").alias("id"), "shingles").mapInArrow(run, "id long, h long")
+    return held.select(F.xxhash64("node").alias("id"), "shingles").mapInArrow(common.trimmed(run), "id long, h long")
 
 
 def verified_links(candidates: DataFrame, sets: DataFrame) -> DataFrame:
@@ -466,7 +472,7 @@ def verified_links(candidates: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in it:
             yield batch.filter(pa.array(passes(bits.value, batch.column("key").to_numpy().view(np.uint64)))).select(["node", "shingles"])
 
-    few = common.written(sets.select("node", "shingles", key).mapInArrow(needed, "node string, shingles array<long>"), "used-sets")
+    few = common.written(sets.select("node", "shingles", key).mapInArrow(common.trimmed(needed), "node string, shingles array<long>"), "used-sets")
     held = {c: few.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab"}
     both = able.join(held["a"], "a").join(held["b"], "b").withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
     return both.where(enough(F.col("common"))).select("a", "b")
@@ -526,7 +532,7 @@ def near_groups(rows: DataFrame, told: DataFrame, budget: int = NEAR_BITS) -> Da
     can = enough(F.when(both, F.col("often_a")).otherwise(F.col("met_a")), F.when(both, F.col("often_b")).otherwise(F.col("met_b")))
     within = one.join(whole.where("label IS NULL").select(F.col("fp").alias("a")), "a", "left_semi").join(other.withColumn("a", F.col("b")), "a").where("node_a < node_b")
     dense = able.where("often IS NOT NULL").select("id")
-    some = _met(held.where(_perhaps(F.xxhash64("node"), dense.select(F.col("id").alias("key")))), twice)
+    some = _met(held, twice, dense)
     rare = some.join(twice.where(F.col("c") < COMMON).select("h"), "h").join(dense, "id")
     sharing = rare.withColumnRenamed("id", "id_a").join(rare.withColumnRenamed("id", "id_b"), "h").where("id_a < id_b").select("id_a", "id_b").distinct()
     by_rare = sharing.join(one, "id_a").join(other, "id_b").where(enough(F.col("met_a"), F.col("met_b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= budget))
