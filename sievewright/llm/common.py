@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of a batch that goes to a Python worker.
 BATCH_BYTES = 16 << 20
+#: Characters of a plan's text. The driver keeps the texts of up to 1,000 plans that ran, and makes one anew whenever a plan
+#: changes while it runs.
+PLAN_CHARS = 4 << 10
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,7 +36,7 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
     session, so the registered queries and the pipeline call it; the operators don't."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    spark.conf.set("spark.sql.maxPlanStringLength", 1 << 16)  # the driver keeps the texts of all plans it ran
+    spark.conf.set("spark.sql.maxPlanStringLength", PLAN_CHARS)
 
 
 #: Paths of the tables that each settled() under way has written.

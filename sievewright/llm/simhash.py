@@ -17,11 +17,12 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -432,12 +433,17 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int = SHINGLE_WORDS)
     return docs.select("text", "row", F.xxhash64("row").alias("key")).mapInArrow(common.trimmed(run), "row string, shingles array<long>, digest string, parts array<tinyint>")
 
 
-def _met(held: DataFrame, hashes: DataFrame, among: DataFrame | None = None) -> DataFrame:
-    """id and h: the shingles of held (node, shingles) that hashes (a written table with a column h) has, and few others.
-    among (a written table with a column id): only of the nodes that it has, and of few others. Both tests are one function,
-    as a task of two holds two workers."""
+def _sent(hashes: DataFrame) -> Broadcast:
+    """The bitmap of a written table with a column h, for the tasks."""
+    return hashes.sparkSession.sparkContext.broadcast(bitmap(hashes.select(F.col("h").alias("key"))))
+
+
+def _met(held: DataFrame, hashes: DataFrame | Broadcast, among: DataFrame | None = None) -> DataFrame:
+    """id and h: the shingles of held (node, shingles) that hashes (a written table with a column h, or what _sent() made of
+    it) has, and few others. among (a written table with a column id): only of the nodes that it has, and of few others. Both
+    tests are one function, as a task of two holds two workers."""
     spark = held.sparkSession.sparkContext
-    bits = spark.broadcast(bitmap(hashes.select(F.col("h").alias("key"))))
+    bits = hashes if isinstance(hashes, Broadcast) else _sent(hashes)
     few = None if among is None else spark.broadcast(bitmap(among.select(F.col("id").alias("key")), EACH))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -508,7 +514,8 @@ def near_groups(rows: DataFrame, told: DataFrame, budget: int = NEAR_BITS) -> Da
     held = common.written(sets.where(~perhaps).unionByName(alone).withColumnRenamed("form", "node"), "held")
     each = held.select(F.explode("shingles").alias("h"))
     twice = common.written(each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "twice")
-    met = _met(held, twice).join(twice, "h").groupBy("id").agg(F.count(F.lit(1)).alias("met"), F.count_if(F.col("c") >= COMMON).alias("often"), F.sum("c").alias("c"))
+    bits = _sent(twice)
+    met = _met(held, bits).join(twice, "h").groupBy("id").agg(F.count(F.lit(1)).alias("met"), F.count_if(F.col("c") >= COMMON).alias("often"), F.sum("c").alias("c"))
     rank = -(F.lit(1000) * F.col("c") / F.col("n")).cast("long")
     able = held.select("fp", "node", F.col("n").cast("long").alias("n"), F.xxhash64("node").alias("id")).join(met, "id").where(10 * F.col("met") >= round(10 * SHARE) * F.col("n"))
     often = F.when(2 * F.col("often") >= F.col("n"), F.col("often"))  # null: no dense group
@@ -532,12 +539,17 @@ def near_groups(rows: DataFrame, told: DataFrame, budget: int = NEAR_BITS) -> Da
     can = enough(F.when(both, F.col("often_a")).otherwise(F.col("met_a")), F.when(both, F.col("often_b")).otherwise(F.col("met_b")))
     within = one.join(whole.where("label IS NULL").select(F.col("fp").alias("a")), "a", "left_semi").join(other.withColumn("a", F.col("b")), "a").where("node_a < node_b")
     dense = able.where("often IS NOT NULL").select("id")
-    some = _met(held, twice, dense)
+    some = _met(held, bits, dense)
     rare = some.join(twice.where(F.col("c") < COMMON).select("h"), "h").join(dense, "id")
     sharing = rare.withColumnRenamed("id", "id_a").join(rare.withColumnRenamed("id", "id_b"), "h").where("id_a < id_b").select("id_a", "id_b").distinct()
-    by_rare = sharing.join(one, "id_a").join(other, "id_b").where(enough(F.col("met_a"), F.col("met_b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= budget))
-    open_ = near.join(one, "a").join(other, "b").where(can).select("node_a", "node_b").unionByName(within.where(can).select("node_a", "node_b")).unionByName(by_rare.select("node_a", "node_b"))
-    more = common.settled(lambda: verified_links(open_.toDF("a", "b"), held), "more")
+
+    def open_() -> DataFrame:
+        """Each kind of pair by a plan of its own: while a plan runs, the driver makes it anew with every stage that ends."""
+        by_rare = common.written(sharing, "sharing").join(one, "id_a").join(other, "id_b").where(enough(F.col("met_a"), F.col("met_b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= budget))
+        kinds = near.join(one, "a").join(other, "b").where(can), within.where(can), by_rare
+        return reduce(DataFrame.unionByName, [common.written(k.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "open") for k in kinds])
+
+    more = common.settled(lambda: verified_links(open_(), held), "more")
     label = common.settled(lambda: connected_components(links.unionByName(more)), "label")
     named = node_of.join(label, "node", "left").select("form", F.coalesce("component", "node").alias("component"))
     return known.join(named, "form", "left").select("first", F.coalesce("component", "form").alias("component"))
