@@ -89,17 +89,29 @@ def ingest_counts(raw: DataFrame, key: str, collapsed: DataFrame, deltas: DataFr
     return a.crossJoin(b).crossJoin(c).select("fetched", "unnormalisable", "collapsed", "added", "changed", (F.col("_kept") - F.col("added") - F.col("changed")).alias("unchanged"), (F.col("added") + F.col("changed")).alias("written"))
 
 
+#: Columns that site_texts() gives and site_of() reads.
+SITE_TEXTS = ("_n_address", "_n_unit", "_n_scope")
+
+
+def site_texts(address: Column, unit: Column, description: Column, parts: tuple[Column, ...] = ()) -> dict[str, Column]:
+    """What a site is told by: address, unit and the letters and digits of the scope, in their normal forms."""
+    whole = normal(address)
+    pieces = F.concat_ws(" ", *(F.nullif(normal(x), F.lit("")) for x in parts)) if parts else F.lit("")
+    return dict(zip(SITE_TEXTS, (F.coalesce(F.nullif(whole, F.lit("")), pieces), normal(unit), F.trim(F.regexp_replace(normal(description), "[^a-z0-9]+", " "))), strict=True))
+
+
+def site_of(record_key: Column, texts: dict[str, Column] | None = None) -> Column:
+    """Hash of a site's texts; a row that lacks the address or the scope is a site of its own."""
+    a, u, d = (texts[k] if texts else F.col(k) for k in SITE_TEXTS)
+    return F.sha2(F.when((a == "") | (d == ""), F.concat_ws("|", F.lit("record"), F.trim(record_key.cast("string")))).otherwise(F.concat_ws("|", F.lit("site"), a, u, d)), 256)
+
+
 def site_key(address: Column, unit: Column, description: Column, record_key: Column, parts: tuple[Column, ...] = ()) -> Column:
     """Hash of site and scope; a row that lacks the address or the description is a site of its own.
 
     A missing address is put together from its parts. Of a description only letters and digits count.
     """
-    whole = normal(address)
-    pieces = F.concat_ws(" ", *(F.nullif(normal(x), F.lit("")) for x in parts)) if parts else F.lit("")
-    a, u = F.when(whole != "", whole).otherwise(pieces), normal(unit)
-    d = F.trim(F.regexp_replace(normal(description), "[^a-z0-9]+", " "))
-    shared = F.concat_ws("|", F.lit("site"), a, u, d)
-    return F.sha2(F.when((a == "") | (d == ""), F.concat_ws("|", F.lit("record"), F.trim(record_key.cast("string")))).otherwise(shared), 256)
+    return site_of(record_key, site_texts(address, unit, description, parts))
 
 
 def day_bucket(filed: Column, window_days: int) -> Column:

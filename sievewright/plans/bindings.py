@@ -153,10 +153,15 @@ def _protected(sql: str) -> str:
     return out
 
 
-def frame(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
-    """A role as a DataFrame; weights, refs and names that only Spark uses are added here."""
+def frame(spark: SparkSession, sf_dir: str, role: str, dealt: str | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """A role as a DataFrame; weights, refs and names that only Spark uses are added here. dealt: a role over another adds
+    its columns once that one's rows (with these columns only) are dealt out by this key: all of it in one stage is code too
+    long for the JVM to compile."""
     if role in OVER:
-        return spark.sql(OVER[role], records=frame(spark, sf_dir, "records"))
+        below = frame(spark, sf_dir, "records")
+        if dealt:
+            below = below.select(*(c for c in below.columns if columns is None or c in columns)).repartition(dealt)
+        return spark.sql(OVER[role], records=below)
     sql = _protected(texts(Dialect(True))[role])
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql}
     out = spark.sql(sql, **used)

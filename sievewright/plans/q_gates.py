@@ -66,12 +66,17 @@ def _(spark, d):
     return rows.select("permit_number", G.status_gate(F.col("status"), days_since(instant(NOW), F.col("filed_date")))["reason"].alias("reason"))
 
 
+def dealt(spark, d):
+    """Records with what the gates read, dealt out by key."""
+    return frame(spark, d, "valued", "permit_number", G.READ)
+
+
 def _sheet(spark, d, **more):
-    return G.gate_sheet(frame(spark, d, "valued"), frame(spark, d, "profiles"), NOW, **more)
+    return G.gate_sheet(dealt(spark, d), frame(spark, d, "profiles"), NOW, deal=False, **more)
 
 
 def _counts(spark, d):
-    return G.survivor_counts(frame(spark, d, "valued"), frame(spark, d, "profiles"), NOW)
+    return G.survivor_counts(dealt(spark, d), frame(spark, d, "profiles"), NOW, deal=False)
 
 
 # The near-duplicate fold in SQL: the first arrival of each bucket, then a recursive walk over each site's buckets.
