@@ -9,7 +9,7 @@ from ..operators import gates as G
 from ..operators import profile as A
 from ..operators import vocab
 from .bindings import NOW, frame, with_roles
-from .q_gates import _FOLD, _in, _sheet
+from .q_gates import _FOLD, _in, dealt
 from .registry import query
 
 REC, CON = with_roles("records"), with_roles("contacts")
@@ -120,4 +120,6 @@ def _(spark, d):
 
 @query("a14_valuation_rank", _FOLD + "SELECT profile_id, permit_number, CAST(r AS INT) AS valuation_rank FROM (SELECT profile_id, permit_number, RANK() OVER (PARTITION BY profile_id ORDER BY value DESC) AS r, ROW_NUMBER() OVER (PARTITION BY profile_id ORDER BY value DESC, permit_number) AS n FROM sheet WHERE rejected_by IS NULL) WHERE n <= 40")
 def _(spark, d):
-    return A.valuation_rank(_sheet(spark, d).where("NOT near_duplicate"), "value", 40).select("profile_id", "permit_number", "valuation_rank")
+    one, members = G.alike(frame(spark, d, "profiles"))
+    survivors = G.accepted_pairs(G.judged(dealt(spark, d), NOW, deal=False), one, vocab.NEAR_DUPLICATE_DAYS, None, "value")
+    return G.for_members(A.valuation_rank(survivors, "value", 40).select("profile_id", "permit_number", "valuation_rank"), members)
