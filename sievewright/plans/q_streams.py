@@ -16,6 +16,7 @@ from ..streaming import streams as T
 from .bindings import NOW, frame, shared_folder, with_roles
 from .q_events import _BILL, _FOLD, _LED
 from .q_gates import _FOLD as _SHEET
+from .q_gates import dealt
 from .q_normalize import _NUM, RAW
 from .registry import query
 
@@ -85,22 +86,40 @@ def _(spark, d):
     return _in_drops(rows, folder, "ts", lambda x: T.collected(T.stream_weights(x), folder))
 
 
+def _funnel(spark, folder: str, one: DataFrame, history: DataFrame | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Runs the two streams of the funnel after each other: records are judged, then meet the profiles that stand for others."""
+
+    def run(stream: DataFrame) -> DataFrame:
+        met = T.collected(T.stream_to_be_met(stream, NOW), f"{folder}/judged")
+        again = T.file_stream(spark, f"{folder}/judged/out", met.schema)
+        return T.collected(T.stream_funnel(again, one, NOW, accepted=history).select("profile_id", "permit_number", "rejected_by"), folder)
+
+    return run
+
+
+def _one(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Profiles that stand for all that are alike, written once as every batch reads them; and their members."""
+    one, members = G.alike(frame(spark, d, "profiles"))
+    return stored(one, "profiles"), members
+
+
 @query("t6_stream_funnel", _SHEET + "SELECT profile_id, permit_number, rejected_by FROM sheet")
 def _(spark, d):
     _rocks(spark)
     folder = shared_folder(spark, "stream")
-    profiles = frame(spark, d, "profiles")
-    return _in_drops(frame(spark, d, "valued"), folder, "arrival", lambda x: T.collected(T.stream_funnel(x, profiles, NOW), folder)).select("profile_id", "permit_number", "rejected_by")
+    one, members = _one(spark, d)
+    records = frame(spark, d, "valued").select(*G.READ)
+    return G.for_members(_in_drops(records, folder, "arrival", _funnel(spark, folder, one)), members)
 
 
 @query("t6_funnel_after_batch", _SHEET + "SELECT profile_id, permit_number, rejected_by FROM sheet")
 def _(spark, d):
     _rocks(spark)
     folder = shared_folder(spark, "stream")
-    records, profiles = frame(spark, d, "valued"), frame(spark, d, "profiles")
+    records, profiles = frame(spark, d, "valued").select(*G.READ), frame(spark, d, "profiles")
+    one, members = _one(spark, d)
     middle = records.agg(F.percentile_approx("arrival", 0.5, 1000).alias("m")).first()["m"] or 0
-    first = G.gate_sheet(records.where(F.col("arrival") <= middle), profiles, NOW)
-    history = stored(G.accepted_sites(first), "accepted")
+    first, history = G.sheet_and_history(dealt(spark, d).where(F.col("arrival") <= middle), profiles, NOW, deal=False)
     records.where(F.col("arrival") > middle).write.parquet(f"{folder}/in")
-    then = T.collected(T.stream_funnel(T.file_stream(spark, f"{folder}/in", records.schema), profiles, NOW, accepted=history), folder)
-    return first.select("profile_id", "permit_number", "rejected_by").unionByName(then.select("profile_id", "permit_number", "rejected_by"))
+    then = _funnel(spark, folder, one, stored(history, "accepted"))(T.file_stream(spark, f"{folder}/in", records.schema))
+    return first.select("profile_id", "permit_number", "rejected_by").unionByName(G.for_members(then, members).select("profile_id", "permit_number", "rejected_by"))

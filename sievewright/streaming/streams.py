@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, StringType, StructField, StructType
 
 from ..operators import changes, feedback, gates, ledger, vocab
 from ..sources.extract import merge_snapshot
@@ -133,58 +134,92 @@ def stream_weights(stream: DataFrame) -> DataFrame:
 
 #: Groups over which profiles and sites are dealt by hash: a group of their own for each would cost a call each.
 SHARES = 1024
+#: Stands for no bucket (no date): next to no other.
+NO_BUCKET = -(2**63)
+#: What the state keeps of an accepted filing: profile and site as 24 bytes, and the bucket.
+_TAKEN = np.dtype([("key", "V24"), ("bucket", "<i8")])
+#: Filings in one entry of the state.
+_ENTRY = 32_768
 
 
 def _share() -> Column:
     return F.pmod(F.xxhash64("profile_id", "site"), F.lit(SHARES))
 
 
+def _site_keys(frame: pd.DataFrame) -> list[bytes]:
+    """Profile and site (16 bytes) of each row as one value."""
+    keys = np.empty(len(frame), dtype=[("profile", "<i8"), ("site", "V16")])
+    keys["profile"] = frame["profile_id"].to_numpy()
+    keys["site"] = np.frombuffer(b"".join(frame["site"]), "V16")
+    return keys.view("V24").tolist()
+
+
+def _entries(keys: list[bytes], buckets: list[int]) -> list[tuple]:
+    rows = np.empty(len(keys), dtype=_TAKEN)
+    rows["key"], rows["bucket"] = np.frombuffer(b"".join(keys), "V24"), buckets
+    return [(rows[i : i + _ENTRY].tobytes(),) for i in range(0, len(rows), _ENTRY)]
+
+
 class _Accepted(StatefulProcessor):
     """Per profile and site the buckets of days in which a filing was accepted; rows of a micro-batch in order of arrival.
-    A group holds the profiles and sites of a share; what a micro-batch accepts is appended at once."""
+    A group holds the profiles and sites of a share; what a micro-batch accepts is appended at once, packed."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.taken = handle.getListState("taken", StructType([StructField("profile_id", LongType()), StructField("site", StringType()), StructField("bucket", LongType())]))
+        self.taken = handle.getListState("taken", StructType([StructField("rows", BinaryType())]))
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
-        self.taken.appendList([(int(p), s, None if pd.isna(b) else int(b)) for p, s, b in zip(initialState["profile_id"], initialState["site"], initialState["bucket"], strict=True)])
+        if len(initialState):
+            self.taken.appendList(_entries(_site_keys(initialState), initialState["bucket"].tolist()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame, out, new = pd.concat(list(rows)).sort_values("arrival", kind="stable"), [], []
-        asked = set(zip(frame["profile_id"], frame["site"], strict=True))
-        taken: dict[tuple, set] = {}
-        for p, s, b in self.taken.get():
-            if (p, s) in asked:
-                taken.setdefault((p, s), set()).add(b)
-        for profile, site, permit, bucket in zip(frame["profile_id"], frame["site"], frame["permit_number"], frame["bucket"], strict=True):
-            b = None if pd.isna(bucket) else int(bucket)
-            own = taken.setdefault((profile, site), set())
-            near = b in own or (b is not None and (b - 1 in own or b + 1 in own))
+        frame = pd.concat(list(rows)).sort_values("arrival", kind="stable")
+        keys, rejected, new = _site_keys(frame), [], ([], [])
+        taken: dict[bytes, set] = {k: set() for k in keys}
+        for (packed,) in self.taken.get():
+            before = np.frombuffer(bytes(packed), _TAKEN)
+            for k, b in zip(before["key"].tolist(), before["bucket"].tolist(), strict=True):
+                if k in taken:
+                    taken[k].add(b)
+        for k, b in zip(keys, frame["bucket"].tolist(), strict=True):
+            own = taken[k]
+            near = b in own or b - 1 in own or b + 1 in own
             if not near:
                 own.add(b)
-                new.append((int(profile), site, b))
-            out.append((profile, site, permit, b, "dedupe" if near else None))
-        if new:
-            self.taken.appendList(new)
-        yield pd.DataFrame(out, columns=["profile_id", "site", "permit_number", "bucket", "rejected_by"]).astype({"bucket": "Int64"})
+                new[0].append(k)
+                new[1].append(b)
+            rejected.append("dedupe" if near else None)
+        if new[0]:
+            self.taken.appendList(_entries(*new))
+        yield frame[["profile_id", "site", "permit_number", "bucket"]].assign(rejected_by=rejected)
 
     def close(self) -> None:
         pass
 
 
+def stream_to_be_met(stream: DataFrame, now: datetime | str) -> DataFrame:
+    """What the funnel needs of each arriving record, judged by itself: a stream of its own before stream_funnel(), so that
+    each record is judged once."""
+    return gates.to_be_met(stream, now)
+
+
 def stream_funnel(stream: DataFrame, profiles: DataFrame, now: datetime | str, window_days: int = vocab.NEAR_DUPLICATE_DAYS, accepted: DataFrame | None = None) -> DataFrame:
     """profile_id, permit_number and rejected_by for each arriving record in the territory of each profile: five gates at
-    once, then, with state by profile and site, the dedupe gate; site and bucket of those that reach it.
+    once, then, with state by profile and site, the dedupe gate; site (32 hex digits) and bucket of those that reach it.
+    stream: records, or what stream_to_be_met() has made of them.
 
     accepted (profile_id, site, bucket) is what earlier passes accepted, in batches or streams: the state begins with it.
-    What this stream accepts is in its output: accepted_in(). Needs the RocksDB state store.
+    What this stream accepts is in its output: accepted_in(). Give it the profiles of gates.alike() that stand for others,
+    and its output to gates.for_members(), and state and output have a row for all that are alike. Needs the RocksDB state
+    store.
     """
     c = F.col
-    rows = gates.five_gate_rejections(stream, profiles, now)
-    good = rows.where("rejected_by IS NULL").select(c("profile_id").cast("long").alias("profile_id"), "site", "permit_number", "arrival", changes.day_bucket(c("filed_date"), window_days).alias("bucket"))
-    start = None if accepted is None else accepted.select(c("profile_id").cast("long").alias("profile_id"), "site", c("bucket").cast("long").alias("bucket")).withColumn("share", _share()).groupBy("share")
-    judged = good.withColumn("share", _share()).groupBy("share").transformWithStateInPandas(_Accepted(), "profile_id long, site string, permit_number string, bucket long, rejected_by string", "Append", "None", initialState=start)
-    none = rows.where("rejected_by IS NOT NULL").select("profile_id", F.lit(None).cast("string").alias("site"), "permit_number", F.lit(None).cast("long").alias("bucket"), "rejected_by")
+    rejected, good = gates.five_gate_pairs(stream if "failed" in stream.columns else gates.to_be_met(stream, now), profiles)
+    bucket = lambda x: F.coalesce(x.cast("long"), F.lit(NO_BUCKET)).alias("bucket")
+    good = good.select(c("profile_id").cast("long").alias("profile_id"), "site", "permit_number", "arrival", bucket(changes.day_bucket(c("filed_date"), window_days)))
+    start = None if accepted is None else accepted.select(c("profile_id").cast("long").alias("profile_id"), F.unhex(F.substring("site", 1, 32)).alias("site"), bucket(c("bucket"))).withColumn("share", _share()).groupBy("share")
+    judged = good.withColumn("share", _share()).groupBy("share").transformWithStateInPandas(_Accepted(), "profile_id long, site binary, permit_number string, bucket long, rejected_by string", "Append", "None", initialState=start)
+    judged = judged.select("profile_id", F.lower(F.hex("site")).alias("site"), "permit_number", F.nullif("bucket", F.lit(NO_BUCKET)).alias("bucket"), "rejected_by")
+    none = rejected.select("profile_id", F.lit(None).cast("string").alias("site"), "permit_number", F.lit(None).cast("long").alias("bucket"), "rejected_by")
     return none.unionByName(judged)
 
 
